@@ -40,6 +40,12 @@ def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op5_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm import tokencount
 
@@ -60,7 +66,13 @@ def op8_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return isomedia.media_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_concat_and_cut, op3_toxicity_grammar, op6_whole_token_counts, op7_rank_order_language, op8_iso_media)}
+def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import capfilters
+
+    return capfilters.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_concat_and_cut, op3_toxicity_grammar, op5_pigeonhole_simhash, op6_whole_token_counts, op7_rank_order_language, op8_iso_media, op9_cap_filters)}
 
 #: DuckDB's words for the queries that SQL can express.
 ORACLE_SQL = {
@@ -86,5 +98,20 @@ cut AS (SELECT source, max(rk) AS last FROM run WHERE before + words / 2::DOUBLE
 SELECT d.doc_id, d.size, d.source_size, d.target,
   (d.size * (d.certain + CASE WHEN d.size > 0 AND (d.u / (1::DOUBLE - d.u)) / sqrt(d.size::DOUBLE) <= c.last THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM drawn d LEFT JOIN cut c ON d.source IS NOT DISTINCT FROM c.source
+""",
+    "op9_cap_filters": """
+WITH fit AS (
+  SELECT vec_id, label, embedding AS e, sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM fit a JOIN fit b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e::DOUBLE[], b.e::DOUBLE[]) / (a.norm * b.norm) >= 0.93::DOUBLE),
+reach AS (
+  WITH RECURSIVE r(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM r JOIN links l ON r.v = l.u)
+  SELECT u, min(v) AS least FROM r GROUP BY u),
+counts AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(r.least, e.vec_id)) AS component_id, e.vec_id = least(e.vec_id, coalesce(r.least, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counts c ON c.u = e.vec_id LEFT JOIN reach r ON r.u = e.vec_id
 """,
 }

@@ -40,6 +40,12 @@ def op3_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op4_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import phrases
+
+    return phrases.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_pigeonhole_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm import simhash
 
@@ -72,7 +78,7 @@ def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_concat_and_cut, op3_toxicity_grammar, op5_pigeonhole_simhash, op6_whole_token_counts, op7_rank_order_language, op8_iso_media, op9_cap_filters)}
+QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_concat_and_cut, op3_toxicity_grammar, op4_phrase_automata, op5_pigeonhole_simhash, op6_whole_token_counts, op7_rank_order_language, op8_iso_media, op9_cap_filters)}
 
 #: DuckDB's words for the queries that SQL can express.
 ORACLE_SQL = {

@@ -78,7 +78,13 @@ def op9_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_concat_and_cut, op3_toxicity_grammar, op4_phrase_automata, op5_pigeonhole_simhash, op6_whole_token_counts, op7_rank_order_language, op8_iso_media, op9_cap_filters)}
+def op10_deep_shallow_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm import suffixes
+
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_concat_and_cut, op3_toxicity_grammar, op4_phrase_automata, op5_pigeonhole_simhash, op6_whole_token_counts, op7_rank_order_language, op8_iso_media, op9_cap_filters, op10_deep_shallow_suffixes)}
 
 #: DuckDB's words for the queries that SQL can express.
 ORACLE_SQL = {

@@ -47,7 +47,9 @@ def source_targets(sizes: DataFrame, source: str = "source", weights=WEIGHTS, sh
     before, after = fill.rowsBetween(Window.unboundedPreceding, -1), fill.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     per = per.withColumn("rate", (F.lit(float(share)) * F.sum("source_size").over(whole) - F.coalesce(F.sum("top").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    per = per.withColumn("level", F.min(F.when(F.col("rate") * F.col("weight") <= F.col("top"), F.col("rate"))).over(whole))
+    # The level is the rate of the first source, in the order of the caps, that stays below its cap at it.
+    per = per.withColumn("turn", F.row_number().over(fill))
+    per = per.withColumn("level", F.min(F.when(F.col("rate") * F.col("weight") <= F.col("top"), F.struct("turn", "rate"))).over(whole)["rate"])
     # Without a level every source is at its cap.
     return per.select(source, "source_size", F.least("top", F.coalesce(F.col("level") * F.col("weight"), F.col("top"))).alias("target"))
 

@@ -97,7 +97,7 @@ per2 AS (SELECT *, CASE (nth - 1) % 3 WHEN 0 THEN 5::DOUBLE WHEN 1 THEN 2::DOUBL
 per3 AS (SELECT *, (1.5::DOUBLE * (SELECT sum(source_size) FROM per0)::DOUBLE
   - coalesce(sum(top) OVER (ORDER BY top / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE))
   / sum(weight) OVER (ORDER BY top / weight, nth ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM per2),
-level AS (SELECT min(rate) AS level FROM per3 WHERE rate * weight <= top),
+level AS (SELECT arg_min(rate, row(top / weight, nth)) AS level FROM per3 WHERE rate * weight <= top),
 per4 AS (SELECT source, source_size, least(top, coalesce(level * weight, top)) AS target FROM per3, level),
 per5 AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::BIGINT ELSE 0::BIGINT END AS certain FROM per4),
 per AS (SELECT *, target - (certain * source_size)::DOUBLE AS rest FROM per5),

@@ -109,24 +109,42 @@ def near_links(prints: DataFrame, distance: int = 4, bits: int = 64) -> DataFram
     return dealt.mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable) for each row.
-
-    Null and empty texts have fingerprint zero and link like any other. Rows with a null id
-    take part; they never name a component unless all its ids are null (then it is null). Repeated
-    rows each get their row. Empty tables give no rows; only the id and the text are read.
-    """
-    spark = docs.sparkSession
-    short_batches(spark)
-
+def _prints(text: str, width: int, seed: int):
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([_signed(fingerprint(t, width, seed)) for t in texts], dtype="int64")
 
-    rows = materialize(spark, docs.select(F.col(doc_id).alias("doc_id"), prints(F.col(text)).alias("fp")), "simhash-prints")
+    return prints(F.col(text))
+
+
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(rows, named): doc_id and fp (signed) of each row; fp, root and component_id of each distinct fingerprint."""
+    spark = docs.sparkSession
+    short_batches(spark)
+    rows = materialize(spark, docs.select(F.col(doc_id).alias("doc_id"), _prints(text, width, seed).alias("fp")), "simhash-prints")
     classes = materialize(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     found = components(near_links(classes.select("fp"), distance))
     rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = materialize(spark, rooted.join(named, "root").select("fp", "component_id"), "simhash-named")
-    return rows.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows, materialize(spark, rooted.join(named, "root").select("fp", "root", "component_id"), "simhash-named")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest id reachable) for each row.
+
+    Null and empty texts have fingerprint zero and link like any other. Rows with a null id
+    take part; they never name a component unless all its ids are null (then it is null). Repeated
+    rows each get their row. Empty tables give no rows; only the id and the text are read.
+    """
+    rows, named = groups(docs, doc_id, text, distance, width, seed)
+    return rows.join(named.select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
+    """The row of the smallest id of each component, with the columns of `docs`; of repeated rows one stays."""
+    rows, named = groups(docs, doc_id, text, distance, width, seed)
+    named = named.withColumnsRenamed({"fp": "_f", "root": "_root", "component_id": "_least"})
+    mine = rows.join(named, F.col("fp") == F.col("_f")).where(F.col("doc_id").eqNullSafe(F.col("_least")))
+    repeated = mine.groupBy("_root").count().where("count > 1").limit(1).count() > 0
+    kept = docs.withColumn("_fp", _prints(text, width, seed)).join(named, F.col("_fp") == F.col("_f")).where(F.col(doc_id).eqNullSafe(F.col("_least")))
+    return (kept.dropDuplicates(["_root"]) if repeated else kept).select(*docs.columns)

@@ -113,9 +113,9 @@ FROM drawn d LEFT JOIN cut c ON d.source IS NOT DISTINCT FROM c.source
 """,
     "op9_cap_filters": """
 WITH fit AS (
-  SELECT vec_id, label, embedding AS e, sqrt(list_sum(list_transform(embedding, x -> x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings
+  SELECT vec_id, label, embedding AS e, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS norm FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS MATERIALIZED (
   SELECT a.vec_id AS u, b.vec_id AS v FROM fit a JOIN fit b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
   WHERE list_dot_product(a.e::DOUBLE[], b.e::DOUBLE[]) / (a.norm * b.norm) >= 0.93::DOUBLE),

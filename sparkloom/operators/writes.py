@@ -11,7 +11,7 @@ from sparkloom.schema import check_edges, require_none
 def with_ids(rows: DataFrame, id_col: str, *key: str) -> DataFrame:
     """Ids from a hash of the key: the same on every run and without a global order; equal keys are rejected."""
     require_none(rows.groupBy(*key).count().where("count > 1"), "two rows of one key")
-    return rows.withColumn(id_col, F.xxhash64(*key) & F.lit((1 << 62) - 1))
+    return rows.withColumn(id_col, F.xxhash64(*key).bitwiseAND(F.lit((1 << 62) - 1)))
 
 
 def first_wins(batch: DataFrame, ordinal: str, *key: str) -> DataFrame:

@@ -40,7 +40,7 @@ NEGATED, REPORTED, AIMED = 3, 6, 5
 FACTORS = {"negated": 0.25, "reported": 0.5, "aimed": {INSULT: 1.3, THREAT: 1.0}, "loose": {INSULT: 1.0, THREAT: 0.1}}
 SEED_WEIGHT = {INSULT: 2.0, THREAT: 1.5}
 #: Labelled rows of each class that are learned from, about; least log odds and share of toxic rows of an acceptor; acceptors at most.
-BOUND, LEAST_ODDS, LEAST_SHARE, ACCEPTORS = 3000, 3.0, 0.006, 20_000
+BOUND, LEAST_ODDS, LEAST_SHARE, ACCEPTORS = 3000, 3.5, 0.02, 20_000
 PREFIXES = (4, 5, 6, 7)
 CLAUSE = re.compile(r"[.;:!?\n]+")
 TOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")

@@ -71,9 +71,14 @@ class Code:
                 which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 word = np.repeat(word, n) * s.shape[1] + order[k][i][which]
                 total = np.repeat(total, n) + s[i][which]
-            out.append(word)
+            # Directions with few filters near them would meet nobody: the best word counts always.
+            best_word = sum(int(order[k][i][0]) * self._place(k) for k in range(len(ranked)))
+            out.append(word if len(word) and (word == best_word).any() else np.append(word, best_word))
         return out
 
+    def _place(self, k: int) -> int:
+        return int(np.prod([b.shape[0] for b in self.blocks[k + 1 :]], dtype=np.int64))
+
 
 def _matrix(column, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -118,7 +118,7 @@ def typed_expand(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, intent:
     kind = symbols.select("symbol_id", "kind")
     typed = edges.where(valid_confidence()).join(kind.select(F.col("symbol_id").alias("src"), F.col("kind").alias("_sk")), "src").join(kind.select(F.col("symbol_id").alias("dst"), F.col("kind").alias("_dk")), "dst")
     allowed = F.when(F.col("kind") == "EXPOSES", (F.col("_sk") == "module") & (F.col("_dk") == "endpoint")).when(F.col("kind") == "INHERITS", (F.col("_sk") == "class") & (F.col("_dk") == "class")).otherwise(F.lit(True))
-    typed = typed.where(allowed)
+    typed = typed.where(allowed).persist()  # every hop of every pattern reads it
 
     def step(k: str, way: str) -> DataFrame:
         own = typed.where(F.col("kind") == k)

@@ -674,3 +674,57 @@ def c17_analysis_key(d):
 def h_quick_risk(d):
     per = d.table("lineitem").groupBy(F.col("l_orderkey").alias("pr")).agg(F.count("*").alias("changed"))
     return per.select("pr", "changed", risk.quick_risk(F.col("changed")).alias("risk"), F.when(F.col("changed") > 50, "MEDIUM").otherwise("LOW").alias("level"))
+
+
+# --- sources: texts made from the tables, so that SQL knows what must come out ------------------------
+
+
+def _made_files(d, body):
+    k = F.col("s_suppkey")
+    return d.table("supplier").select((k % 3).alias("repository_id"), F.concat(F.lit("src/p"), k.cast("string"), F.lit(".py")).alias("path"), body(k).cast("binary").alias("content"))
+
+
+@query("SELECT 'src/p' || s_suppkey || '.py' AS path, 'f' AS name, 'function' AS kind, 1 AS start_line, (s_suppkey % 7 + 2)::INTEGER AS end_line, (1 + 2 * (s_suppkey % 7))::INTEGER AS complexity FROM supplier", base=False)
+def x3_symbols_and_complexity(d):
+    from sparkloom.sources.pysource import parse_files
+
+    files = _made_files(d, lambda k: F.concat(F.lit("def f(a):\n"), F.expr("repeat('    if a and a: pass\n', int(s_suppkey % 7))"), F.lit("    return a\n")))
+    return parse_files(files).select("path", "name", "kind", "start_line", "end_line", "complexity")
+
+
+@query("SELECT s_suppkey % 3 AS repository_id, 'EXACT' AS status, 'call' AS kind, sum(s_suppkey % 4 + 1)::BIGINT AS n FROM supplier GROUP BY 1 UNION ALL SELECT s_suppkey % 3, 'UNRESOLVED', 'call', count(*) FROM supplier GROUP BY 1", base=False)
+def x12_resolution_counts(d):
+    from sparkloom.operators.resolve import resolve_references
+
+    files = _made_files(d, lambda k: F.concat(F.lit("def f(): pass\n"), F.expr("repeat('f()\n', int(s_suppkey % 4 + 1))"), F.lit("missing()\n")))
+    return resolve_references(files).groupBy("repository_id", "status", "kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS patch, o_orderkey % 5 + 1 AS removed, o_orderkey % 3 + 1 AS added FROM orders WHERE o_orderkey < 2000", base=False)
+def s8_diff_lines(d):
+    from sparkloom.sources import diff
+
+    diff.register(d.spark)
+    k = "int(o_orderkey % 5 + 1)", "int(o_orderkey % 3 + 1)"
+    text = F.expr(f"concat('--- a/m.py\n+++ b/m.py\n@@ -1,', {k[0]}, ' +1,', {k[1]}, ' @@\n', repeat('-x\n', {k[0]}), repeat('+y\n', {k[1]}))")
+    d.table("orders").where("o_orderkey < 2000").select(F.col("o_orderkey").alias("patch"), text.alias("text")).createOrReplaceTempView("made_patches")
+    rows = d.spark.sql("SELECT p.patch, l.kind FROM made_patches p, LATERAL parse_diff(p.text) l")
+    return rows.groupBy("patch").agg(F.count_if(F.col("kind") == "-").alias("removed"), F.count_if(F.col("kind") == "+").alias("added"))
+
+
+@query()
+def r9_expanded_search(d):
+    from sparkloom.operators.evidence import evidence_pack, expanded_search
+
+    context, _ = expanded_search(retrieval.search_columns(d.chunks), d.repo_symbols, d.repo_edges, "the widget", _QUERY_VECTOR)
+    return evidence_pack(context).select("cite", "symbol_id", "path")
+
+
+@query("SELECT doc_id, CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS tp, 1 - CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS fn, CASE WHEN l.quality = 1 THEN 1::DOUBLE ELSE 0::DOUBLE END AS f1 FROM labels l", base=False)
+def c14_evaluation_report(d):
+    from sparkloom.operators.assess import evaluation_report
+
+    rows = d.table("labels")
+    cases = rows.select(F.col("doc_id").alias("case_id"), F.struct(F.lit("complete").alias("status"), F.array(F.lit("x")).alias("paths")).alias("files"))
+    predictions = rows.select(F.col("doc_id").alias("case_id"), F.when(F.col("quality") == 1, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("files"), F.lit("ok").alias("status"))
+    return evaluation_report(cases, predictions).select(F.col("case_id").alias("doc_id"), "tp", "fn", "f1")

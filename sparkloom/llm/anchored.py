@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.common import materialize
+
 #: Odd multipliers of the two rolling hashes, and a mixer's constants (fixed values of public mixers).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
@@ -142,7 +144,7 @@ def shared_anchors(marks: DataFrame) -> DataFrame:
 
     Copies of one text don't count: they are settled by the key.
     """
-    each = marks.select(F.xxhash64("key").alias("t"), F.explode(F.array_distinct("anchors")).alias("a"))
+    each = marks.select(F.xxhash64("key").alias("t"), F.explode("anchors").alias("a"))
     return each.groupBy("a").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("a")
 
 
@@ -152,6 +154,9 @@ def leaders(cand: DataFrame) -> DataFrame:
 
 
 def differing(lead: DataFrame) -> DataFrame:
-    """Of leaders(): those whose anchor has other contexts too."""
-    many = lead.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
-    return lead.join(many, "a", "left_semi")
+    """Of leaders(): those whose anchor has other contexts too, with n, their number.
+
+    The numbers are written first, so that a crowded anchor's contexts are split among tasks by the join.
+    """
+    many = lead.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+    return lead.join(materialize(lead.sparkSession, many, "anchors-many"), "a")

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's switch for removing an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows an Arrow batch holds; whole texts can be long, so batches are kept short.
 BATCH_ROWS = 1000
 
@@ -31,19 +33,30 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, **options) -> Dat
     instead of computing it anew.
     """
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").options(**options).parquet(path)
+    # What a write shuffled isn't needed again: its files go with the write, not when the driver happens to collect garbage.
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes an Arrow batch may hold where more rows at once save work.
+BATCH_BYTES = 6_000_000
+
+
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts holds in a Python worker."""
+    """Bound what one Arrow batch of whole texts holds in a Python worker, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_key(text: str = "text") -> Column:
     """128 bits of a text: equal texts, equal keys. Null gets a key of its own."""
     t = F.col(text)
-    return F.when(t.isNull(), F.lit("-")).otherwise(F.md5(t.cast("binary")))
+    return F.when(t.isNull(), F.lit(b"-")).otherwise(F.unhex(F.md5(t.cast("binary"))))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -30,7 +30,7 @@ GRAM, BLOCK, KEY = 8, 25, 12
 #: Words of passages in a shard, about; documents that one copy of an owner's passages serves.
 SHARD_WORDS, SERVED = 150_000, 2000
 #: Words that are worked on at once.
-AT_ONCE = 2_000_000
+AT_ONCE = 400_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
@@ -70,14 +70,19 @@ def mark(docs: DataFrame, scheme: Scheme, doc_id: str, text: str) -> DataFrame:
 
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(text_key(text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    out = slim.mapInArrow(run, f"key string, doc_id {kind}, n_words long, sha string, anchors array<long>, pos array<int>, c1 array<long>, c2 array<int>")
+    out = slim.mapInArrow(run, f"key binary, doc_id {kind}, n_words long, sha string, anchors array<long>, pos array<int>, c1 array<long>, c2 array<int>")
     return out.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
 
 
 def candidates(marks: DataFrame) -> DataFrame:
-    """key, d, a, pos, c1, c2: anchors that another text has too; copies of a text are one row, its smallest document's."""
+    """key, d, a, pos, c1, c2: anchors that another text has too; copies of a text are one row, its smallest document's.
+
+    The shared anchors are written first: then both sides of the join are plain shuffles, and an
+    anchor that a large share of documents has is split among tasks.
+    """
+    shared = materialize(marks.sparkSession, shared_anchors(marks), "phrases-shared")
     each = marks.select("key", "d", F.explode(F.arrays_zip("anchors", "pos", "c1", "c2")).alias("x")).select("key", "d", F.col("x.anchors").alias("a"), "x.pos", "x.c1", "x.c2")
-    return each.join(shared_anchors(marks), "a", "left_semi").groupBy("key", "a", "pos", "c1", "c2").agg(F.min("d").alias("d"))
+    return each.join(shared, "a", "left_semi").groupBy("key", "a", "pos", "c1", "c2").agg(F.min("d").alias("d"))
 
 
 def _passages(texts: DataFrame, runs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.anchored import BASES, NO_ID, Rolling, Scheme, batched, leaders, lists, merged, mixed, shared_anchors, signed
+from sparkloom.llm.anchored import BASES, NO_ID, Rolling, Scheme, batched, differing, leaders, lists, merged, mixed, shared_anchors, signed
 from sparkloom.llm.common import materialize, short_batches, text_key
 from sparkloom.llm.runs import whole_runs
 
@@ -58,7 +58,7 @@ def mark(docs: DataFrame, scheme: Scheme, doc_id: str, text: str) -> DataFrame:
 
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(text_key(text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    out = slim.mapInArrow(run, f"key string, doc_id {kind}, n_bytes long, sha string, anchors array<long>, pos array<int>")
+    out = slim.mapInArrow(run, f"key binary, doc_id {kind}, n_bytes long, sha string, anchors array<long>, pos array<int>")
     return out.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
 
 
@@ -188,10 +188,12 @@ def find_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text
     scheme = Scheme(window, min(GRAM, window))
     marks = materialize(spark, mark(docs, scheme, doc_id, text), "suffixes-marks")
     shared = materialize(spark, shared_anchors(marks), "suffixes-shared")
-    each = marks.select("key", "d", F.explode(F.arrays_zip("anchors", "pos")).alias("x")).select("key", "d", F.col("x.anchors").alias("a"), "x.pos")
-    # Copies of a text have the same anchors: one row for all, the smallest document's.
-    wanted = each.join(shared, "a", "left_semi").groupBy("key").agg(F.min("d").alias("d"), F.collect_set("pos").alias("at"))
-    wanted = materialize(spark, wanted, "suffixes-wanted")
+    # Narrow rows: a document's number, not its key. The shared anchors are the small side of each partition.
+    each = marks.select("d", F.explode(F.arrays_zip("anchors", "pos")).alias("x")).select("d", F.col("x.anchors").alias("a"), "x.pos")
+    wanted = each.join(shared.hint("shuffle_hash"), "a", "left_semi").groupBy("d").agg(F.collect_set("pos").alias("at"))
+    # Copies of a text are settled by its key: only the smallest document of a key takes part.
+    first = marks.groupBy("key").agg(F.min("d").alias("d"))
+    wanted = materialize(spark, first.join(wanted, "d"), "suffixes-wanted")
     texts = docs.select(text_key(text).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text).alias("text"))
     texts = texts.join(wanted, ["key", "d"]).dropDuplicates(["key", "d"])
     texts = materialize(spark, texts.select("key", "d", "text", "at"), "suffixes-texts")
@@ -204,6 +206,8 @@ def find_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text
                 edges = np.concatenate([[0], np.cumsum(n)])
                 values = symbols(b"".join(whole[lo:hi]))
                 pos = [np.sort(np.array(x.as_py(), np.int64)) for x in b.column(2).slice(lo, hi - lo)]
+                # Texts of one id share their places; those beyond a text's end are another's.
+                pos = [p[p <= size - scheme.k] for p, size in zip(pos, n)]
                 own = np.repeat(np.arange(hi - lo), [len(p) for p in pos])
                 at = np.concatenate(pos) + edges[own]
                 c1, c2 = scheme.contexts(values, edges, at)
@@ -218,8 +222,7 @@ def find_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text
     # Contexts that a smaller document has as well go as a whole; an end beyond the text is cut below.
     same = span(cand.join(lead.where("lead.d < hi").select("a", "c1", "c2", F.col("lead.d").alias("m")), ["a", "c1", "c2"]).where("d > m"))
     # Leaders of anchors with several contexts are compared window by window.
-    many = lead.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
-    split = lead.join(many, "a").select(F.col("lead.d").alias("d"), F.col("lead.pos").alias("pos"), "a", (F.col("n") > BUCKET).alias("hot"))
+    split = differing(lead).select(F.col("lead.d").alias("d"), F.col("lead.pos").alias("pos"), "a", (F.col("n") > BUCKET).alias("hot"))
     need = split.groupBy("d").agg(F.collect_list(F.struct("a", "pos", "hot")).alias("x"))
     need = materialize(spark, texts.select("d", "text").join(need, "d").select("d", "text", "x.a", "x.pos", "x.hot"), "suffixes-need")
 

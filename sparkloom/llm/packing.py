@@ -39,6 +39,7 @@ def token_table(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_
             start = at + np.cumsum(n) - n
             at += int(n.sum())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array(width, pa.int32()), pa.array(n), pa.array(np.full(len(n), part, np.int64)), pa.array(start)], names=["doc_id", "ids", "width", "n", "part", "start"])
+        enc.forget()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, width int, n long, part long, start long")
@@ -52,7 +53,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, doc_id
     short of the window. Empty tables give no rows; only the id and the text are read.
     """
     spark = docs.sparkSession
-    short_batches(spark, 500)
+    short_batches(spark, 2000)
     table = materialize(spark, token_table(docs, path, end_id, doc_id, text), "pack-ids")
     totals = table.groupBy("part").agg(F.max(F.col("start") + F.col("n")).alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -23,14 +23,17 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, doc_id: str = "do
     Null and empty texts: 0 bytes, 0 tokens. Null ids and repeated rows pass through as they are;
     only the id and the text are read, so other columns can't clash. Empty tables give no rows.
     """
-    short_batches(docs.sparkSession)
+    short_batches(docs.sparkSession, 2000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from sparkloom.llm import vocab
 
-        counter = vocab.encoder(path).count if path.endswith(".json") else _pieces(path)
+        enc = vocab.encoder(path) if path.endswith(".json") else None
+        counter = enc.count if enc else _pieces(path)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(counter(b.column(1)), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        if enc:
+            enc.forget()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"))

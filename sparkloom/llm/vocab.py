@@ -21,7 +21,16 @@ ADJOINING = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]{2}"
 #: The pre-tokenizer's pattern for byte-level vocabularies of this family.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encodings of chunks a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
+
+
+#: Marks that are a pre-token of their own behind a word (an apostrophe isn't).
+TAILS = frozenset(".,;:!?")
+
+
+def _one_word(word: str) -> bool:
+    """Letters only, of the Latin blocks whose classes no version of Unicode disputes: one pre-token, with its space."""
+    return word.isalpha() and (word.isascii() or max(word) < "\u0250")
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,14 +69,18 @@ class ByteVocabulary:
         self.single = {b: i for b, i in ids.items() if self.plain and self.merger._encode_single_piece(b) == [i]}
         self.bad = "|".join([ADJOINING, *(f"\\Q{s}\\E" for s in self.special)])
 
-    def ids_of_chunk(self, chunk: str) -> list[int]:
+    def ids_of_chunk(self, chunk: str) -> list[int] | tuple[int, ...]:
         """Ids of a chunk: at most one space, and that leading. Whole-token shortcut first, merges for the rest."""
         word = chunk[1:] if chunk[:1] == " " else chunk
-        if word.isalpha() and word.isascii():  # one pre-token
-            piece = chunk.encode()
-            one = self.single.get(piece)
-            return [one] if one is not None else self.merger._encode_single_piece(piece)
-        return self.merger.encode_ordinary(chunk)
+        if _one_word(word):
+            return self._piece(chunk.encode())
+        if word[-1:] in TAILS and _one_word(word[:-1]):  # the word and its mark are two pre-tokens
+            return [*self._piece(chunk[:-1].encode()), *self._piece(word[-1].encode())]
+        return self.merger._core_bpe.encode_ordinary(chunk)
+
+    def _piece(self, piece: bytes) -> list[int] | tuple[int, ...]:
+        one = self.single.get(piece)
+        return (one,) if one is not None else self.merger._core_bpe.encode_single_piece(piece)
 
     def ids_of_text(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -82,6 +95,10 @@ class Encoder:
         self.pool, self.ends = [np.zeros(0, np.uint32)], [0]
         self.counts: dict[str, int] = {}
 
+    def forget(self) -> None:
+        """Let go of what is remembered, so that an idle worker holds the vocabulary only."""
+        self.ids, self.counts, self.pool, self.ends = {}, {}, [np.zeros(0, np.uint32)], [0]
+
     def _parts(self, texts: pa.Array):
         """Which texts are chunked, their chunk codes, first-chunk flags, offsets and the distinct chunks."""
         odd = pc.match_substring_regex(texts, self.v.bad).to_numpy(zero_copy_only=False).astype(bool) if self.v.plain else np.ones(len(texts), bool)
@@ -101,12 +118,11 @@ class Encoder:
         known = self.counts
         if len(known) > REMEMBERED:
             known.clear()
-        single = self.v.single
         each = np.zeros(len(chunks) + 1, np.int64)
         for i, c in enumerate(chunks):
             n = known.get(c)
             if n is None:
-                n = known[c] = 1 if b" " + c.encode() in single and c.isascii() and c.isalpha() else len(self.v.ids_of_chunk(" " + c))
+                n = known[c] = len(self.v.ids_of_chunk(" " + c))
             each[i] = n
         per = each[codes]
         first = offsets[:-1]
@@ -126,21 +142,15 @@ class Encoder:
             return []
         odd, codes, offsets, chunks = self._parts(texts)
         if len(self.ids) > REMEMBERED:
-            self.ids, self.pool, self.ends = {}, [np.zeros(0, np.uint32)], [0]
+            self.forget()
         known, at, fresh, ends = self.ids, [], [], self.ends
-        merge, single, get = self.v.merger._core_bpe.encode_single_piece, self.v.single.get, self.ids.get
-        ordinary = self.v.merger._core_bpe.encode_ordinary
+        get, ids_of = known.get, self.v.ids_of_chunk
         top = ends[-1]
         for c in chunks:
             i = get(c)
             if i is None:
                 i = known[c] = len(ends)
-                if c.isalpha() and c.isascii():
-                    piece = b" " + c.encode()
-                    one = single(piece)
-                    x = (one,) if one is not None else merge(piece)
-                else:
-                    x = ordinary(" " + c)
+                x = ids_of(" " + c)
                 fresh.extend(x)
                 top += len(x)
                 ends.append(top)

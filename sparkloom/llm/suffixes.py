@@ -28,7 +28,7 @@ from sparkloom.llm.common import materialize, short_batches, text_key
 from sparkloom.llm.runs import whole_runs
 
 #: Bytes of the anchor's k-gram, bytes worked on at once, shallow depth in eight-byte characters, contexts of an anchor that one bucket takes.
-GRAM, AT_ONCE, SHALLOW, BUCKET = 12, 1_000_000, 2, 2000
+GRAM, AT_ONCE, SHALLOW, BUCKET = 24, 500_000, 2, 2000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 #: A 64-bit symbol for each byte.
 SYMBOLS = np.random.default_rng(50).integers(0, 1 << 64, 256, np.uint64)
@@ -262,6 +262,7 @@ def find_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text
     least = hot.groupBy("w").agg(F.min("d").alias("m"), F.max("d").alias("hi")).where("m < hi").select("w", "m")
     crowded = hot.join(least, "w").where("d > m").select("d", "s", (F.col("s") + window).alias("e"))
     found = same.union(sorted_out).union(crowded).groupBy("d").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    found = materialize(spark, found, "suffixes-found")
     return marks, texts.select("key", "d", "text").join(found, "d")
 
 

@@ -148,9 +148,9 @@ def shared_anchors(marks: DataFrame) -> DataFrame:
     return each.groupBy("a").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("a")
 
 
-def leaders(cand: DataFrame) -> DataFrame:
-    """a, c1, c2, lead (struct d, pos), hi: distinct contexts with their smallest document. cand: key, d, a, pos, c1, c2."""
-    return cand.groupBy("a", "c1", "c2").agg(F.min(F.struct("d", "pos")).alias("lead"), F.max("d").alias("hi"))
+def leaders(cand: DataFrame, *lead: str) -> DataFrame:
+    """a, c1, c2, lead (struct d, pos, or the columns named), hi: distinct contexts with their smallest document. cand: key, d, a, pos, c1, c2."""
+    return cand.groupBy("a", "c1", "c2").agg(F.min(F.struct(*(lead or ("d", "pos")))).alias("lead"), F.max("d").alias("hi"))
 
 
 def differing(lead: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Candidate suffixes are those at which a window (50 bytes) starts that holds an anchor which
 another text has too (see anchored.py). Suffixes are dealt into buckets by their anchor, and
-suffixes that agree in the anchor's whole context are one, named by the smallest document. In
+suffixes that agree in the anchor's whole context are one, named by the smallest document; what
+that one loses, its other places in the document lose too. In
 a bucket, suffixes are ordered as deep as a window: multikey quicksort on eight-byte
 characters to a shallow depth, then a blind trie for each group that still ties there and isn't
 equal throughout. Neighbours in that order with a common prefix of a whole window are repeats:
@@ -212,55 +213,72 @@ def find_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text
                 at = np.concatenate(pos) + edges[own]
                 c1, c2 = scheme.contexts(values, edges, at)
                 a = mixed(Rolling(values, BASES[0]).of(at, at + scheme.k))
+                # A context's places in a text are one row: the first, and in `more` the others.
+                order = np.lexsort((at, c2, c1, a, own))
+                own, at, a, c1, c2 = (x[order] for x in (own, at, a, c1, c2))
+                first = np.append(True, np.any([x[1:] != x[:-1] for x in (own, a, c1, c2)], axis=0))[: len(at)]
+                pos, number = (at - edges[own]).astype(np.int32), np.cumsum(first) - 1
+                n = np.bincount(number, minlength=first.sum()) - 1
+                more = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(pos[~first]), mask=pa.array(n == 0))
                 d = b.column(0).to_numpy()[lo:hi][own]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(a), signed(c1), signed(c2), d, (at - edges[own]).astype(np.int32))], names=["a", "c1", "c2", "d", "pos"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in (signed(a), signed(c1), signed(c2), d, pos)), more], names=["a", "c1", "c2", "d", "pos", "more"])
 
-    cand = texts.select("d", "text", "at").mapInArrow(contexts, "a long, c1 long, c2 int, d long, pos int")
+    cand = texts.select("d", "text", "at").mapInArrow(contexts, "a long, c1 long, c2 int, d long, pos int, more array<int>")
     cand = materialize(spark, cand, "suffixes-contexts")
-    lead = materialize(spark, leaders(cand), "suffixes-leaders")
+    lead = materialize(spark, leaders(cand, "d", "pos", "more"), "suffixes-leaders")
     span = lambda df: df.select("d", F.greatest(F.lit(0), F.col("pos") - scheme.w + 1).alias("s"), (F.col("pos") + scheme.k + scheme.w - 1).alias("e"))
     # Contexts that a smaller document has as well go as a whole; an end beyond the text is cut below.
-    same = span(cand.join(lead.where("lead.d < hi").select("a", "c1", "c2", F.col("lead.d").alias("m")), ["a", "c1", "c2"]).where("d > m"))
+    same = span(cand.join(lead.where("lead.d < hi").select("a", "c1", "c2", F.col("lead.d").alias("m")), ["a", "c1", "c2"]).where("d > m").select("d", F.explode(F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<int>")))).alias("pos")))
     # Leaders of anchors with several contexts are compared window by window.
-    split = differing(lead).select(F.col("lead.d").alias("d"), F.col("lead.pos").alias("pos"), "a", (F.col("n") > BUCKET).alias("hot"))
-    need = split.groupBy("d").agg(F.collect_list(F.struct("a", "pos", "hot")).alias("x"))
-    need = materialize(spark, texts.select("d", "text").join(need, "d").select("d", "text", "x.a", "x.pos", "x.hot"), "suffixes-need")
+    split = differing(lead).select(F.col("lead.d").alias("d"), F.col("lead.pos").alias("pos"), F.col("lead.more").alias("more"), "a", (F.col("n") > BUCKET).alias("hot"))
+    need = split.groupBy("d").agg(F.collect_list(F.struct("a", "pos", "more", "hot")).alias("x"))
+    need = materialize(spark, texts.select("d", "text").join(need, "d").select("d", "text", "x.a", "x.pos", "x.more", "x.hot"), "suffixes-need")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for d, t, anchors, pos, hot in zip(*(c.to_pylist() for c in b.columns)):
+            for d, t, anchors, pos, more, hot in zip(*(c.to_pylist() for c in b.columns)):
                 raw = t.encode()
-                for a, p, h in zip(anchors, pos, hot):
+                for a, p, others, h in zip(anchors, pos, more, hot):
                     if not h:
                         s = max(0, p - scheme.w + 1)
-                        out.append((a, raw[s : p + scheme.k + scheme.w - 1], p - s, d, s))
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32()))], names=["a", "seg", "pre", "d", "at"])
+                        out.append((a, raw[s : p + scheme.k + scheme.w - 1], p - s, d, s, others and [o - p for o in others]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out) if out else [()] * 6, (pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32())))], names=["a", "seg", "pre", "d", "at", "by"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w, d, s = [], [], []
-            for one, t, _, pos, hot in zip(*(c.to_pylist() for c in b.columns)):
-                raw = t.encode()
-                for p in (p for p, h in zip(pos, hot) if h):
-                    for i in range(max(0, p - scheme.w + 1), min(p, len(raw) - window) + 1):
-                        w.append(raw[i : i + window]), d.append(one), s.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(d, pa.int64()), pa.array(s, pa.int32())], names=["w", "d", "s"])
+            for one, t, _, pos, more, hot in zip(*(c.to_pylist() for c in b.columns)):
+                raw, starts = t.encode(), set()
+                for p in (p for first, others, h in zip(pos, more, hot) if h for p in (first, *(others or ()))):
+                    starts.update(range(max(0, p - scheme.w + 1), min(p, len(raw) - window) + 1))
+                own: dict[bytes, list[int]] = {}
+                for i in starts:
+                    own.setdefault(raw[i : i + window], []).append(i)
+                w += own.keys()
+                s += own.values()
+                d += [one] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(d, pa.int64()), pa.array(s, pa.list_(pa.int32()))], names=["w", "d", "s"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, run in whole_runs(batches, 1):
             d, at = t.column(3).to_numpy(), t.column(4).to_numpy()
             found = repeats(t.column(1).to_pylist(), t.column(2).to_numpy(), run, d, window)
+            by = t.column(5).combine_chunks()
+            for i in np.flatnonzero(by.is_valid().to_numpy(zero_copy_only=False)):
+                if len(found[i][0]):
+                    shift = np.append(0, by[i].as_py())
+                    found[i] = merged(*((x[:, None] + shift).ravel() for x in found[i]))
             n = [len(s) for s, _ in found]
             own = np.repeat(np.arange(len(n)), n)
             s, e = (np.concatenate([x[k] for x in found]) + at[own] for k in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(d[own]), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["d", "s", "e"])
 
-    dealt = need.mapInArrow(segments, "a long, seg binary, pre int, d long, at int").repartition("a").sortWithinPartitions("a", "d")
+    dealt = need.mapInArrow(segments, "a long, seg binary, pre int, d long, at int, by array<int>").repartition("a").sortWithinPartitions("a", "d")
     sorted_out = dealt.mapInArrow(compare, "d long, s int, e int")
-    hot = need.where(F.exists("hot", lambda h: h)).mapInArrow(windows, "w binary, d long, s int").distinct()
+    hot = need.where(F.exists("hot", lambda h: h)).mapInArrow(windows, "w binary, d long, s array<int>")
     least = hot.groupBy("w").agg(F.min("d").alias("m"), F.max("d").alias("hi")).where("m < hi").select("w", "m")
-    crowded = hot.join(least, "w").where("d > m").select("d", "s", (F.col("s") + window).alias("e"))
+    crowded = hot.join(least, "w").where("d > m").select("d", F.explode("s").alias("s")).select("d", "s", (F.col("s") + window).alias("e"))
     found = same.union(sorted_out).union(crowded).groupBy("d").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     found = materialize(spark, found, "suffixes-found")
     return marks, texts.select("key", "d", "text").join(found, "d")

@@ -82,6 +82,23 @@ def test_suffixes_against_brute_force(spark, seed, monkeypatch):
         assert (rows[i].n_bytes, rows[i].n_removed, rows[i].n_spans, rows[i].kept_sha256) == (len(s), int(g.sum()), spans, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("bucket", [2000, 1])
+def test_suffixes_of_a_passage_repeated_in_one_document(spark, bucket, monkeypatch):
+    from sparkloom.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "BUCKET", bucket)
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    texts = []
+    for n in (50, 60, 70, 90, 150):
+        s, c, d = text(n), text(80), text(80)
+        texts += [text(80) + s + text(80), (c + s + d) * 2, (c + s + d) * 3 + "z", s + text(10) + s]
+    texts += ["y" * 300, "y" * 150 + text(30) + "y" * 150 + "z"]
+    gone = covered([t.encode() for t in texts], list(range(len(texts))), 50)
+    rows = {x.doc_id: x.n_removed for x in suffixes.digests(frame(spark, texts)).collect()}
+    assert [rows[i] for i in range(len(texts))] == [int(g.sum()) for g in gone]
+
+
 @given(st.lists(st.text("ab", min_size=6, max_size=30), min_size=1, max_size=6), st.integers(1, 20))
 @settings(max_examples=100, deadline=None)
 def test_deep_shallow_order(parts, depth):

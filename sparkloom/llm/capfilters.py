@@ -2,10 +2,13 @@
 
 Filters are the words of a random product code: after a random rotation the dimensions are cut
 into blocks, each block has its own random unit vectors, and a filter is one of them from every
-block, end to end. A vector is list-decoded to all filters whose inner product with it passes a
-threshold: block scores are sorted, and partial words that can't reach the threshold with the
-best of the remaining blocks are dropped, so that work follows the length of the list. Vectors
-meet where they share a filter (and a label) and are verified by cosine in double precision.
+block, end to end. A vector is list-decoded to the filters whose caps it lies deepest in, a fixed number
+of them: block scores are sorted, and a partial word that as many others beat is dropped, so that
+work follows the length of the list. Vectors meet where they share a filter (and a label) and are
+verified by cosine in double precision.
+
+The rotation is random, so how likely a pair meets depends on the code and its cosine alone: it is
+measured on random pairs at the least cosine when a code is made, and lists grow until it suffices.
 
 Equal vectors of a label are one class, so that copies cost nothing; links are counted with
 their copies.
@@ -15,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -26,58 +28,68 @@ from sparkloom.llm.common import materialize, short_batches
 from sparkloom.llm.components import components
 from sparkloom.llm.runs import whole_runs
 
-#: Filters a vector passes on average, vectors that share one by chance, and vectors multiplied at once.
-LIST, CROWD, TILE = 48, 8, 1024
+#: Lengths of lists tried, vectors that share a filter by chance at first, and vectors multiplied at once.
+LISTS, CROWD, TILE = (8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256), 128, 1024
+#: Pairs at the least cosine that a code is measured on, and the share of them that has to meet.
+PAIRS, RECALL = 2000, 0.999
 
 
 @dataclass(frozen=True)
 class Code:
-    """rotation (dim x dim), one matrix of unit vectors a block, and the threshold on the sum of block scores."""
+    """rotation (dim x dim), one matrix of unit vectors a block, and the number of filters a vector passes."""
 
     rotation: np.ndarray
     blocks: list[np.ndarray]
-    least: float
+    list: int
 
     @classmethod
-    def of(cls, dim: int, n: int, seed: int = 5) -> Code:
-        """For n vectors of a label: as many filters as keep chance meetings few, in the fewest blocks of at most 256 vectors."""
+    def of(cls, dim: int, n: int, least: float = 0.93, seed: int = 5) -> Code:
+        """For n vectors of a label: the shortest lists by which pairs at the least cosine meet.
+
+        Where no list is long enough (few dimensions), filters get fewer, at last so few that all vectors meet.
+        """
         rng = np.random.default_rng([seed, dim])
-        filters = max(256, LIST * n // CROWD)
-        m = next((m for m in range(min(2, dim), dim + 1) if 256**m >= filters), dim)
+        u, g = _unit(rng.standard_normal((PAIRS, dim))), rng.standard_normal((PAIRS, dim))
+        g -= (g * u).sum(axis=1, keepdims=True) * u
+        v = least * u + np.sqrt(max(0.0, 1 - least**2)) * _unit(g) if dim > 1 else u
+        crowd = CROWD
+        while True:
+            for length in LISTS:
+                code = cls._sized(dim, length * n // crowd, length, seed)
+                met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(code.decode(u), code.decode(v))]
+                if np.mean(met) >= RECALL:
+                    return code
+            crowd *= 4
+
+    @classmethod
+    def _sized(cls, dim: int, filters: int, length: int, seed: int) -> Code:
+        """At least as many filters, in the fewest blocks of at most 256 vectors."""
+        rng = np.random.default_rng([seed, dim, length])
+        m = next((m for m in range(1, dim + 1) if 256**m >= filters), dim)
         size = max(4, int(np.ceil(filters ** (1 / m))))
-        rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
+        rotation = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))[0]
         widths = [dim * (i + 1) // m - dim * i // m for i in range(m)]
         blocks = [(lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((size, w))) for w in widths]
-        # A filter's score for a random unit vector is about normal with variance m / dim before division by sqrt(m).
-        share = min(0.5, LIST / size**m)
-        return cls(rotation, blocks, NormalDist().inv_cdf(1 - share) * np.sqrt(m / dim))
+        return cls(rotation, blocks, length)
+
+    def decode(self, x: np.ndarray) -> np.ndarray:
+        """The filters' numbers each unit row of x passes: a row of the `list` best (all, where there are fewer)."""
+        return np.concatenate([self._best(x[i : i + TILE] @ self.rotation) for i in range(0, len(x), TILE)])
 
-    def decode(self, x: np.ndarray) -> list[np.ndarray]:
-        """The filters' numbers each unit row of x passes."""
-        y, at, scores = x @ self.rotation, 0, []
+    def _best(self, y: np.ndarray) -> np.ndarray:
+        at, word, total = 0, np.zeros((len(y), 1), np.int64), np.zeros((len(y), 1))
         for b in self.blocks:
-            scores.append(y[:, at : at + b.shape[1]] @ b.T)
+            scores = y[:, at : at + b.shape[1]] @ b.T
             at += b.shape[1]
-        order = [np.argsort(-s, axis=1) for s in scores]
-        ranked = [np.take_along_axis(s, o, 1) for s, o in zip(scores, order)]
-        best = np.array([s[:, 0] for s in ranked])
-        rest = np.cumsum(best[::-1], axis=0)[::-1]
-        out = []
-        for i in range(len(x)):
-            word, total = np.zeros(1, np.int64), np.zeros(1)
-            for k, s in enumerate(ranked):
-                need = self.least - (rest[k + 1, i] if k + 1 < len(ranked) else 0.0)
-                n = np.searchsorted(-s[i], total - need, side="right")
-                which = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                word = np.repeat(word, n) * s.shape[1] + order[k][i][which]
-                total = np.repeat(total, n) + s[i][which]
-            # Directions with few filters near them would meet nobody: the best word counts always.
-            best_word = sum(int(order[k][i][0]) * self._place(k) for k in range(len(ranked)))
-            out.append(word if len(word) and (word == best_word).any() else np.append(word, best_word))
-        return out
-
-    def _place(self, k: int) -> int:
-        return int(np.prod([b.shape[0] for b in self.blocks[k + 1 :]], dtype=np.int64))
+            order = np.argsort(-scores, axis=1, kind="stable")[:, : self.list]
+            ranked = np.take_along_axis(scores, order, 1)
+            # The i-th partial word with the j-th vector is beaten by (i + 1) * (j + 1) - 1 others at least.
+            i, j = np.nonzero(np.outer(np.arange(total.shape[1]) + 1, np.arange(order.shape[1]) + 1) <= self.list)
+            sums = total[:, i] + ranked[:, j]
+            best = np.argsort(-sums, axis=1, kind="stable")[:, : self.list]
+            total = np.take_along_axis(sums, best, 1)
+            word = np.take_along_axis(word, i[best], 1) * len(b) + np.take_along_axis(order, j[best], 1)
+        return word
 
 
 def _matrix(column, dim: int) -> np.ndarray:
@@ -121,7 +133,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, vec_id: str = "vec_id"
         raise ValueError("vectors of over 1000 lengths")
     links = None
     for s in shapes:
-        own = _links_of(classes.where(F.col("dim") == s["dim"]), s["dim"], Code.of(s["dim"], s["n"], seed), least)
+        own = _links_of(classes.where(F.col("dim") == s["dim"]), s["dim"], Code.of(s["dim"], s["n"], least, seed), least)
         links = own if links is None else links.union(own)
     if links is None:
         named = classes.select("cid", F.lit(0).cast("long").alias("n_links"), F.col("least").alias("component_id"))
@@ -145,8 +157,8 @@ def _links_of(classes: DataFrame, dim: int, code: Code, least: float) -> DataFra
             if not b.num_rows:
                 continue
             passed = code.decode(_unit(_matrix(b.column(2), dim)))
-            row = pa.array(np.repeat(np.arange(len(passed)), [len(p) for p in passed]))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(np.concatenate(passed)), b.column(1).take(row)], names=["label", "f", "cid"])
+            row = pa.array(np.repeat(np.arange(len(passed)), passed.shape[1]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(passed.ravel()), b.column(1).take(row)], names=["label", "f", "cid"])
 
     kind = classes.schema["label"].dataType.simpleString()
     dealt = classes.select("label", "cid", "e").mapInArrow(deal, f"label {kind}, f long, cid long")

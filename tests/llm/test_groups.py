@@ -230,6 +230,37 @@ def test_vectors_against_all_pairs(spark):
     assert capfilters.near_vectors(docs.limit(0)).count() == 0
 
 
+def test_vectors_of_one_large_label(spark):
+    from sparkloom.llm import capfilters
+
+    r = np.random.default_rng(7)
+    n, pairs = 20_000, 600
+    x = r.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    g = r.standard_normal((pairs, 64))
+    g -= (g * x[:pairs]).sum(axis=1)[:, None] * x[:pairs]
+    x[-pairs:] = 0.932 * x[:pairs] + np.sqrt(1 - 0.932**2) * g / np.linalg.norm(g, axis=1)[:, None]
+    x = x.astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    want = sum(int((u[i : i + 1000] @ u.T >= 0.93).sum()) for i in range(0, n, 1000)) - n
+    docs = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    found = capfilters.near_vectors(docs).agg({"n_links": "sum"}).first()[0]
+    assert want >= 2 * pairs and 0.99 * want <= found <= want
+
+
+@pytest.mark.parametrize("dim, n", [(1, 50), (2, 100_000), (3, 1000), (16, 10**6), (64, 3 * 10**6)])
+def test_codes_meet_close_pairs(dim, n):
+    from sparkloom.llm.capfilters import Code
+
+    r = np.random.default_rng(8)
+    u, g = (x / np.linalg.norm(x, axis=1)[:, None] for x in r.standard_normal((2, 1000, dim)))
+    g -= (g * u).sum(axis=1)[:, None] * u
+    v = 0.93 * u + np.sqrt(1 - 0.93**2) * g / np.linalg.norm(g, axis=1)[:, None] if dim > 1 else u
+    code = Code.of(dim, n)
+    met = [len(set(a) & set(b)) > 0 for a, b in zip(code.decode(u).tolist(), code.decode(v).tolist())]
+    assert np.mean(met) >= 0.99
+
+
 def test_components_of_a_long_path(spark):
     from sparkloom.llm.components import components
 

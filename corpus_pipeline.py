@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import langid, mixing, packing, phrases, simhash
+from sparkloom.llm import langid, mixing, packing, phrases, shingles
 from sparkloom.llm.common import materialize
 from sparkloom.llm.queries import vocabulary
 
@@ -26,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies (0.8 of their five-word shingles) stays: the smallest id."""
+    return shingles.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

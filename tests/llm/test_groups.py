@@ -174,6 +174,32 @@ def test_simhash_against_all_pairs(spark):
     assert simhash.keep_one(frame(spark, ["a b", "a b", "a b", "c d e"], ids=ids)).count() == 2
 
 
+def test_near_copies_stage_against_all_pairs(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(11)
+    texts: list[str | None] = corpus(5)
+    for _ in range(40):
+        words = [f"w{r.randrange(5000)}" for _ in range(r.choice((100, 300)))]
+        texts.append(" ".join(words))
+        for share in (0.01, 0.02, 0.04):  # words edited: similarity above and below 0.8
+            texts.append(" ".join("z%d" % r.randrange(9999) if r.random() < share else w for w in words))
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(texts)))
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    for _ in texts:
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+    kept = {x.doc_id for x in corpus_pipeline.near_copies(spark, frame(spark, texts), "").collect()}
+    assert kept == set(group) and len(pairs) > 60
+    none = frame(spark, texts).limit(0)
+    assert corpus_pipeline.near_copies(spark, none, "").count() == 0
+    ids = [None, 3, 3, 4]
+    assert sorted(x.doc_id for x in corpus_pipeline.near_copies(spark, frame(spark, ["a b", "a b", "a b", "c d e"], ids=ids), "").collect()) == [3, 4]
+
+
 @given(st.lists(st.integers(0, (1 << 12) - 1), unique=True, max_size=60), st.integers(1, 3))
 @settings(max_examples=50, deadline=None)
 def test_forest_joins_what_pairs_join(xs, distance):

@@ -99,6 +99,26 @@ def test_suffixes_of_a_passage_repeated_in_one_document(spark, bucket, monkeypat
     assert [rows[i] for i in range(len(texts))] == [int(g.sum()) for g in gone]
 
 
+@pytest.mark.parametrize("bucket, local, most", [(2000, 64, 2_000_000), (2000, 2, 300), (1, 3, 1000)])
+def test_suffixes_of_texts_that_share_an_id(spark, bucket, local, most, monkeypatch):
+    """Two texts of one id or of none, texts longer than what is worked on at once, anchors crowded in one batch."""
+    from sparkloom.llm import suffixes
+
+    for name, value in (("BUCKET", bucket), ("LOCAL", local), ("AT_ONCE", most)):
+        monkeypatch.setattr(suffixes, name, value)
+    texts, ids = corpus(7), []
+    long = "".join(random.Random(8).choice("abcdefgh ") for _ in range(7000))
+    texts += [long, long[:400], long[3000:3500] + "tail", long, "head" + long[100:5000]]
+    r = random.Random(3)
+    for _ in texts:
+        ids.append(r.choice([None, 1, 2, 7, 7, 9, 12, 15, 20]))
+    seqs = [(t or "").encode() for t in texts]
+    gone = covered(seqs, [1 << 70 if i is None else i for i in ids], 50)
+    want = sorted((i or -1, len(s), int(g.sum()), hashlib.sha256(np.frombuffer(s, np.uint8)[~g].tobytes()).hexdigest()) for i, s, g in zip(ids, seqs, gone))
+    rows = suffixes.digests(frame(spark, texts, ids=ids)).collect()
+    assert sorted((x.doc_id or -1, x.n_bytes, x.n_removed, x.kept_sha256) for x in rows) == want
+
+
 @given(st.lists(st.text("ab", min_size=6, max_size=30), min_size=1, max_size=6), st.integers(1, 20))
 @settings(max_examples=100, deadline=None)
 def test_deep_shallow_order(parts, depth):

@@ -149,8 +149,8 @@ def shared_anchors(marks: DataFrame) -> DataFrame:
 
 
 def leaders(cand: DataFrame, *lead: str) -> DataFrame:
-    """a, c1, c2, lead (struct d, pos, or the columns named), hi: distinct contexts with their smallest document. cand: key, d, a, pos, c1, c2."""
-    return cand.groupBy("a", "c1", "c2").agg(F.min(F.struct(*(lead or ("d", "pos")))).alias("lead"), F.max("d").alias("hi"))
+    """a, c1, c2, lead (struct of the columns named, d first), hi: distinct contexts with their smallest document. cand: key, d, a, pos, c1, c2."""
+    return cand.groupBy("a", "c1", "c2").agg(F.min(F.struct(*lead)).alias("lead"), F.max("d").alias("hi"))
 
 
 def differing(lead: DataFrame) -> DataFrame:

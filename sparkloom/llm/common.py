@@ -100,7 +100,29 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, keep: bool = Fals
     with _cleanup(spark):
         df.write.option("compression", "zstd").options(**options).parquet(path)
     _at_end(lambda: _remove(spark, path), keep)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table that `materialize` wrote, before its scope ends."""
+    _remove(df.sparkSession, df._table)
+
+
+def carried(df: DataFrame, **columns: Column) -> DataFrame:
+    """`row` (all columns of df in one struct, so that no name of theirs can clash) and the columns given."""
+    return df.select(F.struct(*[F.col(_quoted(c)) for c in df.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
+def uncarried(rows: DataFrame, df: DataFrame, **new: Column) -> DataFrame:
+    """The columns of df out of `row`, with those in `new` in place of theirs or behind them."""
+    own = [new.get(c, F.col(f"row.{_quoted(c)}")).alias(c) for c in df.columns]
+    return rows.select(*own, *[c.alias(n) for n, c in new.items() if n not in df.columns])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 class BucketedTexts:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.anchored import NO_ID, Scheme, batched, differing, leaders, lists, merged, shared_anchors, signed
-from sparkloom.llm.common import materialize, short_batches, text_key
+from sparkloom.llm.common import carried, discard, materialize, scope, text_key, uncarried
 
 #: Words of the anchor's k-gram, of a passage's blocks, and of the key phrase at a block's start.
 GRAM, BLOCK, KEY = 8, 25, 12
@@ -86,18 +86,18 @@ def candidates(marks: DataFrame) -> DataFrame:
 
 
 def _passages(texts: DataFrame, runs: DataFrame) -> DataFrame:
-    """m, words (joined by a space): what an owner's ranges hold. runs: m, s, e (arrays of half-open ranges)."""
+    """mk, m, words (joined by a space): what an owner's ranges hold. runs: mk (the owner's key), s, e (arrays of half-open ranges)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m, out = [], []
-            for d, t, s, e in zip(*(c.to_pylist() for c in b.columns)):
+            mk, m, out = [], [], []
+            for key, d, t, s, e in zip(*(c.to_pylist() for c in b.columns)):
                 words = split(t)
                 for x, y in zip(*merged(np.array(s), np.array(e))):
-                    m.append(d), out.append(b" ".join(words[x:y]))
-            yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(out, pa.binary())], names=["m", "words"])
+                    mk.append(key), m.append(d), out.append(b" ".join(words[x:y]))
+            yield pa.RecordBatch.from_arrays([pa.array(mk, pa.binary()), pa.array(m, pa.int64()), pa.array(out, pa.binary())], names=["mk", "m", "words"])
 
-    return texts.join(runs, texts.d == runs.m).select("m", "text", "s", "e").mapInArrow(cut, "m long, words binary")
+    return texts.join(runs, texts.key == runs.mk).select("mk", "d", "text", "s", "e").mapInArrow(cut, "mk binary, m long, words binary")
 
 
 class Shard:
@@ -150,67 +150,73 @@ class Shard:
 
 
 def find_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(marks, cuts): a narrow row a document, and for each text with a repeat key, d, text, s, e (ranges of words to remove)."""
+    """(marks, cuts): a narrow row a document, and for each text with a repeat key, d, text, s, e (ranges of words to remove).
+
+    Texts are told apart by their key throughout; an id only says who is smaller.
+    """
     spark = docs.sparkSession
-    short_batches(spark, 500)
     scheme = Scheme(window, min(GRAM, window))
-    marks = materialize(spark, mark(docs, scheme, doc_id, text), "phrases-marks")
+    marks = materialize(spark, mark(docs, scheme, doc_id, text), "phrases-marks", keep=True)
     cand = materialize(spark, candidates(marks), "phrases-candidates")
     # The texts that take part, once each.
     wanted = cand.select("key", "d").distinct()
     texts = docs.select(text_key(text).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text).alias("text"))
     texts = texts.join(wanted, ["key", "d"], "left_semi")
     texts = materialize(spark, texts.groupBy("key", "d").agg(F.first("text").alias("text")), "phrases-texts")
-    lead = materialize(spark, leaders(cand), "phrases-leaders")
-    need = differing(lead).select("lead.d", "lead.pos").groupBy("d").agg(F.collect_list("pos").alias("at"))
+    lead = materialize(spark, leaders(cand, "d", "key", "pos"), "phrases-leaders")
+    need = differing(lead).select("lead.key", "lead.pos")
+    # A text that shares a leader's id and its context isn't cut by it, and is compared for itself.
+    twins = texts.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d")
+    beside = cand.join(twins, "d", "left_semi").join(lead.select("a", "c1", "c2", F.col("lead.d").alias("m"), F.col("lead.key").alias("mk")), ["a", "c1", "c2"]).where("d = m AND key != mk").select("key", "pos")
+    need = need.union(beside).groupBy("key").agg(F.collect_set("pos").alias("at"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            d, pos, w1, w2 = [], [], [], []
-            for one, t, at in zip(*(c.to_pylist() for c in b.columns)):
+            key, d, pos, w1, w2 = [], [], [], [], []
+            for one, i, t, at in zip(*(c.to_pylist() for c in b.columns)):
                 values = word_codes(split(t))
                 first, last = scheme.spans(np.array(at), len(values))
                 live = np.zeros(len(values) + 2, np.int64)
                 np.add.at(live, first, 1), np.add.at(live, last + 1, -1)
                 starts = np.flatnonzero(np.cumsum(live)[: len(values)] > 0)
                 x, y = scheme.window_hashes(values, starts)
-                d.append(np.full(len(starts), one, np.int64)), pos.append(starts.astype(np.int32)), w1.append(signed(x)), w2.append(signed(y))
+                key += [one] * len(starts)
+                d.append(np.full(len(starts), i, np.int64)), pos.append(starts.astype(np.int32)), w1.append(signed(x)), w2.append(signed(y))
             if d:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (d, pos, w1, w2)], names=["d", "pos", "w1", "w2"])
-
-    def at(cols: str) -> DataFrame:
-        return texts.join(need, "d").select("d", "text", "at").mapInArrow(windows, cols)
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), *(pa.array(np.concatenate(x)) for x in (d, pos, w1, w2))], names=["key", "d", "pos", "w1", "w2"])
 
-    seen = materialize(spark, at("d long, pos int, w1 long, w2 int"), "phrases-windows")
-    owned = seen.groupBy("w1", "w2").agg(F.min(F.struct("d", "pos")).alias("own"), F.max("d").alias("hi")).where("own.d < hi").select("w1", "w2", F.col("own.d").alias("m"), F.col("own.pos").alias("pos"))
+    seen = texts.join(need, "key").select("key", "d", "text", "at").mapInArrow(windows, "key binary, d long, pos int, w1 long, w2 int")
+    seen = materialize(spark, seen, "phrases-windows")
+    owned = seen.groupBy("w1", "w2").agg(F.min(F.struct("d", "key", "pos")).alias("own"), F.max("d").alias("hi")).where("own.d < hi").select("w1", "w2", F.col("own.d").alias("m"), F.col("own.key").alias("mk"), F.col("own.pos").alias("pos"))
     owned = materialize(spark, owned, "phrases-owned")
     # Owners' ranges: of contexts that larger documents share, and of single windows.
-    n_of = marks.groupBy("key").agg(F.first("n_words").alias("n"))
-    sizes = texts.select("key", "d").join(n_of, "key").select(F.col("d").alias("m"), "n")
-    shared = lead.where("lead.d < hi").select(F.col("lead.d").alias("m"), "lead.pos").join(sizes, "m")
-    whole = shared.select("m", F.greatest(F.lit(0), F.col("pos") - scheme.w + 1).alias("s"), F.least(F.col("n").cast("int"), F.col("pos") + scheme.k + scheme.w - 1).alias("e"))
-    single = owned.select("m", F.col("pos").alias("s"), (F.col("pos") + window).alias("e"))
-    runs = whole.union(single).groupBy("m").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
+    sizes = marks.groupBy(F.col("key").alias("mk")).agg(F.first("n_words").alias("n"))
+    shared = lead.where("lead.d < hi").select(F.col("lead.key").alias("mk"), "lead.pos").join(sizes, "mk")
+    whole = shared.select("mk", F.greatest(F.lit(0), F.col("pos") - scheme.w + 1).alias("s"), F.least(F.col("n").cast("int"), F.col("pos") + scheme.k + scheme.w - 1).alias("e"))
+    single = owned.select("mk", F.col("pos").alias("s"), (F.col("pos") + window).alias("e"))
+    runs = whole.union(single).groupBy("mk").agg(F.collect_list("s").alias("s"), F.collect_list("e").alias("e"))
     passages = materialize(spark, _passages(texts, runs), "phrases-passages")
-    # Which document may hold which owner's passages.
-    by_context = cand.join(lead.where("lead.d < hi").select("a", "c1", "c2", F.col("lead.d").alias("m")), ["a", "c1", "c2"]).where("d > m").select("d", "m")
-    by_window = seen.join(owned.select("w1", "w2", "m"), ["w1", "w2"]).where("d > m").select("d", "m")
+    # Which text may hold which owner's passages.
+    by_context = cand.join(lead.where("lead.d < hi").select("a", "c1", "c2", F.col("lead.d").alias("m"), F.col("lead.key").alias("mk")), ["a", "c1", "c2"]).where("d > m").select("key", "mk")
+    by_window = seen.join(owned.select("w1", "w2", "m", "mk"), ["w1", "w2"]).where("d > m").select("key", "mk")
     routes = materialize(spark, by_context.union(by_window).distinct(), "phrases-routes")
+    for done in (cand, lead, seen, owned):
+        discard(done)
     total = passages.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, total // (6 * SHARD_WORDS) + 1)
-    salts = routes.groupBy("m").agg(F.ceil(F.count("*") / F.lit(float(SERVED))).cast("long").alias("salts"))
-    shard = lambda salt: F.pmod(F.xxhash64("m", salt), F.lit(shards))
-    dealt = passages.join(salts, "m").select("m", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    dealt = dealt.select(shard(F.col("salt")).alias("shard"), F.lit(0).alias("kind"), F.col("m").alias("d"), F.col("words").alias("body"))
-    sent = routes.join(salts, "m").select(shard(F.pmod(F.xxhash64("d"), F.col("salts"))).alias("shard"), "d").distinct()
-    sent = sent.join(texts, "d").select("shard", F.lit(1).alias("kind"), "d", F.col("text").cast("binary").alias("body"))
+    salts = routes.groupBy("mk").agg(F.ceil(F.count("*") / F.lit(float(SERVED))).cast("long").alias("salts"))
+    shard = lambda salt: F.pmod(F.xxhash64("mk", salt), F.lit(shards))
+    dealt = passages.join(salts, "mk").select("mk", "m", "words", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    dealt = dealt.select(shard(F.col("salt")).alias("shard"), F.lit(0).alias("kind"), F.col("m").alias("d"), F.col("mk").alias("key"), F.col("words").alias("body"))
+    sent = routes.join(salts, "mk").select(shard(F.pmod(F.xxhash64("key"), F.col("salts"))).alias("shard"), "key").distinct()
+    sent = sent.join(texts, "key").select("shard", F.lit(1).alias("kind"), "d", "key", F.col("text").cast("binary").alias("body"))
     stream = dealt.union(sent).repartition("shard").sortWithinPartitions("shard", "kind", "d")
 
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, machine = None, [], None
         for b in batches:
-            d, s, e = [], [], []
-            for shard, kind, one, body in zip(*(c.to_pylist() for c in b.columns)):
+            key, s, e = [], [], []
+            for shard, kind, one, text_key, body in zip(*(c.to_pylist() for c in b.columns)):
                 if shard != now:
                     now, held, machine = shard, [], None
                 if kind == 0:
@@ -220,12 +226,12 @@ def find_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text
                     machine, held = Shard(held, window), []
                 x, y = machine.find(one, body.decode())
                 if len(x):
-                    d.append(one), s.append(x.tolist()), e.append(y.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.list_(pa.int64())), pa.array(e, pa.list_(pa.int64()))], names=["d", "s", "e"])
+                    key.append(text_key), s.append(x.tolist()), e.append(y.tolist())
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(s, pa.list_(pa.int64())), pa.array(e, pa.list_(pa.int64()))], names=["key", "s", "e"])
 
-    found = stream.mapInArrow(locate, "d long, s array<long>, e array<long>")
-    found = found.groupBy("d").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("e")).alias("e"))
-    return marks, materialize(spark, texts.join(found, "d").select("key", "d", "text", "s", "e"), "phrases-cuts")
+    found = stream.mapInArrow(locate, "key binary, s array<long>, e array<long>")
+    found = found.groupBy("key").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("e")).alias("e"))
+    return marks, materialize(spark, texts.join(found, "key").select("key", "d", "text", "s", "e"), "phrases-cuts", keep=True)
 
 
 def kept_words(text: str | None, s, e) -> list[bytes]:
@@ -241,36 +247,43 @@ def digests(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str
     """doc_id, n_words, n_removed, kept_sha256 for each row.
 
     Null and empty texts have no words. A null id is larger than any other, so it owns nothing;
-    rows of equal id never remove from one another, but repeated rows lose what smaller ids hold.
-    Empty tables give no rows; only the id and the text are read.
+    rows of equal id never remove from one another, whether their texts are equal or not, but each
+    loses what smaller ids hold. Empty tables give no rows; only the id and the text are read.
     """
-    marks, cuts = find_repeats(docs, window, doc_id, text)
+    with scope(docs.sparkSession, 500):
+        marks, cuts = find_repeats(docs, window, doc_id, text)
 
-    def left(texts: pd.Series, s: pd.Series, e: pd.Series) -> pd.DataFrame:
-        kept = [kept_words(*x) for x in zip(texts, s, e)]
-        return pd.DataFrame({"kept": [len(k) for k in kept], "sha": [hashlib.sha256(b" ".join(k)).hexdigest() for k in kept]})
+        def left(texts: pd.Series, s: pd.Series, e: pd.Series) -> pd.DataFrame:
+            kept = [kept_words(*x) for x in zip(texts, s, e)]
+            return pd.DataFrame({"kept": [len(k) for k in kept], "sha": [hashlib.sha256(b" ".join(k)).hexdigest() for k in kept]})
 
-    got = cuts.select("key", F.pandas_udf(left, "kept long, sha string")("text", "s", "e").alias("r")).select("key", "r.kept", F.col("r.sha").alias("kept_sha"))
-    first = marks.groupBy("key").agg(F.min("d").alias("first"))
-    rows = marks.select("key", "doc_id", "d", "n_words", "sha").join(first.join(got, "key", "left"), "key")
-    copy = (F.col("d") > F.col("first")) & (F.col("n_words") >= window)
-    gone = F.when(copy, F.col("n_words")).when(F.col("kept").isNotNull(), F.col("n_words") - F.col("kept")).otherwise(F.lit(0))
-    return rows.select("doc_id", "n_words", gone.cast("long").alias("n_removed"), F.when(copy, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"))
+        got = cuts.select("key", F.pandas_udf(left, "kept long, sha string")("text", "s", "e").alias("r")).select("key", "r.kept", F.col("r.sha").alias("kept_sha"))
+        first = marks.groupBy("key").agg(F.min("d").alias("first"))
+        rows = marks.select("key", "doc_id", "d", "n_words", "sha").join(first.join(got, "key", "left"), "key")
+        copy = (F.col("d") > F.col("first")) & (F.col("n_words") >= window)
+        gone = F.when(copy, F.col("n_words")).when(F.col("kept").isNotNull(), F.col("n_words") - F.col("kept")).otherwise(F.lit(0))
+        rows = rows.select("doc_id", "n_words", gone.cast("long").alias("n_removed"), F.when(copy, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"))
+        rows = materialize(docs.sparkSession, rows, "phrases-rows", keep=True)
+        discard(marks), discard(cuts)
+    return rows
 
 
 def deduplicate(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` with repeats cut out of their texts (untouched texts stay as they are, white space and all).
 
-    Rows of which nothing is left that was there before go; rows without words stay.
+    Rows of which nothing is left that was there before go; rows without words (null and empty texts) stay.
+    Null, equal and repeated ids count as in `digests`. Other columns pass through, whatever their names.
+    Empty tables give no rows.
     """
-    marks, cuts = find_repeats(docs, window, doc_id, text)
-    first = marks.groupBy("key").agg(F.min("d").alias("_first"), F.first("n_words").alias("_n"))
-    per = first.join(cuts.select("key", "s", "e"), "key", "left").withColumnsRenamed({"key": "_key", "s": "_s", "e": "_e"})
+    with scope(docs.sparkSession, 500):
+        marks, cuts = find_repeats(docs, window, doc_id, text)
+    first = marks.groupBy("key").agg(F.min("d").alias("first"), F.first("n_words").alias("n"))
+    per = first.join(cuts.select("key", "s", "e"), "key", "left")
 
     def left(texts: pd.Series, s: pd.Series, e: pd.Series) -> pd.Series:
         return pd.Series([t if a is None else b" ".join(kept_words(t, a, z)).decode() for t, a, z in zip(texts, s, e)], dtype=object)
 
-    rows = docs.withColumn("_k", text_key(text)).join(per, F.col("_k") == F.col("_key"), "left")
-    copy = (F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) > F.col("_first")) & (F.col("_n") >= window)
-    rows = rows.where(~F.coalesce(copy, F.lit(False))).withColumn(text, F.when(F.col("_s").isNull(), F.col(text)).otherwise(F.pandas_udf(left, "string")(F.col(text), "_s", "_e")))
-    return rows.where(F.col("_s").isNull() | (F.col(text) != "")).select(*docs.columns)
+    rows = carried(docs, key=text_key(text), d=F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), t=F.col(text)).join(per, "key", "left")
+    copy = (F.col("d") > F.col("first")) & (F.col("n") >= window)
+    rows = rows.where(~F.coalesce(copy, F.lit(False))).withColumn("t", F.when(F.col("s").isNull(), F.col("t")).otherwise(F.pandas_udf(left, "string")("t", "s", "e")))
+    return uncarried(rows.where(F.col("s").isNull() | (F.col("t") != "")), docs, **{text: F.col("t")})

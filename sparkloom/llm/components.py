@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import discard, materialize
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -25,17 +25,18 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.where("u != v").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, root (the smallest node it reaches) for each node with a link. links: u, v of type long.
 
-    Self links and repeated links don't matter; nodes without a link aren't listed.
+    Self links and repeated links don't matter; nodes without a link aren't listed. Rounds go on until
+    nothing changes: the logarithm of the longest path, about.
     """
     spark = links.sparkSession
     now = materialize(spark, links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     seen = None
-    for _ in range(rounds):
+    while True:
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if mark == seen or not mark[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen, now = mark, materialize(spark, _small_star(_large_star(now)), "links")
-    raise RuntimeError("links did not settle")
+        before, seen, now = now, mark, materialize(spark, _small_star(_large_star(now)), "links")
+        discard(before)

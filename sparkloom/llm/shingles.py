@@ -1,9 +1,8 @@
-"""Near copies by the similarity of their sets of shingles.
+"""Similarity of whole sets of shingles, within groups of candidates that fingerprints propose.
 
-Texts whose sets are similar meet in some band of their least hashes with a chance that depends on the
-similarity alone: 0.9998 at 0.8. What meets, directly or by others, is a group of candidates;
-each set goes to its group once, and there similarities are computed from the whole sets. A
-search over the group keeps the components of the similar pairs and doesn't list the pairs.
+Each set goes to its group, and there similarities are computed from the whole sets. A search over
+the group keeps the components of the similar pairs and doesn't list the pairs. Groups of over
+`SHARE` texts are cut into tiles.
 """
 
 from __future__ import annotations
@@ -16,14 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.anchored import NO_ID, mixed
-from sparkloom.llm.common import materialize, short_batches, text_key
-from sparkloom.llm.components import components
+from sparkloom.llm.common import materialize, text_key
 from sparkloom.llm.runs import whole_runs
 
-#: Words of a shingle, least similarity of near copies, bands and least hashes in each.
-WIDTH, LEAST, BANDS, ROWS = 5, 0.8, 22, 5
-SALTS = np.random.default_rng(22).integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
+#: Words of a shingle, least similarity of near copies, texts of a group that a task compares.
+WIDTH, LEAST, SHARE = 5, 0.8, 1000
 
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -38,17 +34,6 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(line[a:z]) for a, z in zip(start, end)], np.uint64))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """A hash of each band's least hashes."""
-    least = np.full(len(SALTS), (1 << 64) - 1, np.uint64)
-    for i in range(0, len(found), 1 << 12):
-        least = np.minimum(least, (found[i : i + (1 << 12)] * SALTS).min(axis=1))
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for x in least.reshape(BANDS, ROWS).T:
-        out = mixed(out ^ x)
-    return out.view(np.int64)
-
-
 def similar(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
     """For each set the first set of its component, where sets of at least that similarity are linked."""
     n, root, left = np.array([len(s) for s in sets]), np.arange(len(sets)), np.ones(len(sets), bool)
@@ -76,47 +61,56 @@ def similar(sets: list[np.ndarray], least: float = LEAST) -> np.ndarray:
     return root
 
 
-def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, width: int = WIDTH) -> DataFrame:
-    """key (of a text), root and component_id (the smallest id of its near copies) of each distinct text."""
-    spark = docs.sparkSession
-    short_batches(spark)
+def similar_links(docs: DataFrame, members: DataFrame, doc_id: str, text: str, least: float = LEAST, width: int = WIDTH) -> DataFrame:
+    """u, v: links with the components of all pairs of a group whose sets are that similar.
 
-    @F.pandas_udf("array<long>")
-    def banded(texts: pd.Series) -> pd.Series:
-        return pd.Series([bands(shingles(t, width)) for t in texts])
+    members: key, cid, n (size of the set), met (the group) and least (the smallest id) of each distinct text of a group of candidates.
+    A large group first compares all with its first text; what is joined to that needn't be compared among
+    itself. The rest is cut into shares, and pairs of shares are tasks.
+    """
+    spark, share = docs.sparkSession, SHARE
 
     @F.pandas_udf("array<long>")
     def whole(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(t, width).view(np.int64) for t in texts])
 
-    rows = docs.select(text_key(text).alias("key"), F.col(doc_id).alias("doc_id"), banded(F.col(text)).alias("bands"))
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands"))
-    classes = materialize(spark, classes.withColumn("cid", F.monotonically_increasing_id()), "shingles-classes")
-    dealt = classes.select("cid", F.explode("bands").alias("k"))
-    met = dealt.groupBy("k").agg(F.min("cid").alias("m"), F.max("cid").alias("hi")).where("m < hi").select("k", "m")
-    found = components(dealt.join(met, "k").where("cid > m").select(F.col("cid").alias("u"), F.col("m").alias("v")))
-    meeting = materialize(spark, found.join(classes, F.col("node") == F.col("cid")).select("key", "cid", F.col("root").alias("met"), F.coalesce(F.col("least").cast("long"), F.lit(NO_ID)).alias("d")), "shingles-meeting")
-    texts = docs.select(text_key(text).alias("key"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("d"), F.col(text).alias("text"))
-    texts = texts.join(meeting, ["key", "d"]).dropDuplicates(["key"]).select("met", "cid", whole(F.col("text")).alias("s"))
+    texts = docs.select(text_key(text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    own = members.select(F.col("key").alias("k"), "cid", "met", F.col("least").alias("d"))
+    texts = texts.join(own, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["key"]).select("met", "cid", whole(F.col("text")).alias("s"))
+    texts = materialize(spark, texts, "shingles-sets")
+    large = materialize(spark, members.groupBy("met").agg(F.count("*").alias("m"), F.min("cid").alias("head")).where(F.col("m") > share), "shingles-large")
+    heads = texts.join(large.select(F.col("met").alias("lm"), "head"), F.col("cid") == F.col("head")).select("lm", "head", F.col("s").alias("fs"))
+
+    def near_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = []
+            for s, f in zip(b.column(2), b.column(3)):
+                s, f = s.values.to_numpy(), f.values.to_numpy()
+                common = len(np.intersect1d(s, f, assume_unique=True))
+                near.append(common * (1 + least) >= least * (len(s) + len(f)) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4), pa.array(near, pa.bool_())], names=["met", "cid", "head", "near"])
+
+    told = texts.join(heads, F.col("met") == F.col("lm")).select("met", "cid", "s", "fs", "head").mapInArrow(near_first, "met long, cid long, head long, near boolean")
+    told = materialize(spark, told, "shingles-told")
+    joined = told.where("near AND cid != head").select(F.col("cid").alias("u"), F.col("head").alias("v"))
+    # Shares of what is joined (odd) and of what isn't (even): a pair of shares is a tile unless both are joined.
+    parts = told.groupBy("met").agg(F.ceil(F.count_if("near") / F.lit(float(share))).cast("int").alias("on"), F.ceil(F.count_if(~F.col("near")) / F.lit(float(share))).cast("int").alias("off"))
+    mine = told.join(parts, "met").withColumn("own", F.when(F.col("near"), 2 * F.pmod(F.xxhash64("cid"), F.col("on")) + 1).otherwise(2 * F.pmod(F.xxhash64("cid"), F.col("off"))).cast("int"))
+    others = F.transform(F.sequence(F.lit(1), F.col("off")), lambda i: 2 * i - 2)
+    others = F.when(F.col("off") == 0, F.array().cast("array<int>")).otherwise(others)
+    more = F.when(F.col("near") | (F.col("on") == 0), F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), F.col("on")), lambda i: 2 * i - 1))
+    tiles = mine.withColumn("by", F.explode(F.concat(others, more))).select("cid", F.least("own", "by").alias("i"), F.greatest("own", "by").alias("j"))
+    small = members.join(large.select("met"), "met", "left_anti").select("cid", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    work = texts.join(small.union(tiles), "cid").select("met", "i", "j", "cid", "s")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, run in whole_runs(batches, 1):
-            cid, s = t.column(1).to_numpy(), t.column(2).combine_chunks()
+        for t, run in whole_runs(batches, 3):
+            cid, s = t.column(3).to_numpy(), t.column(4).combine_chunks()
             edges, flat = s.offsets.to_numpy(), s.values.to_numpy().view(np.uint64)
             cuts = np.flatnonzero(np.diff(run, prepend=-1, append=run[-1] + 1))
             root = np.concatenate([similar([flat[edges[i] : edges[i + 1]] for i in range(a, z)], least) + a for a, z in zip(cuts, cuts[1:])])
-            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(cid[root])], names=["cid", "root"])
-
-    verified = texts.repartition("met").sortWithinPartitions("met", "cid").mapInArrow(verify, "cid long, root long")
-    verified = materialize(spark, verified, "shingles-verified")
-    rooted = classes.select("cid", "key", "least").join(verified, "cid", "left").select("key", "least", F.coalesce("root", "cid").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(spark, rooted.join(named, "root").select("key", "root", "component_id"), "shingles-named")
-
+            link = root != np.arange(len(root))
+            yield pa.RecordBatch.from_arrays([pa.array(cid[link]), pa.array(cid[root[link]])], names=["u", "v"])
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = LEAST, width: int = WIDTH) -> DataFrame:
-    """The row of the smallest id of each component, with the columns of `docs`; of repeated rows one stays."""
-    named = groups(docs, doc_id, text, least, width).withColumnsRenamed({"key": "_key", "root": "_root", "component_id": "_least"})
-    kept = docs.withColumn("_k", text_key(text)).join(named, F.col("_k") == F.col("_key")).where(F.col(doc_id).eqNullSafe(F.col("_least")))
-    repeated = kept.groupBy("_root").count().where("count > 1").limit(1).count() > 0
-    return (kept.dropDuplicates(["_root"]) if repeated else kept).select(*docs.columns)
+    verified = work.repartition("met", "i", "j").sortWithinPartitions("met", "i", "j", "cid").mapInArrow(verify, "u long, v long")
+    return joined.union(verified)

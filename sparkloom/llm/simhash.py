@@ -5,6 +5,10 @@ so they share the value of some choice of the other blocks. Distinct fingerprint
 each choice's value and verified within a value. A value that a dense group shares isn't
 expanded into pairs: a search over its members keeps the links of a spanning forest, which has
 the same components. Equal fingerprints are one class from the start.
+
+For near copies by the similarity of their sets of shingles (`keep_one_similar`) fingerprints are longer:
+a pair at 0.8 differs in 15 bits of 100, too many for blocks that surely agree, so blocks are so many
+that some agrees but for a chance of 0.001. Then whole sets are compared (shingles.py).
 """
 
 from __future__ import annotations
@@ -18,12 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, short_batches
+from sparkloom.llm import packed
+from sparkloom.llm.anchored import mixed
+from sparkloom.llm.common import BATCH_ROWS, carried, discard, materialize, scope, text_key, uncarried
 from sparkloom.llm.components import components
 from sparkloom.llm.runs import whole_runs
 
 #: Fingerprints that may share a block value by chance, and the run length up to which pairs are compared at once.
 CROWD, SHORT_RUN = 8, 16
+#: Fingerprints of one value that a task compares; a multiplier for blocks' numbers.
+SHARE, SALT = 8192, np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -97,13 +105,18 @@ def link_runs(x: np.ndarray, run: np.ndarray, distance: int) -> tuple[np.ndarray
 
 def near_links(prints: DataFrame, distance: int = 4, bits: int = 64) -> DataFrame:
     """u, v: links with the components of all pairs within the distance. prints: distinct `fp` of type long."""
-    masks = block_masks(prints.count(), distance, bits)
+    masks, share = block_masks(prints.count(), distance, bits), SHARE
     pick = F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])
-    dealt = prints.select("fp", F.explode(pick).alias("p")).select("p.c", "p.k", "fp").repartition("c", "k").sortWithinPartitions("c", "k", "fp")
+    dealt = prints.select("fp", F.explode(pick).alias("p")).select("p.c", "p.k", "fp")
+    # Only values that two fingerprints share carry them on; a value of very many is cut into pairs of shares.
+    runs = dealt.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.ceil(F.col("n") / F.lit(float(share))).cast("int"))
+    tiles = dealt.join(runs, ["c", "k"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    tiles = tiles.withColumn("by", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("c", "k", F.least("own", "by").alias("i"), F.greatest("own", "by").alias("j"), "fp")
+    dealt = tiles.repartition("c", "k", "i", "j").sortWithinPartitions("c", "k", "i", "j", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, number in whole_runs(batches, 2):
-            u, v = link_runs(t.column(2).to_numpy().view(np.uint64), number, distance)
+        for t, number in whole_runs(batches, 4):
+            u, v = link_runs(t.column(4).to_numpy().view(np.uint64), number, distance)
             yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     return dealt.mapInArrow(run, "u long, v long").distinct()
@@ -118,15 +131,14 @@ def _prints(text: str, width: int, seed: int):
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(rows, named): doc_id and fp (signed) of each row; fp, root and component_id of each distinct fingerprint."""
+    """(rows, named): key (of the text), doc_id and fp (signed) of each row; fp, root and component_id of each distinct fingerprint."""
     spark = docs.sparkSession
-    short_batches(spark)
-    rows = materialize(spark, docs.select(F.col(doc_id).alias("doc_id"), _prints(text, width, seed).alias("fp")), "simhash-prints")
+    rows = materialize(spark, docs.select(text_key(text).alias("key"), F.col(doc_id).alias("doc_id"), _prints(text, width, seed).alias("fp")), "simhash-prints", keep=True)
     classes = materialize(spark, rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     found = components(near_links(classes.select("fp"), distance))
     rooted = classes.join(found, classes.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows, materialize(spark, rooted.join(named, "root").select("fp", "root", "component_id"), "simhash-named")
+    return rows, materialize(spark, rooted.join(named, "root").select("fp", "root", "component_id"), "simhash-named", keep=True)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
@@ -136,15 +148,179 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     take part; they never name a component unless all its ids are null (then it is null). Repeated
     rows each get their row. Empty tables give no rows; only the id and the text are read.
     """
-    rows, named = groups(docs, doc_id, text, distance, width, seed)
-    return rows.join(named.select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    with scope(docs.sparkSession, BATCH_ROWS):
+        rows, named = groups(docs, doc_id, text, distance, width, seed)
+        out = rows.join(named.select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+        out = materialize(docs.sparkSession, out, "simhash-rows", keep=True)
+        discard(rows), discard(named)
+    return out
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
-    """The row of the smallest id of each component, with the columns of `docs`; of repeated rows one stays."""
-    rows, named = groups(docs, doc_id, text, distance, width, seed)
-    named = named.withColumnsRenamed({"fp": "_f", "root": "_root", "component_id": "_least"})
-    mine = rows.join(named, F.col("fp") == F.col("_f")).where(F.col("doc_id").eqNullSafe(F.col("_least")))
-    repeated = mine.groupBy("_root").count().where("count > 1").limit(1).count() > 0
-    kept = docs.withColumn("_fp", _prints(text, width, seed)).join(named, F.col("_fp") == F.col("_f")).where(F.col(doc_id).eqNullSafe(F.col("_least")))
-    return (kept.dropDuplicates(["_root"]) if repeated else kept).select(*docs.columns)
+    """The row of the smallest id of each component of fingerprints, with the columns of `docs`, whatever their names.
+
+    Null and empty texts are one component with what is near fingerprint zero. Null ids count as larger than
+    any; of a component's rows that share its least id (or all have none) one stays. Empty tables give no rows.
+    """
+    with scope(docs.sparkSession, BATCH_ROWS):
+        rows, named = groups(docs, doc_id, text, distance, width, seed)
+        mine = rows.join(named, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        kept = materialize(docs.sparkSession, mine.groupBy("root", "component_id").agg(F.min("key").alias("key")), "simhash-kept", keep=True)
+        discard(rows), discard(named)
+    return only(docs, kept, doc_id, text)
+
+
+def only(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """One row of docs for each row of kept (key of the text, component_id: the id). Equal rows by both are told apart only where there are any."""
+    spark = docs.sparkSession
+    rows = carried(docs, key=text_key(text), d=F.col(doc_id)).join(kept.select(F.col("key").alias("k"), "component_id"), (F.col("key") == F.col("k")) & F.col("d").eqNullSafe(F.col("component_id")))
+    repeated = docs.select(text_key(text).alias("key"), F.col(doc_id).alias("d")).groupBy("key", "d").count().where("count > 1").select(F.col("key").alias("rk"), F.col("d").alias("rd"))
+    repeated = materialize(spark, repeated, "simhash-repeated", keep=True)
+    if repeated.isEmpty():
+        return uncarried(rows, docs)
+    again = (F.col("key") == F.col("rk")) & F.col("d").eqNullSafe(F.col("rd"))
+    once = rows.join(repeated, again, "left_anti")
+    first = rows.join(repeated, again, "left_semi").groupBy("key", "d").agg(F.first("row").alias("row"))
+    return uncarried(once.select("row").union(first.select("row")), docs)
+
+
+def _law(bits: int, least: float) -> int:
+    """Bits in which fingerprints of sets of that similarity differ at most: the mean by the angle between them, and six standard errors."""
+    p = np.arccos(2 * least / (1 + least)) / np.pi
+    return int(bits * p + 6 * np.sqrt(bits * p * (1 - p)))
+
+
+def wide_plan(n: int, least: float) -> tuple[int, int]:
+    """(bits of a block, blocks) for n texts: blocks as long as keep few texts on a value, as many as let a pair at the least similarity miss all with a chance of 0.001."""
+    size = min(40, max(10, int(np.ceil(np.log2(max(n, 2)))) - 4))
+    agree = (1 - np.arccos(2 * least / (1 + least)) / np.pi) ** size
+    return size, max(int(np.ceil(np.log(0.001) / np.log(1 - agree))), 1 + 128 // size)
+
+
+def wide_print(found: np.ndarray, words: int) -> np.ndarray:
+    """A fingerprint of 64 * words bits of a set of hashes: a bit is set if over half of the hashes, mixed with the word's salt, set it."""
+    salts = np.random.default_rng(64).integers(0, 1 << 64, words, np.uint64)
+    out, n = np.zeros(64 * words, np.int64), len(found)
+    for i in range(0, n, 255):
+        bits = np.unpackbits(mixed(found[i : i + 255, None] ^ salts).view(np.uint8), axis=1, bitorder="little")
+        out += np.add.reduce(bits.view(np.uint64), axis=0).view(np.uint8)  # a byte holds up to 255
+    return np.packbits(2 * out > n, bitorder="little").view(np.uint64)
+
+
+def wide_forest(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of x (fingerprints) that differ in at most `most` bits and join what does; one less than each component's members."""
+    out, left = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], np.arange(len(x))
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            p = queue.pop()
+            near = np.bitwise_count(x[left] ^ x[p]).sum(axis=1) <= most
+            if near.any():
+                out.append((np.full(near.sum(), p), left[near]))
+                queue += left[near].tolist()
+                left = left[~near]
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def similar_links(sets: DataFrame, words: int, size: int, blocks: int, least: float) -> DataFrame:
+    """u, v: links that join the texts whose sets of shingles may be as similar as `least`. sets: cid, n (members), fp (blob of 64 * words bits).
+
+    Fingerprints are cut into blocks; pairs meet where they share a block's value and may be similar by their
+    sizes, and are verified by the Hamming distance, first of 128 bits, then of all.
+    """
+    spark = sets.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    early, late = _law(128, least), _law(64 * words, least)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cid, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            fp = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, words)
+            bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, : size * blocks].reshape(len(fp), blocks, size)
+            value = (bits.astype(np.uint64) << np.arange(size, dtype=np.uint64)).sum(axis=2)
+            # Sizes of similar sets lie in one range or in two that adjoin.
+            span = np.floor(np.log(n) / -np.log(least)).astype(np.uint64)
+            k = np.stack([mixed(mixed(value + np.arange(1, blocks + 1, dtype=np.uint64) * SALT) + (span + i)[:, None]) for i in (np.uint64(0), np.uint64(1))], 2).ravel()
+            own = np.repeat(np.arange(len(fp)), 2 * blocks)
+            order = np.argsort(k, kind="stable")
+            lead, us, vs = np.ones(len(k), bool), [], []
+            at = packed.cuts(k[order])
+            for r in np.flatnonzero(np.diff(at) > 1):  # what a batch holds of a value is joined at once, and its first go on
+                names = order[at[r] : at[r + 1]]
+                i, j = wide_forest(fp[own[names], :2], early)
+                us.append(own[names[i]]), vs.append(own[names[j]])
+                lead[names[j]] = False
+            keys = np.column_stack([cid.view(np.uint64), np.zeros(len(cid), np.uint64)])
+            out = packed.Rows("k", "c")
+            out.add((k[lead] >> np.uint64(32)) % np.uint64(buckets), own[lead], keys, cid, k[lead], fp[own[lead], :2])
+            if us:
+                u, v = (np.concatenate(x) for x in (us, vs))
+                pair = np.unique(np.column_stack([u, v]), axis=0)
+                out.add(np.full(len(pair), -1), pair[:, 0], keys, cid, cid[pair[:, 1]].astype(np.uint64), np.zeros((len(pair), 0), np.uint64))
+            yield out.batch()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, _ in whole_runs(batches, 1):
+            us, vs = [], []
+            local = t.column(0).to_numpy() < 0
+            if local.any():
+                _, own, ks, _, v, _ = packed.unpack(t.take(pa.array(np.flatnonzero(local))), "<i8", "<u8")
+                us.append(ks[own, 0].view(np.int64)), vs.append(v)
+            if not local.all():
+                _, own, ks, _, k, c = packed.unpack(t.take(pa.array(np.flatnonzero(~local))), "<u8", "<u8")
+                cid, c = ks[own, 0].view(np.int64), c.reshape(-1, 2)
+                order = np.argsort(k, kind="stable")
+                at = packed.cuts(k[order])
+                for r in np.flatnonzero(np.diff(at) > 1):
+                    names = order[at[r] : at[r + 1]]
+                    i, j = wide_forest(c[names], early)
+                    us.append(cid[names[i]]), vs.append(cid[names[j]])
+            pair = np.unique(np.column_stack([np.concatenate(us), np.concatenate(vs)]), axis=0) if us else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(-1, words) for i in (2, 3))
+            near = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= late)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["u", "v"])
+
+    met = sets.select("cid", "n", "fp").mapInArrow(deal, packed.rows_schema("k", "c")).repartition("g").sortWithinPartitions("g").mapInArrow(meet, "u long, v long")
+    met = materialize(spark, met.distinct(), "simhash-met")
+    both = met.join(sets.select(F.col("cid").alias("u"), F.col("fp").alias("fu")), "u").join(sets.select(F.col("cid").alias("v"), F.col("fp").alias("fv")), "v")
+    return both.select("u", "v", "fu", "fv").mapInArrow(verify, "u long, v long")
+
+
+def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.8, width: int = 5) -> DataFrame:
+    """The row of the smallest id of each group of near copies, with the columns of `docs`, whatever their names.
+
+    Near copies share `least` of their sets of `width`-word shingles, directly or by others. Fingerprints of those sets
+    propose (they grow with the number of texts, so that a pair at the least similarity is missed with a chance of 0.001),
+    whole sets decide. Texts of fewer words are one shingle; null and empty texts and those of white space are
+    copies of one another. Null ids count as larger than any; of rows that share a group's least id one stays.
+    Empty tables give no rows.
+    """
+    from sparkloom.llm import shingles
+
+    spark = docs.sparkSession
+    with scope(spark, BATCH_ROWS):
+        rows = docs.select(text_key(text).alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size"))
+        firsts = materialize(spark, rows.groupBy("key").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "simhash-firsts")
+        size, blocks = wide_plan(firsts.count(), least)
+        words = -(-size * blocks // 64)
+
+        @F.pandas_udf("n int, fp binary")
+        def prints(texts: pd.Series) -> pd.DataFrame:
+            found = [shingles.shingles(t, width) for t in texts]
+            return pd.DataFrame({"n": [len(x) for x in found], "fp": [wide_print(x, words).tobytes() for x in found]})
+
+        sets = docs.select(text_key(text).alias("key"), prints(F.col(text)).alias("p")).groupBy("key").agg(F.first("p").alias("p"))
+        sets = materialize(spark, sets.join(firsts, "key").select("cid", "key", "least", "p.n", "p.fp"), "simhash-sets")
+        met = components(similar_links(sets, words, size, blocks, least))
+        members = materialize(spark, met.join(sets, F.col("node") == F.col("cid")).select("key", "cid", "n", F.col("root").alias("met"), "least"), "simhash-members")
+        found = components(shingles.similar_links(docs, members, doc_id, text, least, width))
+        rooted = firsts.join(found, F.col("cid") == F.col("node"), "left").select("key", "least", F.coalesce("root", "cid").alias("root"))
+        named = rooted.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "key")).alias("one"))
+        kept = materialize(spark, named.select(F.col("one.least").alias("component_id"), "one.key"), "simhash-kept", keep=True)
+    return only(docs, kept, doc_id, text)

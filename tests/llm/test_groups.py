@@ -174,6 +174,50 @@ def test_repeats_null_and_equal_ids(spark):
     assert kept == {5: t, None: "end"}
 
 
+def test_phrases_of_texts_that_share_an_id(spark):
+    """Two texts of one id or of none, the anchors of one beyond the other's end."""
+    from sparkloom.llm import phrases
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
+    body = [word() for _ in range(600)]
+    texts = [" ".join(body), " ".join(body[500:580]), " ".join([word() for _ in range(20)] + body[100:400]), " ".join(body[450:] + [word()]), " ".join([word() for _ in range(69)]), *corpus(7)]
+    ids = [2, 7, 7, None, 7] + [r.choice([None, 1, 2, 7, 9, 12]) for _ in texts[5:]]
+    seqs = [(t or "").encode().split() for t in texts]
+    gone = covered(seqs, [1 << 70 if i is None else i for i in ids], 50)
+    want = sorted((i or -1, len(s), int(g.sum()), hashlib.sha256(b" ".join(w for w, x in zip(s, g) if not x)).hexdigest()) for i, s, g in zip(ids, seqs, gone))
+    rows = phrases.digests(frame(spark, texts, ids=ids)).collect()
+    assert sorted((x.doc_id or -1, x.n_words, x.n_removed, x.kept_sha256) for x in rows) == want
+
+
+CLASH = ("key", "d", "t", "row", "s", "e", "first", "n", "k", "fp", "root", "component_id", "least", "_key", "_k", "_s", "_first", "_n", "_fp", "_root", "_least", "_rank", "_source", "_all", "_p", "_copy", "certain", "size", "source_size", "target", "copies", "taken", "rank", "score", "lang_pred", "x", "l", "count")
+
+
+@pytest.mark.parametrize("name", ["deduplicate", "keep_one", "keep_one_similar", "mixed_rows", "mix", "identify", "toxicity"])
+def test_columns_of_any_name_pass(spark, name):
+    from pyspark.sql import functions as F
+
+    from sparkloom.llm import langid, mixing, phrases, simhash, toxicity
+
+    new = {"mix": ("size", "source_size", "target", "copies", "taken"), "identify": ("lang_pred", "score"), "toxicity": ("score", "predicted")}.get(name, ())
+    docs = frame(spark, ["a b c", "d e f g", None, "h i j k l"]).select("doc_id", "text", "lang", "source")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in CLASH})
+    run = {"deduplicate": phrases.deduplicate, "keep_one": simhash.keep_one, "keep_one_similar": simhash.keep_one_similar, "mixed_rows": mixing.mixed_rows, "mix": mixing.mix, "identify": lambda d: langid.identify(d, langid.Profiles.of({}, 5)), "toxicity": lambda d: toxicity.score(d, toxicity.Model({}, {}))}[name]
+    out = run(docs)
+    assert [c for c in out.columns if c not in new] == [c for c in docs.columns if c not in new]
+    rows = out.collect()
+    assert rows and all(r[c] == f"own {c}" for r in rows for c in CLASH if c not in new)
+
+
+def test_simhash_of_crowded_values(spark, monkeypatch):
+    from sparkloom.llm import shingles, simhash
+
+    monkeypatch.setattr(simhash, "SHARE", 3)
+    monkeypatch.setattr(shingles, "SHARE", 4)
+    test_simhash_against_all_pairs(spark)
+    test_near_copies_stage_against_all_pairs(spark)
+
+
 def test_simhash_against_all_pairs(spark):
     from sparkloom.llm import simhash
 
@@ -276,6 +320,38 @@ def test_vectors_against_all_pairs(spark):
     assert capfilters.near_vectors(docs.limit(0)).count() == 0
 
 
+def test_vectors_of_crowded_filters(spark, monkeypatch):
+    """Groups of near copies with many links near the cut, over several tiles; links are those of all pairs."""
+    from sparkloom.llm import capfilters
+
+    monkeypatch.setattr(capfilters, "SHARE", 7)
+    test_vectors_against_all_pairs(spark)
+    r = np.random.default_rng(9)
+    base = r.standard_normal((6, 32))
+    x = np.vstack([b + s * r.standard_normal((30, 32)) for b in base for s in (0.15, 0.27, 0.3)]).astype(np.float32)
+    x[5] = x[6]
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    cos = u @ u.T
+    near, want = cos >= 0.93, (cos >= 0.93).sum(axis=1) - 1
+    docs = spark.createDataFrame([(i, v, "a") for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label string")
+    got = {r.vec_id: r for r in capfilters.near_vectors(docs).collect()}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum() and want.sum() > 1000 and ((cos > 0.93) & (cos < 0.95)).sum() > 300
+    group = np.arange(len(x))
+    for _ in x:
+        group = np.array([group[n].min() for n in near])
+    assert np.mean([got[i].component_id == group[i] for i in range(len(x))]) > 0.99
+
+
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    from sparkloom.llm import capfilters
+
+    monkeypatch.setattr(capfilters, "CODES", 2)
+    rows = [(3 * n + i, ([1.0] * n if i < 2 else [1.0, -1.0] * (n // 2) + [1.0] * (n % 2)), 0) for n in range(2, 9) for i in range(3)]
+    got = {r.vec_id: r.n_links for r in capfilters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[3 * n + i] == (i < 2) for n in range(2, 9) for i in range(3))
+
+
 def test_vectors_of_one_large_label(spark):
     from sparkloom.llm import capfilters
 

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import langid, mixing, packing, phrases, shingles
-from sparkloom.llm.common import materialize
+from sparkloom.llm import langid, mixing, packing, phrases, simhash
+from sparkloom.llm.common import materialize, scope
 from sparkloom.llm.queries import vocabulary
 
 #: Documents whose best profile is farther than this (of 0 to 1, higher is nearer) are no language that was learned.
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (0.8 of their five-word shingles) stays: the smallest id."""
-    return shingles.keep_one(docs)
+    return simhash.keep_one_similar(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scope(spark):  # tables of the stage go with it; what it returns stays for the next
+            docs = materialize(spark, stage(spark, docs, sf_dir), f"pipeline-{name}", keep=True)
     return docs

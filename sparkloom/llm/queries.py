@@ -90,7 +90,7 @@ QUERIES = {f.__name__: f for f in (op1_pareto_mixing, op2_concat_and_cut, op3_to
 ORACLE_SQL = {
     "op1_pareto_mixing": """
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS text_hash FROM documents),
 per0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 per1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS nth FROM per0),
 per2 AS (SELECT *, CASE (nth - 1) % 3 WHEN 0 THEN 5::DOUBLE WHEN 1 THEN 2::DOUBLE ELSE 1::DOUBLE END AS weight, 2::DOUBLE * source_size AS top FROM per1),
@@ -101,15 +101,23 @@ level AS (SELECT arg_min(rate, row(top / weight, nth)) AS level FROM per3 WHERE
 per4 AS (SELECT source, source_size, least(top, coalesce(level * weight, top)) AS target FROM per3, level),
 per5 AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::BIGINT ELSE 0::BIGINT END AS certain FROM per4),
 per AS (SELECT *, target - (certain * source_size)::DOUBLE AS rest FROM per5),
-drawn AS (SELECT s.doc_id, s.size, p.*, (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
-  FROM sized s JOIN per p ON s.source IS NOT DISTINCT FROM p.source),
-ranked AS (SELECT *, (u / (1::DOUBLE - u)) / sqrt(size::DOUBLE) AS rk FROM drawn WHERE size > 0),
-steps AS (SELECT source, rk, rest, sum(size)::DOUBLE AS words FROM ranked GROUP BY source, rk, rest),
+sizes AS (SELECT source, size, count(*) AS n FROM sized WHERE size > 0 GROUP BY source, size),
+rates AS (SELECT s.source, s.size,
+  (p.rest - coalesce(sum(s.n * s.size) OVER (PARTITION BY s.source ORDER BY s.size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
+  / sum(s.n * pow(s.size::DOUBLE, 1.5::DOUBLE)) OVER (PARTITION BY s.source ORDER BY s.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rate
+  FROM sizes s JOIN per p ON s.source IS NOT DISTINCT FROM p.source),
+fit AS (SELECT source, max(size) AS whole, arg_max(rate, size) AS rate FROM rates WHERE rate * pow(size::DOUBLE, 0.5::DOUBLE) <= 1 GROUP BY source),
+drawn AS (SELECT s.doc_id, s.size, s.text_hash, p.*, CASE WHEN s.size > f.whole THEN 1::DOUBLE ELSE least(1::DOUBLE, f.rate * pow(s.size::DOUBLE, 0.5::DOUBLE)) END AS p,
+  (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || s.text_hash), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
+  FROM sized s JOIN per p ON s.source IS NOT DISTINCT FROM p.source LEFT JOIN fit f ON f.source IS NOT DISTINCT FROM s.source),
+ranked AS (SELECT *, CASE WHEN size > 0 AND rest > 0 AND p > 0 THEN u / (1::DOUBLE - u) * (1::DOUBLE - p) / p END AS rk FROM drawn),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source, rk) AS nth FROM ranked),
+steps AS (SELECT source, rk, rest, sum(size)::DOUBLE AS words, count(*) AS m, max(size) AS each FROM ranked WHERE rk IS NOT NULL GROUP BY source, rk, rest),
 run AS (SELECT *, coalesce(sum(words) OVER (PARTITION BY source ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0::DOUBLE) AS before FROM steps),
-cut AS (SELECT source, max(rk) AS last FROM run WHERE before + words / 2::DOUBLE <= rest AND before < rest GROUP BY source)
+cut AS (SELECT source, rk AS last, CASE WHEN before + words <= rest THEN m ELSE least(m, floor((rest - before) / each + 0.5::DOUBLE)::BIGINT) END AS k FROM run WHERE before < rest AND before + words >= rest)
 SELECT d.doc_id, d.size, d.source_size, d.target,
-  (d.size * (d.certain + CASE WHEN d.size > 0 AND (d.u / (1::DOUBLE - d.u)) / sqrt(d.size::DOUBLE) <= c.last THEN 1 ELSE 0 END))::BIGINT AS taken
-FROM drawn d LEFT JOIN cut c ON d.source IS NOT DISTINCT FROM c.source
+  (d.size * (d.certain + CASE WHEN d.rk < c.last OR (d.rk = c.last AND d.nth <= c.k) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM numbered d LEFT JOIN cut c ON d.source IS NOT DISTINCT FROM c.source
 """,
     "op9_cap_filters": """
 WITH fit AS (

@@ -199,7 +199,7 @@ def test_columns_of_any_name_pass(spark, name):
 
     from sparkloom.llm import langid, mixing, phrases, simhash, toxicity
 
-    new = {"mix": ("size", "source_size", "target", "copies", "taken"), "identify": ("lang_pred", "score"), "toxicity": ("score", "predicted")}.get(name, ())
+    new = {"mix": ("size", "source_size", "target", "copies", "taken", "inclusion"), "identify": ("lang_pred", "score"), "toxicity": ("score", "predicted")}.get(name, ())
     docs = frame(spark, ["a b c", "d e f g", None, "h i j k l"]).select("doc_id", "text", "lang", "source")
     docs = docs.withColumns({c: F.lit(f"own {c}") for c in CLASH})
     run = {"deduplicate": phrases.deduplicate, "keep_one": simhash.keep_one, "keep_one_similar": simhash.keep_one_similar, "mixed_rows": mixing.mixed_rows, "mix": mixing.mix, "identify": lambda d: langid.identify(d, langid.Profiles.of({}, 5)), "toxicity": lambda d: toxicity.score(d, toxicity.Model({}, {}))}[name]
@@ -422,6 +422,37 @@ def test_mixture_targets_and_copies(spark):
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.mix(frame(spark, [None, ""])).agg({"taken": "sum"}).first()[0] == 0
 
 
+def test_mixture_of_rows_that_tie(spark):
+    """Rows of one id (or none) and one text share a rank; as many of them are taken as the target leaves room for."""
+    from sparkloom.llm import mixing
+
+    r = random.Random(4)
+    rows = [("a", "w " * r.randint(1, 30), i) for i in range(150)] + [("b", "w " * r.randint(1, 30), 500 + i) for i in range(150)]
+    rows += [("c", "v " * 10, None)] * 230 + [("d", "x " * 7, 9)] * 101 + [("e", f"x{i} " * 10, None) for i in range(90)]
+    got = mixing.mix(frame(spark, [t for _, t, _ in rows], sources=[s for s, _, _ in rows], ids=[i for _, _, i in rows])).collect()
+    assert len(got) == len(rows)
+    for s in "abcde":
+        mine = [x for x in got if x.source == s]
+        assert abs(sum(x.taken for x in mine) - mine[0].target) <= max(x.size for x in mine) / 2 and all(x.copies in (0, 1, 2) for x in mine)
+        rest = mine[0].target - mine[0].source_size * (mine[0].target // mine[0].source_size)
+        assert abs(sum(x.inclusion * x.size for x in mine) - rest) < 1e-6 * max(1, rest)  # expected words are the remainder
+        assert any(0 < x.inclusion < 1 for x in mine) == (rest > 0)
+
+
+def test_inclusion_probabilities_hold(spark):
+    """Over many seeds a document is taken about as often as its inclusion probability says, large ones more often."""
+    from sparkloom.llm import mixing
+
+    sizes = [1] * 30 + [5] * 30 + [40] * 10 + [400]
+    docs = frame(spark, [f"d{i} " * n for i, n in enumerate(sizes)], sources=["a"] * len(sizes)).coalesce(1).cache()
+    runs = [{x.doc_id: x for x in mixing.mix(docs, share=0.9, cap=2.0, seed=s).collect()} for s in range(12)]
+    p = np.array([runs[0][i].inclusion for i in range(len(sizes))])
+    often = np.mean([[x[i].copies for i in range(len(sizes))] for x in runs], axis=0)
+    assert p[-1] == 1.0 and often[-1] == 1.0
+    for a, z in ((0, 30), (30, 60), (60, 70)):
+        assert abs(often[a:z].mean() - p[a:z].mean()) < 0.12
+
+
 def test_pipeline_stages(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     d = "/root/testdata/sf0.001"

@@ -15,10 +15,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import held_out, short_batches
+from sparkloom.llm.common import carried, held_out, release, short_batches, uncarried
 
-#: N-grams in a profile; documents a language is learned from, about; languages at most.
-PROFILE, BOUND, LANGUAGES = 400, 2000, 500
+#: N-grams in a profile; documents a language is learned from, about.
+PROFILE, BOUND = 400, 2000
+#: Languages up to which their table is broadcast; beyond it, it is joined by a shuffle.
+BROADCAST_LANGUAGES = 50_000
 #: What stands for anything between words; a code point that is no letter.
 GAP = 1
 _letters: list[np.ndarray] = []
@@ -94,13 +96,12 @@ class Profiles:
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", size: int = PROFILE, bound: int = BOUND) -> Profiles:
     """Profiles from rows with a text and a language that aren't held out."""
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(doc_id)).select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not counts:
-        return Profiles.of({}, size)
-    part = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, bound / n)))])
-    known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20) < part[F.col("lang")])
+    # One row a language: the share of its documents that is learned from.
+    part = known.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(1.0), float(bound) / F.count("*")).alias("part"))
+    few = part.limit(BROADCAST_LANGUAGES + 1).collect()
+    if len(few) <= BROADCAST_LANGUAGES:
+        part = F.broadcast(docs.sparkSession.createDataFrame(few, part.schema))
+    known = known.join(part, F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20) < F.col("part"))
 
     def grams(batches):
         total: dict[str, Counter] = defaultdict(Counter)
@@ -130,7 +131,9 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
+        release()
         return pd.DataFrame([profiles.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     docs = docs.drop("lang_pred", "score")
-    return docs.withColumn("_p", predict(F.col(text))).select(*docs.columns, "_p.lang_pred", "_p.score")
+    found = carried(docs, found=predict(F.col(text)))
+    return uncarried(found, docs, lang_pred=F.col("found.lang_pred"), score=F.col("found.score"))

@@ -157,6 +157,17 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release() -> None:
+    """In a Python worker: give freed memory back to the system, for a worker stays while others run."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_key(text: str = "text") -> Column:
     """128 bits of a text: equal texts, equal keys. Null gets a key of its own."""
     t = F.col(text)

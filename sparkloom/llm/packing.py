@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, short_batches
+from sparkloom.llm.common import materialize, release, short_batches
 
 #: Partitions up to which their totals are broadcast.
 BROADCAST_PARTS = 200_000
@@ -40,6 +40,7 @@ def token_table(docs: DataFrame, path: str, end_id: int = 1, doc_id: str = "doc_
             at += int(n.sum())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array(width, pa.int32()), pa.array(n), pa.array(np.full(len(n), part, np.int64)), pa.array(start)], names=["doc_id", "ids", "width", "n", "part", "start"])
         enc.forget()
+        release()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, ids binary, width int, n long, part long, start long")

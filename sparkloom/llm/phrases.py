@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.anchored import NO_ID, Scheme, batched, differing, leaders, lists, merged, shared_anchors, signed
-from sparkloom.llm.common import carried, discard, materialize, scope, text_key, uncarried
+from sparkloom.llm.common import carried, discard, materialize, release, scope, text_key, uncarried
 
 #: Words of the anchor's k-gram, of a passage's blocks, and of the key phrase at a block's start.
 GRAM, BLOCK, KEY = 8, 25, 12
@@ -67,6 +67,7 @@ def mark(docs: DataFrame, scheme: Scheme, doc_id: str, text: str) -> DataFrame:
                     [part.column(0), part.column(1), pa.array(n), pa.array(sha), lists(signed(h), off, pa.int64()), lists((at - edges[doc]).astype(np.int32), off, pa.int32()), lists(signed(c1), off, pa.int64()), lists(signed(c2), off, pa.int32())],
                     names=["key", "doc_id", "n_words", "sha", "anchors", "pos", "c1", "c2"],
                 )
+            release()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(text_key(text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -228,6 +229,8 @@ def find_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text
                 if len(x):
                     key.append(text_key), s.append(x.tolist()), e.append(y.tolist())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), pa.array(s, pa.list_(pa.int64())), pa.array(e, pa.list_(pa.int64()))], names=["key", "s", "e"])
+        held, machine = [], None
+        release()
 
     found = stream.mapInArrow(locate, "key binary, s array<long>, e array<long>")
     found = found.groupBy("key").agg(F.flatten(F.collect_list("s")).alias("s"), F.flatten(F.collect_list("e")).alias("e"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize, text_key
+from sparkloom.llm.common import materialize, release, text_key
 from sparkloom.llm.runs import whole_runs
 
 #: Words of a shingle, least similarity of near copies, texts of a group that a task compares.
@@ -72,6 +72,7 @@ def similar_links(docs: DataFrame, members: DataFrame, doc_id: str, text: str, l
 
     @F.pandas_udf("array<long>")
     def whole(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series([shingles(t, width).view(np.int64) for t in texts])
 
     texts = docs.select(text_key(text).alias("key"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -111,6 +112,7 @@ def similar_links(docs: DataFrame, members: DataFrame, doc_id: str, text: str, l
             root = np.concatenate([similar([flat[edges[i] : edges[i + 1]] for i in range(a, z)], least) + a for a, z in zip(cuts, cuts[1:])])
             link = root != np.arange(len(root))
             yield pa.RecordBatch.from_arrays([pa.array(cid[link]), pa.array(cid[root[link]])], names=["u", "v"])
+            release()
 
     verified = work.repartition("met", "i", "j").sortWithinPartitions("met", "i", "j", "cid").mapInArrow(verify, "u long, v long")
     return joined.union(verified)

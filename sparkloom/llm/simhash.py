@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import packed
 from sparkloom.llm.anchored import mixed
-from sparkloom.llm.common import BATCH_ROWS, carried, discard, materialize, scope, text_key, uncarried
+from sparkloom.llm.common import BATCH_ROWS, carried, discard, materialize, release, scope, text_key, uncarried
 from sparkloom.llm.components import components
 from sparkloom.llm.runs import whole_runs
 
 #: Fingerprints that may share a block value by chance, and the run length up to which pairs are compared at once.
 CROWD, SHORT_RUN = 8, 16
-#: Fingerprints of one value that a task compares; a multiplier for blocks' numbers.
-SHARE, SALT = 8192, np.uint64(0x9E3779B97F4A7C15)
+#: Fingerprints of one value that a task compares; run length up to which long fingerprints are compared at once; a multiplier for blocks' numbers.
+SHARE, LONG_RUN, SALT = 8192, 64, np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -125,6 +125,7 @@ def near_links(prints: DataFrame, distance: int = 4, bits: int = 64) -> DataFram
 def _prints(text: str, width: int, seed: int):
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
+        release()
         return pd.Series([_signed(fingerprint(t, width, seed)) for t in texts], dtype="int64")
 
     return prints(F.col(text))
@@ -222,6 +223,25 @@ def wide_forest(x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
 
 
+def join_runs(x: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of x that differ in at most `most` bits and join what does within each range at[r] .. at[r + 1]. Short ranges are compared at once, long ones by a forest."""
+    size = np.diff(at)
+    run = np.repeat(np.arange(len(size)), size)
+    live = np.flatnonzero((size[run] > 1) & (size[run] <= LONG_RUN))
+    us, vs = [live[:0]], [live[:0]]
+    for d in range(1, min(LONG_RUN, len(live))):
+        live = live[live + d < len(run)]
+        live = live[run[live + d] == run[live]]
+        if not len(live):
+            break
+        near = live[np.bitwise_count(x[live] ^ x[live + d]).sum(axis=1) <= most]
+        us.append(near), vs.append(near + d)
+    for r in np.flatnonzero(size > LONG_RUN):
+        i, j = wide_forest(x[at[r] : at[r + 1]], most)
+        us.append(i + at[r]), vs.append(j + at[r])
+    return np.concatenate(us), np.concatenate(vs)
+
+
 def similar_links(sets: DataFrame, words: int, size: int, blocks: int, least: float) -> DataFrame:
     """u, v: links that join the texts whose sets of shingles may be as similar as `least`. sets: cid, n (members), fp (blob of 64 * words bits).
 
@@ -245,21 +265,19 @@ def similar_links(sets: DataFrame, words: int, size: int, blocks: int, least: fl
             k = np.stack([mixed(mixed(value + np.arange(1, blocks + 1, dtype=np.uint64) * SALT) + (span + i)[:, None]) for i in (np.uint64(0), np.uint64(1))], 2).ravel()
             own = np.repeat(np.arange(len(fp)), 2 * blocks)
             order = np.argsort(k, kind="stable")
-            lead, us, vs = np.ones(len(k), bool), [], []
-            at = packed.cuts(k[order])
-            for r in np.flatnonzero(np.diff(at) > 1):  # what a batch holds of a value is joined at once, and its first go on
-                names = order[at[r] : at[r + 1]]
-                i, j = wide_forest(fp[own[names], :2], early)
-                us.append(own[names[i]]), vs.append(own[names[j]])
-                lead[names[j]] = False
+            lead = np.ones(len(k), bool)
+            x = own[order]
+            u, v = join_runs(fp[x, :2], packed.cuts(k[order]), early)  # what a batch holds of a value is joined at once, and its first go on
+            lead[order[v]] = False
+            u, v = x[u], x[v]
             keys = np.column_stack([cid.view(np.uint64), np.zeros(len(cid), np.uint64)])
             out = packed.Rows("k", "c")
             out.add((k[lead] >> np.uint64(32)) % np.uint64(buckets), own[lead], keys, cid, k[lead], fp[own[lead], :2])
-            if us:
-                u, v = (np.concatenate(x) for x in (us, vs))
+            if len(u):
                 pair = np.unique(np.column_stack([u, v]), axis=0)
                 out.add(np.full(len(pair), -1), pair[:, 0], keys, cid, cid[pair[:, 1]].astype(np.uint64), np.zeros((len(pair), 0), np.uint64))
             yield out.batch()
+            release()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_runs(batches, 1):
@@ -272,13 +290,11 @@ def similar_links(sets: DataFrame, words: int, size: int, blocks: int, least: fl
                 _, own, ks, _, k, c = packed.unpack(t.take(pa.array(np.flatnonzero(~local))), "<u8", "<u8")
                 cid, c = ks[own, 0].view(np.int64), c.reshape(-1, 2)
                 order = np.argsort(k, kind="stable")
-                at = packed.cuts(k[order])
-                for r in np.flatnonzero(np.diff(at) > 1):
-                    names = order[at[r] : at[r + 1]]
-                    i, j = wide_forest(c[names], early)
-                    us.append(cid[names[i]]), vs.append(cid[names[j]])
+                i, j = join_runs(c[order], packed.cuts(k[order]), early)
+                us.append(cid[order[i]]), vs.append(cid[order[j]])
             pair = np.unique(np.column_stack([np.concatenate(us), np.concatenate(vs)]), axis=0) if us else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
+            release()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -313,6 +329,7 @@ def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         @F.pandas_udf("n int, fp binary")
         def prints(texts: pd.Series) -> pd.DataFrame:
             found = [shingles.shingles(t, width) for t in texts]
+            release()
             return pd.DataFrame({"n": [len(x) for x in found], "fp": [wide_print(x, words).tobytes() for x in found]})
 
         sets = docs.select(text_key(text).alias("key"), prints(F.col(text)).alias("p")).groupBy("key").agg(F.first("p").alias("p"))

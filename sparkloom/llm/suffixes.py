@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import packed
 from sparkloom.llm.anchored import NO_ID, _slide, merged, mixed
-from sparkloom.llm.common import BucketedTexts, materialize, scope, text_key
+from sparkloom.llm.common import BucketedTexts, materialize, release, scope, text_key
 from sparkloom.llm.runs import whole_runs
 
 #: Bytes of an anchor, bytes of texts worked on at once, shallow depth in eight-byte characters.
@@ -342,6 +342,7 @@ def find_repeats(docs: DataFrame, window: int, doc_id: str, text: str) -> tuple[
                 out.add(g[send], own[send], ks, ds, v[send].astype("<u4"), np.where(local, 255, 1)[send].astype("u1"))
                 out.add(buckets + packed.lane(ks, lanes)[own[local]], own[local], ks, ds, (g[local].astype(np.uint64) << np.uint64(32) | v[local] | CROWDED).astype("<u8"), np.zeros(local.sum(), "u1"))
                 yield out.batch()
+            release()
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_runs(batches, 1):
@@ -400,6 +401,7 @@ def find_repeats(docs: DataFrame, window: int, doc_id: str, text: str) -> tuple[
                     e = row_hash(rows[kept]) if e is None else e[kept]
                     out.add((e >> np.uint64(8)) % np.uint64(finer), own[kept], ks, ds, s[kept].astype("<u4"), size[kept].astype("<u2"), o[kept].astype("<u2"), rows[kept].astype(">u8"))
                 yield out.batch()
+            release()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, _ in whole_runs(batches, 1):

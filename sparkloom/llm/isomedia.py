@@ -2,7 +2,7 @@
 
 `write_container` stores bytes as 8-bit mono samples in frames, with the sample tables a
 player needs; `read_container` walks the nested boxes of any such file, decodes stts, stsc,
-stsz, stco/co64 and stss, and gives codec, duration and the byte ranges of samples and
+stsz, stco/co64 and stss, and in fragmented files trex, tfhd and trun, and gives codec, duration and the byte ranges of samples and
 keyframes. Payload bytes are never decoded: they are found by their ranges.
 """
 
@@ -23,7 +23,9 @@ from sparkloom.llm.common import short_batches
 #: Bytes a frame holds, frames a chunk holds, frames from one keyframe to the next, samples a second.
 FRAME, CHUNK_FRAMES, KEY_EVERY, RATE = 192, 64, 16, 8000
 #: Boxes that hold boxes.
-NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex", b"moof", b"traf"}
+NESTED = {b"moov", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta", b"mvex"}
+#: Those of which there may be several, each with boxes of its own, and boxes of values of which there may be several.
+LISTED, REPEATED = {b"trak", b"moof", b"traf"}, {b"trex", b"trun"}
 
 
 def _box(kind: bytes, *parts: bytes) -> bytes:
@@ -85,43 +87,119 @@ def boxes(data: memoryview, start: int, end: int):
         at += size
 
 
-def _tracks(data: memoryview, start: int, end: int, track: dict | None, out: list[dict]) -> None:
+def _walk(data: memoryview, start: int, end: int, into: dict) -> None:
+    """Boxes by kind: (from, to) of those that hold values, a list of the same for trak, moof and traf (with their own start), the rest flat."""
+    at = start
     for kind, a, z in boxes(data, start, end):
-        if kind == b"trak":
-            out.append(own := {})
-            _tracks(data, a, z, own, out)
+        if kind in LISTED:
+            own: dict = {b"start": at}
+            into.setdefault(kind, []).append(own)
+            _walk(data, a, z, own)
         elif kind in NESTED:
-            _tracks(data, a, z, track, out)
-        elif track is not None:
-            track[kind] = (a, z)
+            _walk(data, a, z, into)
+        elif kind in REPEATED:
+            into.setdefault(kind, []).append((a, z))
+        else:
+            into[kind] = (a, z)
+        at = z
+
+
+def _table(data: memoryview, t: dict, size: int, n: int) -> dict:
+    """Samples of a track's own tables: starts, sizes, durations, keys (numbers from 0)."""
+    u4 = lambda kind, at, n: np.frombuffer(data, ">u4", n, t[kind][0] + at).astype(np.int64)
+    sizes = np.full(n, size, np.int64) if size else u4(b"stsz", 12, n)
+    times = u4(b"stts", 8, 2 * int(u4(b"stts", 4, 1)[0])).reshape(-1, 2)
+    where = b"stco" if b"stco" in t else b"co64"
+    chunks = int(u4(where, 4, 1)[0])
+    offsets = np.frombuffer(data, ">u4" if where == b"stco" else ">u8", chunks, t[where][0] + 8).astype(np.int64)
+    runs = u4(b"stsc", 8, 3 * int(u4(b"stsc", 4, 1)[0])).reshape(-1, 3)
+    per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], chunks + 1)))
+    if per.sum() != n or times[:, 0].sum() != n:
+        raise ValueError("the sample tables disagree")
+    first = np.cumsum(per) - per
+    before = np.cumsum(sizes) - sizes
+    starts = np.repeat(offsets - before[first] if n else offsets, per) + before
+    keys = u4(b"stss", 8, int(u4(b"stss", 4, 1)[0])) - 1 if b"stss" in t else np.arange(n)
+    return {"starts": starts, "sizes": sizes, "durations": np.repeat(times[:, 1], times[:, 0]), "keys": keys}
+
+
+class _Fields:
+    """Big-endian 32-bit numbers of a full box, one after the other."""
+
+    def __init__(self, data: memoryview, at: tuple[int, int]):
+        self.data, (self.at, self.end) = data, at
+        self.flags = self.take() & 0xFFFFFF
+
+    def take(self, kind: str = ">I") -> int:
+        if self.at + struct.calcsize(kind) > self.end:
+            raise ValueError("a box is cut off")
+        out = struct.unpack_from(kind, self.data, self.at)[0]
+        self.at += struct.calcsize(kind)
+        return out
+
+
+def _fragments(data: memoryview, top: dict) -> dict[int, list[tuple[int, int, int, bool]]]:
+    """By track: (start, size, duration, keyframe) of each sample of the file's movie fragments."""
+    defaults = {}
+    for at in top.get(b"trex", ()):
+        f = _Fields(data, at)
+        track, _, *rest = (f.take() for _ in range(5))
+        defaults[track] = rest
+    out: dict[int, list[tuple[int, int, int, bool]]] = {}
+    for moof in top.get(b"moof", ()):
+        end = moof[b"start"]
+        for n, traf in enumerate(moof.get(b"traf", ())):
+            f = _Fields(data, traf[b"tfhd"])
+            track = f.take()
+            base = f.take(">Q") if f.flags & 1 else moof[b"start"] if f.flags & 0x20000 or n == 0 else end
+            if f.flags & 2:
+                f.take()
+            length, size, marks = (f.take() if f.flags & bit else d for bit, d in zip((8, 0x10, 0x20), defaults.get(track, (0, 0, 0))))
+            end = base
+            for at in traf.get(b"trun", ()):
+                r = _Fields(data, at)
+                count = r.take()
+                if r.flags & 1:
+                    end = base + r.take(">i")
+                first = r.take() if r.flags & 4 else None
+                for i in range(count):
+                    ticks = r.take() if r.flags & 0x100 else length
+                    own = r.take() if r.flags & 0x200 else size
+                    mark = r.take() if r.flags & 0x400 else first if i == 0 and first is not None else marks
+                    if r.flags & 0x800:
+                        r.take()
+                    if end < 0 or end + own > len(data):
+                        raise ValueError("a sample lies beyond the file")
+                    out.setdefault(track, []).append((end, own, ticks, not mark & 0x10000))
+                    end += own
+    return out
 
 
 def read_container(raw: bytes) -> list[dict]:
-    """Per track: handler, codec, timescale, duration (seconds), offsets and sizes of samples, keyframes (numbers from 0)."""
-    data, out = memoryview(raw), []
-    found: list[dict] = []
-    _tracks(data, 0, len(raw), None, found)
-    for t in found:
-        u4 = lambda kind, at, n: np.frombuffer(data, ">u4", n, t[kind][0] + at).astype(np.int64)  # noqa: E731, B023
+    """Per track: handler, codec, timescale, duration (seconds), offsets and sizes of samples, keyframes (numbers from 0).
+
+    Samples of the track's own tables come first, then those of movie fragments in the order of the file.
+    """
+    data, out, top = memoryview(raw), [], {}
+    _walk(data, 0, len(raw), top)
+    extra = _fragments(data, top)
+    for t in top.get(b"trak", ()):
         a = t[b"mdhd"][0]
         scale, length = struct.unpack_from(">IQ", data, a + 20) if data[a] == 1 else struct.unpack_from(">II", data, a + 12)
-        size, n = (int(x) for x in u4(b"stsz", 4, 2))
-        sizes = np.full(n, size, np.int64) if size else u4(b"stsz", 12, n)
-        times = u4(b"stts", 8, 2 * int(u4(b"stts", 4, 1)[0])).reshape(-1, 2)
-        where = b"stco" if b"stco" in t else b"co64"
-        chunks = int(u4(where, 4, 1)[0])
-        offsets = np.frombuffer(data, ">u4" if where == b"stco" else ">u8", chunks, t[where][0] + 8).astype(np.int64)
-        runs = u4(b"stsc", 8, 3 * int(u4(b"stsc", 4, 1)[0])).reshape(-1, 3)
-        per = np.repeat(runs[:, 1], np.diff(np.append(runs[:, 0], chunks + 1)))
-        if per.sum() != n or times[:, 0].sum() != n:
-            raise ValueError("the sample tables disagree")
-        first = np.cumsum(per) - per
-        before = np.cumsum(sizes) - sizes
-        starts = np.repeat(offsets - before[first] if n else offsets, per) + before
-        keys = u4(b"stss", 8, int(u4(b"stss", 4, 1)[0])) - 1 if b"stss" in t else np.arange(n)
+        a = t[b"stsz"][0]
+        size, n = struct.unpack_from(">II", data, a + 4)
+        own = _table(data, t, size, n)
+        a = t[b"tkhd"][0]
+        track = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
+        if more := extra.pop(track, None):
+            rows = np.array(more, np.int64)
+            own = {"starts": np.append(own["starts"], rows[:, 0]), "sizes": np.append(own["sizes"], rows[:, 1]), "durations": np.append(own["durations"], rows[:, 2]), "keys": np.append(own["keys"], n + np.flatnonzero(rows[:, 3]))}
         codec = bytes(data[t[b"stsd"][0] + 12 : t[b"stsd"][0] + 16]).decode("latin-1")
         handler = bytes(data[t[b"hdlr"][0] + 8 : t[b"hdlr"][0] + 12]).decode("latin-1")
-        out.append({"handler": handler, "codec": codec, "timescale": scale, "duration": length / scale, "ticks": int((times[:, 0] * times[:, 1]).sum()), "starts": starts, "sizes": sizes, "keys": keys})
+        ticks = int(own["durations"].sum())
+        out.append({"handler": handler, "codec": codec, "timescale": scale, "duration": (max(length, ticks) if more else length) / scale, "ticks": ticks, "starts": own["starts"], "sizes": own["sizes"], "keys": own["keys"]})
+    if extra:
+        raise ValueError(f"fragments of unknown tracks: {sorted(extra)}")
     return out
 
 
@@ -193,7 +271,11 @@ def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def probe_columns(files: DataFrame, media: str = "media") -> DataFrame:
-    """Add `track` (struct of `probe`) to each row of a binary column of files."""
+    """Add `track` (struct of `probe`) to each row of a binary column of files.
+
+    Null, empty and broken files give nulls and an error. Other columns, null ids and repeated rows pass
+    through; a column named track is replaced. Empty tables give no rows.
+    """
     short_batches(files.sparkSession)
     return files.withColumn("track", F.pandas_udf(probe, PROBED)(F.col(media)))
 

@@ -2,7 +2,8 @@
 
 Offline, each worker proves which vocabulary strings encode alone as one token; pre-tokens
 among them count as one without a merge, and only the rest is merged (each distinct chunk of
-a batch once). Files of sentencepiece have no such cut at spaces and are encoded by the library.
+a batch once). Files of sentencepiece have no such cut at spaces and are encoded by the library, the
+dealt method's exit for `.model` files.
 """
 
 from __future__ import annotations

@@ -1,16 +1,18 @@
 """Token ids of whole texts by a public vocabulary, counted or listed, a column at a time.
 
-A byte-level BPE cuts a text into pre-tokens before it merges, and no pre-token reaches over
-a single space: it starts at the space or after it. So a text without two adjoining white
-spaces is the concatenation of the ids of its space-led chunks, and each distinct chunk of a
-batch has to be encoded once. Texts with adjoining white space, or with the string of a special
-token, go to the tokenizers library whole.
+A byte-level BPE cuts a text into pre-tokens before it merges, and no pre-token reaches into a run
+of white space but by its last character. So a text is the concatenation of the ids of its chunks: a
+run of white space but its last character (all of it at the text's end), and what lies between runs with
+that last character before it. Special strings are tokens of their own and part texts like an end. Each
+distinct chunk is encoded once while it is remembered. Where no two white spaces adjoin, chunks are
+what single spaces part, cut a column at a time. Files of other kinds are encoded by their library.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,10 @@ import pyarrow.compute as pc
 
 #: Two adjoining white spaces of any kind (a superset of what the pre-tokenizer calls white space).
 ADJOINING = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]{2}"
+#: White space as the pre-tokenizer has it; characters about which libraries differ.
+SPACE = "\\t-\\r \\x85\\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+CHUNKS = re.compile(f"[{SPACE}]+(?=[{SPACE}][^{SPACE}])|[{SPACE}]+\\Z|[{SPACE}]?[^{SPACE}]+")
+DOUBTFUL = re.compile("[\\x1c-\\x1f\u180e]")
 #: The pre-tokenizer's pattern for byte-level vocabularies of this family.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encodings of chunks a worker remembers before it starts anew.
@@ -67,6 +73,11 @@ class ByteVocabulary:
         self.plain = kind.get("type") == "ByteLevel" and kind.get("use_regex") and not kind.get("add_prefix_space") and not spec["normalizer"] and in_order == sorted(in_order) and len(set(in_order)) == len(in_order)
         self.merger = tiktoken.Encoding("own", pat_str=PRETOKENS, mergeable_ranks=ids, special_tokens={}) if self.plain else None
         self.single = {b: i for b, i in ids.items() if self.plain and self.merger._encode_single_piece(b) == [i]}
+        loose = [t for t in spec.get("added_tokens", ()) if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]
+        self.special_ids = {} if loose else {t["content"]: t["id"] for t in spec.get("added_tokens", ())}
+        parts = sorted(self.special_ids, key=len, reverse=True)
+        self.part = re.compile("(" + "|".join(map(re.escape, parts)) + ")") if parts else None
+        self.whole = bool(loose)  # special strings that take their surroundings along: texts go to the library
         self.bad = "|".join([ADJOINING, *(f"\\Q{s}\\E" for s in self.special)])
 
     def ids_of_chunk(self, chunk: str) -> list[int] | tuple[int, ...]:
@@ -82,6 +93,16 @@ class ByteVocabulary:
         one = self.single.get(piece)
         return (one,) if one is not None else self.merger._core_bpe.encode_single_piece(piece)
 
+    def chunks(self, text: str) -> list[str] | None:
+        """Chunks and special strings of any text; None where only the library knows."""
+        if not self.plain or self.whole or DOUBTFUL.search(text):
+            return None
+        return [c for i, part in enumerate(self.part.split(text) if self.part else [text]) for c in ([part] if i % 2 else CHUNKS.findall(part))]
+
+    def ids_of(self, chunk: str) -> list[int] | tuple[int, ...]:
+        own = self.special_ids.get(chunk)
+        return (own,) if own is not None else self.ids_of_chunk(chunk)
+
     def ids_of_text(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
@@ -94,10 +115,26 @@ class Encoder:
         self.ids: dict[str, int] = {}  # a chunk's place: its ids are pool[ends[place - 1] : ends[place]]
         self.pool, self.ends = [np.zeros(0, np.uint32)], [0]
         self.counts: dict[str, int] = {}
+        self.chunks: dict[str, list[int] | tuple[int, ...]] = {}
+
+    def _odd(self, text: str) -> list[int]:
+        """Ids of a text in which white spaces adjoin or a special string stands."""
+        chunks = self.v.chunks(text)
+        if chunks is None:
+            return self.v.ids_of_text(text)
+        known, out = self.chunks, []
+        if len(known) > REMEMBERED:
+            known.clear()
+        for c in chunks:
+            ids = known.get(c)
+            if ids is None:
+                ids = known[c] = self.v.ids_of(c)
+            out.extend(ids)
+        return out
 
     def forget(self) -> None:
         """Let go of what is remembered, so that an idle worker holds the vocabulary only."""
-        self.ids, self.counts, self.pool, self.ends = {}, {}, [np.zeros(0, np.uint32)], [0]
+        self.ids, self.counts, self.chunks, self.pool, self.ends = {}, {}, {}, [np.zeros(0, np.uint32)], [0]
 
     def _parts(self, texts: pa.Array):
         """Which texts are chunked, their chunk codes, first-chunk flags, offsets and the distinct chunks."""
@@ -132,7 +169,7 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(per)])
         out = total[offsets[1:]] - total[offsets[:-1]]
         for i in np.flatnonzero(odd):
-            out[i] = len(self.v.ids_of_text(texts[int(i)].as_py()))
+            out[i] = len(self._odd(texts[int(i)].as_py()))
         return out
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -166,7 +203,7 @@ class Encoder:
         for i in range(len(texts)):
             a, b = offsets[i], offsets[i + 1]
             if odd[i]:
-                out.append(np.array(self.v.ids_of_text(texts[i].as_py()), np.uint32))
+                out.append(np.array(self._odd(texts[i].as_py()), np.uint32))
                 continue
             c = chunks[codes[a]] if b > a else ""
             head = np.array(self.v.ids_of_chunk(c), np.uint32) if c else np.zeros(0, np.uint32)

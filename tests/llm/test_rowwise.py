@@ -8,6 +8,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 P = pytest.importorskip("public_tokenizers")
 
@@ -40,6 +42,39 @@ def test_counts_are_the_library_s(docs, empty):
     assert tokencount.count_tokens(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
+SPACES = " \t\n\x0b\r\x85\xa0\u1680\u2003\u2028\u3000\x1c\x1f\u180e\u200b\ufeff"
+
+
+@given(st.lists(st.one_of(st.text(max_size=8), st.text(SPACES, max_size=4), st.sampled_from(["<|endoftext|>", "it's", " the", "12", "!?", "é", "e\u0301", "日本", " 's", "\U0001f600"])), max_size=12))
+@settings(max_examples=400, deadline=None)
+def test_chunks_agree_with_the_library(parts):
+    import pyarrow as pa
+
+    from sparkloom.llm import vocab
+
+    enc = vocab.encoder(P.path("byte_bpe_50k.json"))
+    texts = ["".join(parts), " ".join(parts), "\n\n".join(parts)]
+    want = [enc.v.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in enc.encode(pa.array(texts, pa.string()))] == want
+    assert enc.count(pa.array(texts, pa.string())).tolist() == [len(x) for x in want]
+
+
+def test_chunks_of_real_texts_agree_with_the_library():
+    """Real texts, as they are and with white space that adjoins; none of the latter goes to the library whole."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from sparkloom.llm import vocab
+
+    enc = vocab.encoder(P.path("byte_bpe_50k.json"))
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.001/documents.parquet").column("text").to_pylist()]
+    texts += [t.replace(". ", ".\n\n    ").replace(", ", ",  ") for t in texts]
+    want = [enc.v.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert all(enc.v.chunks(t) is not None for t in texts)
+    assert [x.tolist() for x in enc.encode(pa.array(texts, pa.string()))] == want
+    assert enc.count(pa.array(texts, pa.string())).tolist() == [len(x) for x in want]
+
+
 def test_counts_by_sentencepiece(docs):
     import sentencepiece
 
@@ -122,6 +157,40 @@ def test_media_reads_other_layouts():
         isomedia.write_container(b"x")
 
 
+@pytest.mark.parametrize("explicit", [True, False])
+def test_media_reads_fragments(explicit):
+    """A file whose movie box has no samples, and two fragments: sizes and flags of each sample, or defaults."""
+    import struct
+
+    from sparkloom.llm import isomedia
+    from sparkloom.llm.isomedia import _box, _full
+
+    whole = isomedia.write_container(bytes(192))
+    at = whole.index(b"stsd") - 4
+    stsd = whole[at : at + struct.unpack_from(">I", whole, at)[0]]
+    none = [_full(k, struct.pack(">I", 0)) for k in (b"stts", b"stsc", b"stco")] + [_full(b"stsz", struct.pack(">II", 0, 0))]
+    mdia = _box(b"mdia", _full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0x55C4, 0)), _full(b"hdlr", bytes(4), b"soun", bytes(13)), _box(b"minf", _box(b"stbl", stsd, *none)))
+    trak = _box(b"trak", _full(b"tkhd", struct.pack(">IIII", 0, 0, 7, 0), bytes(64)), mdia)
+    raw = _box(b"ftyp", b"iso5", bytes(4)) + _box(b"moov", trak, _box(b"mvex", _full(b"trex", struct.pack(">IIIII", 7, 1, 20, 5, 0x10000))))
+    want, keys = b"", []
+    for n in range(2):
+        samples = [bytes([n * 8 + i]) * (5 if not explicit else 3 + i) for i in range(4)]
+        if explicit:
+            run = b"".join(struct.pack(">III", 30, len(x), 0 if i == 2 else 0x10000) for i, x in enumerate(samples))
+            flags = 0x701
+        else:
+            run, flags = struct.pack(">I", 0), 0x5  # the first sample's flags: a keyframe
+        def moof(offset):
+            trun = _full(b"trun", struct.pack(">Ii", 4, offset), run, flags=flags)
+            return _box(b"moof", _full(b"mfhd", struct.pack(">I", n + 1)), _box(b"traf", _full(b"tfhd", struct.pack(">I", 7), flags=0x20000), trun))
+        raw += moof(len(moof(0)) + 8) + _box(b"mdat", *samples)
+        want += b"".join(samples)
+        keys.append(4 * n + (2 if explicit else 0))
+    t = isomedia.read_container(raw)[0]
+    assert isomedia.stored_bytes(raw, t) == want and t["keys"].tolist() == keys and t["duration"] == 8 * (30 if explicit else 20) / 1000
+    assert isomedia.probe([raw])["samples"][0] == 8 and isomedia.probe([raw[:-9]])["error"][0] is not None
+
+
 def test_language_held_out(spark):
     from sparkloom.llm import langid
     from sparkloom.llm.common import is_held_out

@@ -107,7 +107,7 @@ class Shard:
     def __init__(self, passages: list[tuple[int, bytes]], window: int):
         import ahocorasick
 
-        self.window, self.code, self.owner, self.body = window, {}, [], []
+        self.window, self.code, self.owner, self.body, self.words = window, {}, [], [], []
         keys: dict[str, list[tuple[int, int]]] = {}
         block = min(BLOCK, (window + 1) // 2)  # so that every window holds a whole block
         for m, raw in passages:
@@ -115,7 +115,8 @@ class Shard:
             for at in range(0, max(1, len(words) - block + 1), block):
                 keys.setdefault(" " + " ".join(words[at : at + min(KEY, block)]) + " ", []).append((len(self.body), at))
             self.owner.append(m)
-            self.body.append(np.array([self.code.setdefault(w, len(self.code)) for w in words], np.int64))
+            self.words.append([self.code.setdefault(w, len(self.code)) for w in words])
+            self.body.append(np.array(self.words[-1], np.int64))
         self.machine = ahocorasick.Automaton()
         for k, v in keys.items():
             self.machine.add_word(k, (len(k), v))
@@ -124,29 +125,42 @@ class Shard:
         self.empty = not keys
 
     def find(self, d: int, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of words that repeat a window of a passage whose owner is smaller than d."""
+        """Ranges of words that repeat a window of a passage whose owner is smaller than d.
+
+        A place inside a range found before can only add to it if it agrees in the word before or behind that range.
+        """
         words = [w.decode() for w in split(text)]
         if self.empty or len(words) < self.window:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        line = " " + " ".join(words) + " "
+        line, n = " " + " ".join(words) + " ", len(words)
         begin = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])])  # of the space before each word
-        own = np.array([self.code.get(w, -1) for w in words], np.int64)
+        mine = [self.code.get(w, -1) for w in words]
+        own = np.array(mine, np.int64)
         done: dict[tuple[int, int], int] = {}
+        left_of, right_of = [0] * n, [0] * n  # of the range found around each word
         s, e = [], []
         for last, (size, places) in self.machine.iter(line):
             i = int(np.searchsorted(begin, last - size + 1))
             for p, at in places:
-                if self.owner[p] >= d or done.get((p, i - at), -1) >= i:
+                if self.owner[p] >= d:
+                    continue
+                lo, hi, known = left_of[i], right_of[i], self.words[p]
+                if hi and (hi == n or at + hi - i >= len(known) or known[at + hi - i] != mine[hi]) and (lo == 0 or at + lo - i < 1 or known[at + lo - i - 1] != mine[lo - 1]):
+                    continue
+                if done.get((p, i - at), -1) >= i:
                     continue
                 body, shift = self.body[p], i - at  # word j of the passage lies on word j + shift
-                lo, hi = max(0, -shift), min(len(body), len(own) - shift)
+                lo, hi = max(0, -shift), min(len(body), n - shift)
                 differ = np.flatnonzero(body[lo:hi] != own[lo + shift : hi + shift]) + lo
                 k = np.searchsorted(differ, at)
                 left = differ[k - 1] + 1 if k else lo
                 right = differ[k] if k < len(differ) else hi
                 done[p, shift] = right + shift - 1
                 if right - left >= self.window:
-                    s.append(left + shift), e.append(right + shift)
+                    a, z = int(left + shift), int(right + shift)
+                    s.append(a), e.append(z)
+                    a, z = left_of[a] if right_of[a] else a, max(z, right_of[z - 1])
+                    left_of[a:z], right_of[a:z] = [a] * (z - a), [z] * (z - a)
         return merged(np.array(s, np.int64), np.array(e, np.int64))
 
 

@@ -121,14 +121,14 @@ class Model:
         self.seen: dict[str, tuple[int, float]] = {}
 
     def accept(self, word: str) -> tuple[int, float]:
-        """Class and weight of a word: a learned acceptor before a seed, the heaviest first."""
+        """Class and weight of a word. Seeds of scopes keep their class; else a learned acceptor before a seed, the heaviest first."""
         found = self.seen.get(word)
         if found is None:
             if len(self.seen) > 500_000:
                 self.seen.clear()
             w = max([self.words.get(word, 0.0), *(self.starts.get(word[:n], 0.0) for n in PREFIXES if len(word) >= n)])
             seed = self.seeds.get(word, (OTHER, 0.0))
-            if seed[0] != OTHER and seed[1] >= w:
+            if seed[0] in (TARGET, NEGATION, REPORT) or seed[0] != OTHER and seed[1] >= w:
                 found = seed
             elif w:
                 found = (self.kinds.get(word, INSULT), w)
@@ -251,7 +251,7 @@ def _kinds(rows: DataFrame, model: Model) -> dict[str, int]:
     for (role, word), (pos, neg) in sorted(by.items()):
         if role == "uses" and by.get(("hits", word), (0, 0))[0] >= THREAT_SHARE * max(pos, 1):
             kinds[word] = THREAT
-        elif role == "aims" and pos >= SCOPE_TEXTS and odds(pos, neg) >= SCOPE_ODDS:
+        elif role == "aims" and min(pos, n0 / 5) >= SCOPE_TEXTS and odds(pos, neg) >= SCOPE_ODDS:  # few clean texts with a match tell nothing
             kinds.setdefault(word, TARGET)
     for wanted, kind in (("reports", REPORT), ("negates", NEGATION)):
         for (role, word), (pos, neg) in sorted(by.items()):

@@ -14,8 +14,9 @@ from sparkloom.llm import langid, mixing, packing, phrases, simhash
 from sparkloom.llm.common import materialize, scope
 from sparkloom.llm.queries import vocabulary
 
-#: Documents whose best profile is farther than this (of 0 to 1, higher is nearer) are no language that was learned.
-LEAST_LANGUAGE = 0.05
+#: Documents whose best profile is farther than this (of 0 to 1, higher is nearer) are no language that was learned: gibberish scores
+#: below 0.2, a language that was not learned 0.2 to 0.35, short clean texts of two words 0.45, and no document of the labelled tables below 0.39.
+LEAST_LANGUAGE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

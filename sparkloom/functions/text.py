@@ -23,6 +23,7 @@ SECRETS = (
 # Languages by extension.
 LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".rs": "rust", ".c": "c", ".h": "c", ".cpp": "cpp", ".cs": "csharp", ".rb": "ruby", ".php": "php", ".sql": "sql"}
 SUPPORTED = (*LANGUAGES, ".hpp", ".md", ".json", ".yaml", ".yml", ".toml")
+# Words of a bug fix, methods of an endpoint.
 BUGFIX = r"(?i)\b(?:fix(?:es|ed|ing)?|bugfix(?:es)?|hotfix(?:es)?|bugs?|regressions?)\b"
 METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH")
 
@@ -82,14 +83,31 @@ def relative_path(c: Column) -> Column:
     return F.coalesce((c != "") & ~c.rlike(r"(^/|\\|\x00|(^|/)(\.{0,2})(/|$))"), F.lit(False))
 
 
+# Scheme and host in any case; owners of letters, digits and hyphens; repositories that aren't . or .. or .git.
+HOSTED = r"\A(?i:https://github\.com)/[A-Za-z0-9][A-Za-z0-9-]*/(?!(?:\.{1,2}|\.git)(?:/|\z))[A-Za-z0-9_.-]+"
+
+
+def _hosted(c: Column, rest: str) -> Column:
+    """White space around doesn't count."""
+    bare = F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.coalesce(bare.rlike(HOSTED + rest), F.lit(False))
+
+
 def repository_url(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^https://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/?$"), F.lit(False))
+    return _hosted(c, r"/?\z")
 
 
 def pull_request_url(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"^https://github\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+/pull/[1-9][0-9]*/?$"), F.lit(False))
+    return _hosted(c, r"/pull/[1-9][0-9]*/?\z")
 
 
 def spotlight(c: Column, mark: str = "> ") -> Column:
     """Each line behind a mark, so that quoted text can't pass for instructions."""
     return F.array_join(F.transform(F.split(c, "\n"), lambda line: F.concat(F.lit(mark), line)), "\n")
+
+
+def prompt(question: Column, rendered: Column, cites: Column, most: int = 120_000) -> Column:
+    """Struct of question (JSON text), context (rendered evidence behind marks), allowed (ids that an answer may cite, or `none`) and fits (the context is within `most` characters)."""
+    context = spotlight(rendered, "QUOTED | ")
+    allowed = F.when(F.size(cites) > 0, F.array_join(F.transform(cites, lambda x: F.concat(F.lit("["), x, F.lit("]"))), ", ")).otherwise(F.lit("none"))
+    return F.struct(F.to_json(F.struct(question.alias("question"))).alias("question"), context.alias("context"), allowed.alias("allowed"), (F.length(context) <= most).alias("fits"))

@@ -61,16 +61,20 @@ def graph_plan(symbols: DataFrame, files: DataFrame, drafts: DataFrame, endpoint
     return nodes, merged.withColumn("edge_id", F.xxhash64("src", "dst", "kind").bitwiseAND(F.lit((1 << 62) - 1)))
 
 
-def families(classes: DataFrame, bases: DataFrame, rounds: int = 50) -> DataFrame:
+def families(classes: DataFrame, bases: DataFrame) -> DataFrame:
     """class_id, family: families spread over exact base-class edges until nothing changes; a class that would get two has none.
 
     classes: class_id, family (null unknown). bases: class_id, base_id.
     """
-    known = classes.where("family IS NOT NULL").select("class_id", "family").distinct()
-    for _ in range(rounds):
-        more = bases.join(known.select(F.col("class_id").alias("base_id"), "family"), "base_id").select("class_id", "family")
-        nxt = known.union(more).distinct().persist()
-        if nxt.count() == known.count():
-            return nxt.groupBy("class_id").agg(F.count("*").alias("n"), F.min("family").alias("family")).where("n = 1").select("class_id", "family")
-        known = nxt
-    raise RuntimeError("families did not settle")
+    from sparkloom.operators.graph import CUT, _cut
+
+    spark = classes.sparkSession
+    known = classes.where("family IS NOT NULL").select("class_id", "family").distinct().persist()
+    frontier, n = known, 0
+    while not frontier.isEmpty():
+        more = bases.join(frontier.select(F.col("class_id").alias("base_id"), "family"), "base_id").select("class_id", "family").distinct()
+        frontier = more.join(known, ["class_id", "family"], "left_anti").persist()
+        known, n = known.union(frontier), n + 1
+        if n % CUT == 0:
+            known, frontier = _cut(spark, known), _cut(spark, frontier)
+    return known.groupBy("class_id").agg(F.count("*").alias("n"), F.min("family").alias("family")).where("n = 1").select("class_id", "family")

@@ -9,22 +9,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators.scope import repo_symbols, scoped_edges
+from sparkloom.operators.scope import BudgetExceeded, repo_symbols, scoped_edges, snapshot_graph, within
 from sparkloom.schema import BLAST_KINDS, WALK_KINDS, WALKABLE_KINDS, positive, valid_confidence
 
+__all__ = ["BudgetExceeded"]
+
 #: Digits scores are kept to after each hop, so that equal products tie whatever their order.
 DIGITS = 12
 
 
-class BudgetExceeded(RuntimeError):
-    """A walk has more results than its cap: it fails rather than return a part."""
+#: Symbols that a walk may reach and steps that it may take; steps that a typed expansion may take, and its seeds.
+MAX_RESULTS, MAX_EXPANSIONS = 10_000, 100_000
+EXPANSIONS, SEEDS = 10_000, 8
 
 
-def walks(edges: DataFrame, seeds: DataFrame, depth: int, decay: float = 0.8) -> list[DataFrame]:
+def walks(edges: DataFrame, seeds: DataFrame, depth: int, decay: float = 0.8, expansions: int | None = None) -> list[DataFrame]:
     """Simple paths against the edges, by depth 0..depth: symbol_id, depth, score, symbol_path, edge_path, kinds.
 
-    seeds: symbol_id. Edges of unknown confidence are no steps.
+    seeds: symbol_id. Edges of unknown confidence are no steps. With `expansions` a walk of more steps is
+    refused: they are counted hop by hop, before the next hop starts.
     """
+    left = expansions
     step = edges.where(valid_confidence()).select(F.col("dst").alias("_at"), F.col("src").alias("_next"), "edge_id", F.col("kind").alias("_kind"), "confidence")
     now = seeds.select("symbol_id", F.lit(0).alias("depth"), F.lit(1.0).alias("score"), F.array("symbol_id").alias("symbol_path"), F.array().cast("array<long>").alias("edge_path"), F.array().cast("array<string>").alias("kinds"))
     out = [now]
@@ -33,8 +38,13 @@ def walks(edges: DataFrame, seeds: DataFrame, depth: int, decay: float = 0.8) ->
         now = now.join(step, (F.col("symbol_id") == F.col("_at")) & ~F.array_contains("symbol_path", F.col("_next"))).select(
             F.col("_next").alias("symbol_id"), F.lit(d).alias("depth"), F.round(weight, DIGITS).alias("score"), F.array_append("symbol_path", F.col("_next")).alias("symbol_path"), F.array_append("edge_path", F.col("edge_id")).alias("edge_path"), F.array_append("kinds", F.col("_kind")).alias("kinds")
         )
-        now = now.persist() if d < depth else now  # the next hop and the result both read it
+        now = now.persist() if d < depth or left is not None else now  # the next hop and the result both read it
         out.append(now)
+        if left is not None:
+            n = now.limit(left + 1).count()
+            if n > left:
+                raise BudgetExceeded(f"over {expansions} steps")
+            left -= n
     return out
 
 
@@ -47,21 +57,22 @@ def best_paths(paths: DataFrame) -> DataFrame:
     return paths.groupBy("symbol_id").agg(F.min(order).alias("b"), F.min("depth").alias("min_depth")).select("symbol_id", "b.depth", "min_depth", "b.score", "b.symbol_path", "b.edge_path", "b.kinds")
 
 
-def reverse_reach(symbols: DataFrame, files: DataFrame, edges: DataFrame, repository_id: int, root: int, depth: int = 4, kinds=WALK_KINDS, cap: int | None = None) -> DataFrame:
-    """Who reaches `root`: best path and least depth of each symbol, root left out."""
+def reverse_reach(symbols: DataFrame, files: DataFrame, edges: DataFrame, repository_id: int, root: int, depth: int = 4, kinds=WALK_KINDS, cap: int | None = None, expansions: int | None = None) -> DataFrame:
+    """Who reaches `root`: best path and least depth of each symbol, root left out.
+
+    With `cap` and `expansions` (MAX_RESULTS, MAX_EXPANSIONS of the service) a walk beyond them is refused.
+    """
     positive(depth, "depth", 4)
     if not kinds or not set(kinds) <= set(WALKABLE_KINDS):
         raise ValueError("kinds that can't be walked")
     scoped = repo_symbols(symbols, files, repository_id)
     own = scoped_edges(edges, scoped, kinds).persist()
-    hops = walks(own, scoped.where(F.col("symbol_id") == root).select("symbol_id"), depth)[1:]
+    hops = walks(own, scoped.where(F.col("symbol_id") == root).select("symbol_id"), depth, expansions=expansions)[1:]
     paths = hops[0]
     for h in hops[1:]:
         paths = paths.union(h)
     best = best_paths(paths).join(scoped.select("symbol_id", "name", "qualname", "kind", "path"), "symbol_id")
-    if cap is not None and best.limit(cap + 1).count() > cap:
-        raise BudgetExceeded(f"over {cap} symbols")
-    return best
+    return best if cap is None else within(best, cap, "symbols")
 
 
 def blast_radius(symbols: DataFrame, files: DataFrame, edges: DataFrame, repository_id: int, seeds: DataFrame, depth: int = 4, decay: float = 0.8) -> DataFrame:
@@ -78,6 +89,13 @@ def blast_radius(symbols: DataFrame, files: DataFrame, edges: DataFrame, reposit
     return best.join(scoped.select("symbol_id", "file_id", "name", "kind", "path"), "symbol_id").withColumn("is_endpoint", F.col("kind") == "endpoint")
 
 
+def snapshot_blast_radius(snapshots: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame, repository_id: int, snapshot_id: int, seeds: DataFrame, depth: int = 4, models: DataFrame | None = None, **caps) -> DataFrame:
+    """The blast radius inside one ready snapshot, with is_database_model. caps: see snapshot_graph()."""
+    own, links = snapshot_graph(snapshots, symbols, files, edges, repository_id, snapshot_id, models, **caps)
+    mine = files.where(F.col("snapshot_id") == snapshot_id)
+    return blast_radius(symbols, mine, links, repository_id, seeds, depth).join(own.select("symbol_id", "is_database_model"), "symbol_id")
+
+
 def blast_examined(edges: DataFrame, levels: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
     """(skipped, limited): ids of examined edges of unknown confidence; one row, whether a valid edge leads from a path of full depth to a symbol never reached."""
     own = edges.select(F.col("dst").alias("_at"), F.col("src").alias("_next"), "edge_id", "confidence")
@@ -109,6 +127,28 @@ PATTERNS["general"] = [list(p) for p in dict.fromkeys(tuple(p) for ps in PATTERN
 
 
 def typed_expand(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, intent: str, least: float = 0.0, per_seed: int = 20, total: int = 80) -> DataFrame:
+    """What typed_paths() finds, best first: at most `per_seed` of a seed, `total` in all."""
+    return _within_budgets(_numbered(typed_paths(symbols, edges, seeds, intent, least)), per_seed, total)
+
+
+def typed_expansion(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, intent: str, least: float = 0.0, per_seed: int = 20, total: int = 80, expansions: int = EXPANSIONS) -> tuple[DataFrame, DataFrame]:
+    """(rows of typed_expand(), reasons: seed, reason). At most SEEDS seeds; an expansion of more than `expansions` paths is refused.
+
+    Reasons say where results were cut: SEED_LIMIT where a seed had more than its share, TOTAL_LIMIT where the total left some out,
+    NO_MATCH where a seed leads nowhere.
+    """
+    within(seeds.select("symbol_id").distinct(), SEEDS, "seeds")
+    every = typed_paths(symbols, edges, seeds, intent, least).persist()
+    within(every, expansions, "paths")
+    numbered = _numbered(every).persist()
+    out = _within_budgets(numbered, per_seed, total)
+    over = numbered.where(F.col("nth") > per_seed).select("seed", F.lit("SEED_LIMIT").alias("reason")).distinct()
+    cut = numbered.where(F.col("nth") <= per_seed).join(out.select("seed", "nth"), ["seed", "nth"], "left_anti").select("seed", F.lit("TOTAL_LIMIT")).distinct()
+    none = seeds.select(F.col("symbol_id").alias("seed")).join(numbered.select("seed"), "seed", "left_anti").select("seed", F.lit("NO_MATCH"))
+    return out, over.union(cut).union(none)
+
+
+def typed_paths(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, intent: str, least: float = 0.0) -> DataFrame:
     """Symbols that the intent's patterns reach from each seed (seeds: symbol_id, seed_rank), with the best path.
 
     Confidence is the product along the path, without decay. Hop rules: EXPOSES only module to
@@ -128,31 +168,66 @@ def typed_expand(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, intent:
         return own.select(F.col(a).alias("_at"), F.col(b).alias("_next"), "edge_id", F.col("confidence").alias("_c"))
 
     start = seeds.select(F.col("symbol_id").alias("seed"), "seed_rank", "symbol_id", F.lit(1.0).alias("confidence"), F.array("symbol_id").alias("symbol_path"), F.array().cast("array<long>").alias("edge_path"))
-    found = None
+    found, known = None, {}
+    first = [p[0] for p in PATTERNS[intent]]
     for pattern in PATTERNS[intent]:
         now = start
-        for k, way in pattern:
+        for n, (k, way) in enumerate(pattern):
+            if n == 0 and (k, way) in known:  # patterns share their first hops
+                now = known[k, way]
+                continue
             now = now.join(step(k, way), (F.col("symbol_id") == F.col("_at")) & ~F.array_contains("symbol_path", F.col("_next"))).select(
                 "seed", "seed_rank", F.col("_next").alias("symbol_id"), F.round(F.col("confidence") * F.col("_c"), DIGITS).alias("confidence"), F.array_append("symbol_path", F.col("_next")).alias("symbol_path"), F.array_append("edge_path", F.col("edge_id")).alias("edge_path")
             ).where(F.col("confidence") >= least)
+            if n == 0:
+                known[k, way] = now = now.persist() if first.count((k, way)) > 1 else now
         found = now if found is None else found.union(now)
+    return found
+
+
+def _numbered(found: DataFrame) -> DataFrame:
+    """The best path of each seed and symbol, numbered within its seed."""
     order = F.struct((-F.col("confidence")).alias("s"), F.size("edge_path").alias("hops"), "symbol_path", "edge_path", "confidence")
     best = found.groupBy("seed", "seed_rank", "symbol_id").agg(F.min(order).alias("b")).select("seed", "seed_rank", "symbol_id", "b.confidence", "b.hops", "b.symbol_path", "b.edge_path")
     nth = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("confidence"), "hops", "symbol_path", "edge_path"))
-    best = best.withColumn("nth", nth).where(F.col("nth") <= per_seed)
-    return best.orderBy("seed_rank", "nth").limit(total)
+    return best.withColumn("nth", nth)
+
+
+def _within_budgets(best: DataFrame, per_seed: int, total: int) -> DataFrame:
+    return best.where(F.col("nth") <= per_seed).orderBy("seed_rank", "nth").limit(total)
 
 
-def closure(dependencies: DataFrame, start: DataFrame, rounds: int = 100) -> DataFrame:
-    """path: start and all that depend on it, directly or not. dependencies: path, needs. A frontier joined round by round."""
+def closure(dependencies: DataFrame, start: DataFrame) -> DataFrame:
+    """path: start and all that depend on it, directly or not. dependencies: path, needs.
+
+    A frontier joined round by round until none is left, however long the chain; every few rounds what was
+    seen is put on one row a path anew, so that plans don't grow with the rounds.
+    """
+    spark = dependencies.sparkSession
     seen = start.select("path").distinct().persist()
-    frontier = seen
-    for _ in range(rounds):
+    frontier, held, n = seen, [seen], 0
+    while True:
         nxt = dependencies.join(frontier.withColumnRenamed("path", "needs"), "needs").select("path").distinct().join(seen, "path", "left_anti").persist()
-        if nxt.limit(1).count() == 0:
+        held.append(nxt)
+        if nxt.isEmpty():
             return seen
-        seen, frontier = seen.union(nxt).persist(), nxt
-    raise BudgetExceeded("dependencies are deeper than the bound")
+        n += 1
+        seen, frontier = seen.union(nxt), nxt
+        if n % CUT == 0:
+            seen = _cut(spark, seen)
+            frontier = _cut(spark, nxt)
+            for x in held:
+                x.unpersist()
+            held = []
+
+
+#: Rounds after which a loop's lineage is cut.
+CUT = 8
+
+
+def _cut(spark, rows: DataFrame) -> DataFrame:
+    """The same rows without their plan: a checkpoint where the session has a folder for it, else a cached copy over a new plan."""
+    return rows.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else spark.createDataFrame(rows.persist().rdd, rows.schema).persist()
 
 
 def dirty_paths(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -51,13 +51,20 @@ def detect(symbols: DataFrame, edges: DataFrame, links_complete: bool = True) ->
 
 
 def features(findings: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Impact, likelihood, effort and confidence of each finding, in closed form, to four digits."""
+    """Impact, likelihood, effort and confidence of each finding, in closed form, to four digits.
+
+    findings may have `related` (array of symbols): the fan-in of an untested hotspot that wasn't measured is their number, and
+    one below 1 counts as their number or 5, whichever is greater.
+    """
     s = symbols.select("symbol_id", "complexity", (F.col("end_line") - F.col("start_line") + 1).alias("lines"))
     x = findings.join(s, "symbol_id", "left")
     zero_is = lambda c, d: F.coalesce(F.nullif(F.col(c).cast("double"), F.lit(0.0)), F.lit(float(d)))
-    m = F.col("measured").cast("double")
-    over = F.greatest(F.lit(0.0), F.coalesce(m, F.col("complexity").cast("double"), F.lit(10.0)) - 10.0)
+    related = F.coalesce(F.size("related"), F.lit(0)).cast("double") if "related" in findings.columns else F.lit(0.0)
+    m = F.coalesce(F.col("measured").cast("double"), related)
+    m = F.when(m < 1, F.greatest(related, F.lit(5.0))).otherwise(m)
+    over = F.greatest(F.lit(0.0), F.coalesce(F.col("measured").cast("double"), F.col("complexity").cast("double"), F.lit(10.0)) - 10.0)
     known = F.coalesce("complexity", F.lit(0))
+    # Bases, steps and bounds of each category.
     by = {
         "UNTESTED_HOTSPOT": (5.0 + F.greatest(F.lit(0.0), F.least(F.lit(5.0), (m - 5.0) * 0.5)), F.least(F.lit(0.95), F.lit(0.7) + F.least(F.lit(0.2), m * 0.02) + F.when(known >= 10, 0.05).otherwise(0.0)), F.lit(1.0) + F.least(F.lit(3.0), zero_is("complexity", 4) * 0.15) + F.least(F.lit(2.0), zero_is("lines", 20) * 0.02), 0.95),
         "COMPLEXITY_HOTSPOT": (4.0 + F.least(F.lit(6.0), over * 0.4), F.least(F.lit(0.95), 0.55 + F.least(F.lit(0.4), over * 0.03)), 2.0 + F.least(F.lit(6.0), over * 0.3), 0.95),
@@ -82,6 +89,19 @@ def prioritise(scored: DataFrame, multiplier: float = 1.0) -> DataFrame:
     return scored.withColumn("score", F.round(F.col("impact") * F.col("likelihood") / F.greatest(F.lit(0.5), F.col("effort")) * F.col("confidence") * multiplier, 4))
 
 
+def in_context(findings: DataFrame, evidence: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Findings with the evidence of their category and symbol and the symbol's own columns; what has none stays, with nulls.
+
+    findings: symbol_id, category. evidence: symbol_id, category, measured, related. Evidence of another finding is never
+    taken by its place; of several rows for one finding the last by `measured` counts.
+    """
+    own = evidence.groupBy("symbol_id", "category").agg(F.max(F.struct("measured", "related")).alias("e"))
+    met = findings.drop("measured", "related").withColumnRenamed("category", "_c").withColumnRenamed("symbol_id", "_s")
+    met = met.join(own, F.col("_s").eqNullSafe(F.col("symbol_id")) & (F.col("_c") == F.col("category")), "left").drop("symbol_id", "category")
+    met = met.select(F.col("_s").alias("symbol_id"), F.col("_c").alias("category"), *[c for c in met.columns if c not in ("_s", "_c", "e")], "e.measured", "e.related")
+    return met.join(symbols.select("symbol_id", "name", F.col("kind").alias("symbol_kind"), "complexity"), "symbol_id", "left")
+
+
 def ordered(scored: DataFrame) -> DataFrame:
     """Publication order: score (null last), symbol, category."""
     return scored.orderBy(F.desc_nulls_last("score"), "symbol_id", "category")

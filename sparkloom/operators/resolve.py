@@ -210,6 +210,7 @@ class Module:
 class Repository:
     def __init__(self, sources: dict[str, bytes]):
         self.errors: dict[str, str] = {}
+        self.twice: set[str] = set()
         self.modules: dict[str, Module] = {}
         for path in sorted(sources):
             if path.endswith(".py"):
@@ -218,8 +219,11 @@ class Repository:
                 except (SourceError, RecursionError) as e:
                     self.errors[path] = str(e)
                     continue
-                if m.name in self.modules:
-                    raise ValueError(f"two modules are named {m.name}")
+                if m.name in self.modules or m.name in self.twice:  # which of them is meant can't be told: neither is resolved
+                    self.twice.add(m.name)
+                    for p in {path, self.modules.pop(m.name, m).path}:
+                        self.errors[p] = f"two modules are named {m.name}"
+                    continue
                 self.modules[m.name] = m
 
     def _scope_of(self, m: Module, node: ast.AST) -> Scope | None:
@@ -399,20 +403,40 @@ class Repository:
         return out
 
 
-RESULTS = "repository_id long, reference_key string, path string, owner_key string, kind string, expression string, line int, status string, targets array<struct<path:string,key:string>>"
+RESULTS = "repository_id long, reference_key string, path string, owner_key string, kind string, expression string, line int, status string, targets array<struct<path:string,key:string>>, error string"
 
 
 def resolve_references(files: DataFrame) -> DataFrame:
-    """References of files (repository_id, path, content) with status and targets: EXACT and INFERRED have one, AMBIGUOUS several, UNRESOLVED none."""
+    """References of files (repository_id, path, content) with status and targets: EXACT and INFERRED have one, AMBIGUOUS several, UNRESOLVED none.
+
+    A file that can't be read, or that shares its module's name with another, is one row with its error and no status.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = Repository(dict(zip(pdf["path"], pdf["content"]))).results()
+        repo = Repository(dict(zip(pdf["path"], pdf["content"])))
+        rows = repo.results() + [{"path": p, "error": e} for p, e in sorted(repo.errors.items())]
         names = [c.split(" ")[0] for c in RESULTS.replace("path:string,key:string", "").split(", ")]
-        return pd.DataFrame([{"repository_id": pdf["repository_id"].iloc[0], **r} for r in rows], columns=names)
+        out = pd.DataFrame([{"repository_id": pdf["repository_id"].iloc[0], **r} for r in rows], columns=names).astype(object)
+        return out.where(out.notna(), None)
 
     return files.select("repository_id", "path", "content").groupBy("repository_id").applyInPandas(run, RESULTS)
 
 
+def dependents(results: DataFrame) -> DataFrame:
+    """path, needs: files whose references lead into another file, by results of an earlier run."""
+    each = results.where("status IS NOT NULL").select("path", F.explode("targets").alias("t")).select("path", F.col("t.path").alias("needs"))
+    return each.where("path != needs").distinct()
+
+
+def model_uses(results: DataFrame, models: DataFrame) -> DataFrame:
+    """Draft USES edges from constructor calls whose one target is a known model. models: path, key. A null source key is the file's module."""
+    calls = results.where((F.col("kind") == "call") & F.col("status").isin(EXACT, INFERRED) & (F.size("targets") == 1)).withColumn("t", F.col("targets")[0])
+    known = models.select(F.col("path").alias("dst_path"), F.col("key").alias("dst_key")).distinct()
+    rows = calls.select("repository_id", F.col("path").alias("src_path"), F.col("owner_key").alias("src_key"), F.col("t.path").alias("dst_path"), F.col("t.key").alias("dst_key"), F.lit("USES").alias("kind"), F.when(F.col("status") == EXACT, 1.0).otherwise(0.5).alias("confidence"), "reference_key")
+    rows = rows.join(known, ["dst_path", "dst_key"], "left_semi")
+    return rows.groupBy("repository_id", "src_path", "src_key", "dst_path", "dst_key", "kind").agg(F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("reference_key")).alias("references"))
+
+
 def reference_edges(results: DataFrame) -> DataFrame:
     """Draft edges between (path, key) ends; a null key is the file's module. Only EXACT and INFERRED make edges; the merge takes the best."""
     known = results.where(F.col("status").isin(EXACT, INFERRED)).withColumn("t", F.col("targets")[0])

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import vectors
 from sparkloom.functions.text import identifier_tokens
-from sparkloom.schema import query_text
+from sparkloom.operators.writes import ranked
+from sparkloom.schema import positive, query_text, require_none
 
 #: Rank constant and candidates of each ranking.
 RRF_K, CANDIDATES = 60, 30
@@ -32,11 +33,40 @@ def search_columns(chunks: DataFrame) -> DataFrame:
 
 
 def matches(chunks: DataFrame, query: str) -> DataFrame:
-    """Chunks that hold every token of the query (no stems, no stop words)."""
+    """Chunks that hold every token of the query (no stems, no stop words).
+
+    A token is a part of the text it comes from, so texts without it as a part are passed over before they are cut into tokens.
+    """
     wanted = F.array_distinct(identifier_tokens(F.lit(query_text(query))))
+    fields = [F.lower(F.coalesce(c, F.lit(""))) for c in ("name", "qualname", "text") if c in chunks.columns]
+    chunks = chunks.where(F.forall(wanted, lambda t: F.contains(F.concat_ws("\n", *fields), t))) if len(fields) == 3 else chunks
     return chunks.where((F.size(wanted) > 0) & (F.size(F.array_except(wanted, F.concat("name_tokens", "body_tokens"))) == 0))
 
 
+def postings(chunks: DataFrame) -> DataFrame:
+    """token, chunk_id, names, bodies: how often each token stands in a chunk's names and body. Made when chunks are written.
+
+    Write it with `write_postings`: a query then reads the files that hold its tokens, not the texts.
+    """
+    each = chunks.select("chunk_id", F.explode(F.concat(F.transform("name_tokens", lambda t: F.struct(t.alias("token"), F.lit(1).alias("n"), F.lit(0).alias("b"))), F.transform("body_tokens", lambda t: F.struct(t.alias("token"), F.lit(0).alias("n"), F.lit(1).alias("b"))))).alias("t"))
+    return each.groupBy("t.token", "chunk_id").agg(F.sum("t.n").alias("names"), F.sum("t.b").alias("bodies"))
+
+
+def write_postings(chunks: DataFrame, path: str) -> None:
+    """Postings in order of their tokens, so that statistics of files and row groups rule out all but a query's."""
+    postings(chunks).repartitionByRange("token").sortWithinPartitions("token", "chunk_id").write.mode("errorifexists").parquet(path)
+
+
+def lexical_by_postings(index: DataFrame, query: str, limit: int = CANDIDATES) -> DataFrame:
+    """chunk_id, score: as lexical(density=False), from postings: one filter on tokens (pushed to the files), one narrow aggregate."""
+    tokens = index.sparkSession.range(1).select(F.array_distinct(identifier_tokens(F.lit(query_text(query)))).alias("t")).first()["t"]
+    if not tokens:
+        return index.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+    raw = F.sum("names") * WEIGHTS["A"] + F.sum("bodies") * WEIGHTS["B"]
+    found = index.where(F.col("token").isin(*tokens)).groupBy("chunk_id").agg(F.count("*").alias("n"), raw.alias("raw")).where(F.col("n") == len(tokens))
+    return found.select("chunk_id", F.round(F.col("raw") / (F.col("raw") + 1.0), 9).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
+
+
 def weighted_frequency(query: str) -> Column:
     """A plain score of matches: weighted hits per token, squashed by x / (x + 1)."""
     wanted = F.array_distinct(identifier_tokens(F.lit(query)))
@@ -72,6 +102,7 @@ def cover_density(tokens: list[list[str]], wanted: list[str]) -> float:
 
 def lexical(chunks: DataFrame, query: str, limit: int = CANDIDATES, density: bool = True) -> DataFrame:
     """Matches by score, then id. chunks has search_columns()."""
+    positive(limit, "limit", 100)
     found = matches(chunks, query)
     if not density:
         return found.withColumn("score", F.round(weighted_frequency(query_text(query)), 9)).orderBy(F.desc("score"), "chunk_id").limit(limit)
@@ -84,8 +115,16 @@ def lexical(chunks: DataFrame, query: str, limit: int = CANDIDATES, density: boo
     return found.withColumn("score", score).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
-def vector_top(vecs: DataFrame, query: list[float], limit: int = CANDIDATES, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """Exact nearest by cosine distance, then id: a top-k without a sort of all rows."""
+def vector_top(vecs: DataFrame, query: list[float], limit: int = CANDIDATES, vec_id: str = "vec_id", embedding: str = "embedding", strict: bool = False) -> DataFrame:
+    """Exact nearest by cosine distance, then id: a top-k without a sort of all rows.
+
+    Vectors without a direction (zero, or with a null or non-finite part) have no distance: they are left out, or with
+    `strict` (the baseline's contract) rejected.
+    """
+    positive(limit, "limit", 100)
+    if strict:
+        bad = F.col(embedding).isNull() | F.exists(embedding, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) | F.forall(embedding, lambda e: e == 0)
+        require_none(vecs.where(bad).select(vec_id), "a vector without a direction")
     distance = F.round(F.lit(1.0) - vectors.cosine(F.col(embedding), vectors.literal(query)), 9)
     return vecs.withColumn("distance", distance).where(F.col("distance").isNotNull()).orderBy("distance", vec_id).limit(limit)
 
@@ -99,14 +138,17 @@ def fuse(ranked: list[DataFrame], k: int = RRF_K, limit: int | None = None) -> D
     return out if limit is None else out.limit(limit)
 
 
-def ranks(df: DataFrame, id_col: str, *order) -> DataFrame:
-    """id, rank after dedup. df is a ranking that was cut to its candidates already."""
+def ranks(df: DataFrame, id_col: str, *order, bounded: bool = True) -> DataFrame:
+    """id, rank after dedup. `bounded`: df is a ranking that was cut to its candidates; else it is numbered range by range."""
     first = df.groupBy(F.col(id_col).alias("id")).agg(F.min(F.struct(*order)).alias("_o"))
+    if not bounded:
+        return ranked(first, "_o", "id").select("id", "rank")
     return first.select("id", F.row_number().over(Window.orderBy("_o", "id")).alias("rank"))
 
 
 def hybrid(chunks: DataFrame, query: str, query_vector: list[float], limit: int = 10, density: bool = False) -> DataFrame:
     """Exact, lexical and vector candidates of chunks (with embedding), fused; chunks' columns with score."""
+    positive(limit, "limit", 100)
     exact = chunks.where((F.col("name") == query) | (F.col("qualname") == query)).select("chunk_id", F.when(F.col("qualname") == query, 0).otherwise(1).alias("o"))
     exact = exact.orderBy("o", "chunk_id").limit(CANDIDATES)
     words = lexical(chunks, query, CANDIDATES, density).select("chunk_id", (-F.col("score")).alias("o"))
@@ -134,6 +176,12 @@ def budget(rows: DataFrame, by: list[str], order: str, cost: str, entries: int =
     return kept.select(*by, F.concat(F.lit("E"), (F.col("n") + 1).cast("string")).alias("cite"), *[F.col(f"e.{c}").alias(c) for c in rest])
 
 
+def without_conflicts(rows: DataFrame, key: str, payload: list[str]) -> DataFrame:
+    """One row a key; input in which rows of one key disagree is rejected."""
+    require_none(conflicting(rows, key, payload), "rows of one key disagree")
+    return rows.dropDuplicates([key])
+
+
 def conflicting(rows: DataFrame, key: str, payload: list[str]) -> DataFrame:
     """Keys whose rows disagree; such input is rejected rather than deduplicated."""
     return rows.groupBy(key).agg(F.count_distinct(F.struct(*payload)).alias("versions")).where("versions > 1")

@@ -53,16 +53,49 @@ def canonical(symbols: DataFrame, files: DataFrame, edges: DataFrame) -> tuple[D
     return nodes.select("label", "start_line", "end_line"), e.select("source", "target", "kind", "confidence")
 
 
-def digest(rows: DataFrame, order: list[str]) -> DataFrame:
-    """One row: SHA-256 over the ordered rows' digests (each row is hashed where it lies)."""
+def digest(rows: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """One row: a digest of the rows as a set with repeats, whatever their order.
+
+    Each row is hashed where it lies; the digests' eight parts of 32 bits are summed map-side and the sums hashed with
+    the number of rows. `order` is kept for callers that name one and doesn't matter.
+    """
     row = F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256)
-    return rows.select(F.struct(*order, row.alias("_h")).alias("x")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["_h"]), ""), 256).alias("digest"))
+    part = lambda i: F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(38,0)")
+    sums = rows.select(row.alias("_h")).agg(F.count("*").alias("n"), *[F.coalesce(F.sum(part(i)), F.lit(0)).alias(f"s{i}") for i in range(8)])
+    return sums.select(F.sha2(F.concat_ws(":", *[F.col(c).cast("string") for c in sums.columns]), 256).alias("digest"))
+
+
+def delete_repository(files: DataFrame, symbols: DataFrame, edges: DataFrame, repository_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, symbols, edges) without a repository: its files, their symbols, and every edge that touches one of those."""
+    gone = files.where(F.col("repository_id") == repository_id).select("file_id")
+    lost = symbols.join(gone, "file_id", "left_semi").select("symbol_id")
+    kept = edges.join(lost.withColumnRenamed("symbol_id", "src"), "src", "left_anti").join(lost.withColumnRenamed("symbol_id", "dst"), "dst", "left_anti").select(*edges.columns)
+    return files.where(~F.col("repository_id").eqNullSafe(repository_id)), symbols.join(gone, "file_id", "left_anti"), kept
+
+
+def write_evaluation(report: DataFrame, rows: DataFrame, path: str) -> None:
+    """A report (one row) as JSON and its rows as CSV with a header, in a fresh folder: what exists isn't overwritten."""
+    report.coalesce(1).write.mode("errorifexists").json(f"{path}/impact-results.json")
+    rows.select(*EVALUATED).write.mode("errorifexists").option("header", True).csv(f"{path}/impact-results.csv")
+
+
+# Columns of the written rows, in order.
+EVALUATED = ("case_id", "category", "prediction_status", "label_status", "tp", "fp", "fn", "precision", "recall", "f1")
+
+
+def ranked(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
+    """Rows numbered from 1 in a total order, without a task that holds all: ranges of the order are numbered each, behind the count of those before."""
+    parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_n", nth).join(F.broadcast(bases), "_part").withColumn(name, (F.col("_base") + F.col("_n")).cast("int")).drop("_part", "_n", "_base")
 
 
 def publish(items: DataFrame, runs: DataFrame, repository_id: int, snapshot_id: int) -> tuple[DataFrame, DataFrame]:
     """(run, ranked items) to append; both empty if this digest was published already. Ranks from 1."""
-    mark = digest(items, ["symbol_id", "category"]).withColumns({"repository_id": F.lit(repository_id).cast("long"), "snapshot_id": F.lit(snapshot_id).cast("long")})
+    mark = digest(items).withColumns({"repository_id": F.lit(repository_id).cast("long"), "snapshot_id": F.lit(snapshot_id).cast("long")})
     run = mark.join(runs.select("repository_id", "snapshot_id", "digest"), ["repository_id", "snapshot_id", "digest"], "left_anti")
     run = run.withColumn("run_id", F.xxhash64("repository_id", "snapshot_id", "digest"))
-    nth = F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "symbol_id", "category"))
-    return run, items.withColumn("rank", nth).crossJoin(F.broadcast(run.select("run_id")))
+    nth = ranked(items, F.desc_nulls_last("score"), F.col("symbol_id").asc(), F.col("category").asc())
+    return run, nth.crossJoin(F.broadcast(run.select("run_id")))

@@ -138,16 +138,21 @@ def _ends(rows: list[str], patch: FilePatch, base: str) -> str:
     return text + "\n" if gone and last and last[-1][4] and not text.endswith("\n") else text
 
 
-LINES = "file_no int, old_path string, new_path string, status string, binary boolean, kind string, old_line int, new_line int, text string"
+LINES = "file_no int, old_path string, new_path string, status string, binary boolean, kind string, old_line int, new_line int, text string, error string"
 
 
 class DiffLines:
-    """The table function's handler: a row for each line (or file without lines) of a diff."""
+    """The table function's handler: a row for each line (or file without lines) of a diff; a diff that can't be read is one row with its error."""
 
     def eval(self, text: str):
-        for n, f in enumerate(parse(text)):
+        try:
+            files = parse(text or "")
+        except DiffError as e:
+            yield None, None, None, None, None, None, None, None, None, str(e)
+            return
+        for n, f in enumerate(files):
             for kind, a, b, body, _ in f.lines or [(None, None, None, None, True)]:
-                yield n, f.old, f.new, f.status, f.binary, kind, a, b, body
+                yield n, f.old, f.new, f.status, f.binary, kind, a, b, body, None
 
 
 def register(spark) -> None:

@@ -622,10 +622,13 @@ def r11_fixed_chunks(d):
     return retrieval.fixed_chunks(d.table("documents"), 512)
 
 
-@query()
+@query("""WITH RECURSIVE rows AS (SELECT conv_id, turn, length(text) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS n FROM conversations),
+fold AS (SELECT conv_id, 0::BIGINT AS n, NULL::BIGINT AS turn, 0::BIGINT AS cost, 0::BIGINT AS used, 0::BIGINT AS kept, false AS here FROM (SELECT DISTINCT conv_id FROM rows)
+  UNION ALL SELECT r.conv_id, r.n, r.turn, r.cost, f.used + CASE WHEN f.used + r.cost <= 900 AND f.kept < 6 THEN r.cost ELSE 0 END, f.kept + CASE WHEN f.used + r.cost <= 900 AND f.kept < 6 THEN 1 ELSE 0 END, f.used + r.cost <= 900 AND f.kept < 6 FROM fold f JOIN rows r ON r.conv_id = f.conv_id AND r.n = f.n + 1)
+SELECT conv_id, 'E' || kept AS cite, turn::BIGINT AS turn, cost::BIGINT AS cost FROM fold WHERE here""", base=False)
 def r15_evidence_budget(d):
     rows = d.table("conversations").select("conv_id", "turn", F.length("text").alias("cost"))
-    return retrieval.budget(rows, ["conv_id"], "turn", "cost", entries=6, chars=900)
+    return retrieval.budget(rows, ["conv_id"], "turn", "cost", entries=6, chars=900).select("conv_id", "cite", F.col("turn").cast("long").alias("turn"), F.col("cost").cast("long").alias("cost"))
 
 
 @query("SELECT conv_id, turn, '> ' || replace(text, chr(10), chr(10) || '> ') AS marked FROM conversations", base=False)
@@ -683,11 +686,15 @@ def c5_rationale(d):
     return recommend.rationale(recommend.prioritise(recommend.features(recommend.detect(d.symbols, d.edges)[0], d.symbols))).select("symbol_id", "category", "rationale")
 
 
-@query()
+@query("""WITH r AS (SELECT c_custkey AS change_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey % 11) / 10.0::DOUBLE END AS b FROM customer),
+s AS (SELECT *, round(coalesce(b, 0::DOUBLE) * 0.3::DOUBLE + 0.24::DOUBLE, 9) AS lo FROM r)
+SELECT change_id, CASE WHEN b IS NULL THEN printf('Risk between %.2f and %.2f; unknown: blast_radius.', lo, lo + 0.3::DOUBLE) ELSE printf('Risk %s (%s).', printf('%.2f', lo), CASE WHEN lo < 0.25 THEN 'LOW' WHEN lo < 0.5 THEN 'MEDIUM' ELSE 'HIGH' END) END AS summary,
+  CASE WHEN b IS NULL THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS status, round(b * 0.3::DOUBLE, 6) AS blast, lo AS lower_bound FROM s""", base=False)
 def c7_reports(d):
     k = F.col("c_custkey")
-    feats = d.table("customer").select(k.alias("change_id"), F.when(k % 5 != 0, (k % 11) / 10.0).alias("blast_radius"), F.lit(0.6).alias("sensitivity"), F.lit(0.5).alias("test_gap"), F.lit(0.0).alias("contract_changes"), F.lit(0.2).alias("complexity_delta"), F.lit(0.1).alias("size"))
-    return risk.report(risk.score(feats)).select("change_id", "summary", "report")
+    feats = d.table("customer").select(k.alias("change_id"), F.when(k % 5 != 0, (k % 11) / 10.0).alias("blast_radius"), F.lit(0.6).alias("sensitivity"), F.lit(0.5).alias("test_gap"), F.lit(0.0).alias("contract_changes"), F.lit(0.2).alias("complexity_delta"), F.lit(0.0).alias("size"))
+    field = lambda p: F.get_json_object("report", p)
+    return risk.report(risk.score(feats)).select("change_id", "summary", field("$.status").alias("status"), F.round(field("$.contributions.blast_radius").cast("double"), 6).alias("blast"), F.round(field("$.lower_bound").cast("double"), 9).alias("lower_bound"))
 
 
 _ENDPOINTS = {"GET /a": "GET", "post /b": "POST", "Delete /c": "DELETE", "PUT /d": "PUT", "patch": "PATCH", "HEAD /e": "UNKNOWN", "get_user": "UNKNOWN", "": "UNKNOWN"}
@@ -768,3 +775,94 @@ def c14_evaluation_report(d):
     cases = rows.select(F.col("doc_id").alias("case_id"), F.struct(F.lit("complete").alias("status"), F.array(F.lit("x")).alias("paths")).alias("files"))
     predictions = rows.select(F.col("doc_id").alias("case_id"), F.when(F.col("quality") == 1, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("files"), F.lit("ok").alias("status"))
     return evaluation_report(cases, predictions).select(F.col("case_id").alias("doc_id"), "tp", "fn", "f1")
+
+
+@query("SELECT 'src/p' || s_suppkey || '.py' AS path, name, writes FROM (SELECT s_suppkey, unnest(['os', 'f', 'x', 'y', 'C']) AS name, unnest([1, 2, s_suppkey % 4 + 2, 2, 1])::BIGINT AS writes FROM supplier)", base=False)
+def a18_name_writes(d):
+    from sparkloom.sources.pysource import module_names
+
+    files = _made_files(d, lambda k: F.concat(F.lit("import os\nfrom a import *\ndef f():\n    z = 1\nfor x in []:\n    y = x\nclass C:\n    w = 2\nf = 3\ndel y\n"), F.expr("repeat('x = 0\n', int(s_suppkey % 4 + 1))")))
+    return module_names(files).select("path", "name", "writes")
+
+
+@query("SELECT s_suppkey % 3 AS repository_id, count(*) AS uses, count(*) * 1.0::DOUBLE AS confidence FROM supplier GROUP BY 1", base=False)
+def x16_model_uses(d):
+    from sparkloom.operators.resolve import model_uses, resolve_references
+
+    files = _made_files(d, lambda k: F.concat(F.lit("class Item: pass\nclass Other: pass\ndef make():\n    a = Item()\n    b = Item()\n    return Other()\n"), F.expr("repeat('# row\n', int(s_suppkey % 3))")))
+    known = files.select("path", F.lit('["class", "Item", 1]').alias("key"))
+    out = model_uses(resolve_references(files), known)
+    return out.groupBy("repository_id").agg(F.count("*").alias("uses"), F.sum("confidence").alias("confidence"))
+
+
+@query("SELECT 'src/p' || s_suppkey || '.py' AS path, 'src/p' || abs(s_suppkey - 3) || '.py' AS needs FROM supplier WHERE abs(s_suppkey - 3) IN (SELECT s_suppkey FROM supplier) AND s_suppkey % 3 = abs(s_suppkey - 3) % 3", base=False)
+def j19_dependents(d):
+    """Each file imports the one three numbers before it, which lies in the same repository."""
+    from sparkloom.operators.resolve import dependents, resolve_references
+
+    files = _made_files(d, lambda k: F.concat(F.lit("from p"), F.abs(k - 3).cast("string"), F.lit(" import f as g\ndef f(): pass\n")))
+    return dependents(resolve_references(files))
+
+
+_SNAP = "snap AS (SELECT s.*, f.path, CASE WHEN f.file_id % 4 < 2 THEN 1 ELSE 2 END AS snapshot_id FROM symbols s JOIN files f USING (file_id) WHERE f.repository_id = 1), s1 AS (SELECT * FROM snap WHERE snapshot_id = 1), e1 AS (SELECT * FROM edges WHERE src IN (SELECT symbol_id FROM s1) AND dst IN (SELECT symbol_id FROM s1))"
+
+
+def _snapshots(d):
+    snaps = d.spark.createDataFrame([(1, 1, "ready"), (2, 1, "indexing"), (3, 2, "ready")], "id long, repository_id long, status string")
+    return snaps, d.symbols, d.files.withColumn("snapshot_id", F.when(F.col("file_id") % 4 < 2, 1).otherwise(2)), d.edges
+
+
+@query(f"WITH {_SNAP} SELECT e.edge_id, a.kind = 'class' AS from_model FROM e1 e JOIN s1 a ON a.symbol_id = e.src")
+def s11_snapshot_graph(d):
+    own, links = scope.snapshot_graph(*_snapshots(d), 1, 1, models=d.repo_symbols.where("file_id % 4 < 2 AND kind = 'class'"))
+    return links.join(own.select(F.col("symbol_id").alias("src"), F.col("is_database_model").alias("from_model")), "src").select("edge_id", "from_model")
+
+
+@query(f"""WITH {_SNAP}, seeds AS (SELECT symbol_id FROM s1 ORDER BY 1 LIMIT 5), {_walk("'CALLS', 'INHERITS', 'USES'", 'symbol_id IN (SELECT symbol_id FROM seeds)', 3).replace('repo_edges', 'e1').replace('repo_symbols', 's1')}
+SELECT b.symbol_id, b.depth, b.min_depth, round(b.score, 9) AS score, b.sp[1] AS seed, s.kind = 'class' AS is_database_model FROM ({_BEST}) b JOIN s1 s USING (symbol_id) WHERE nth = 1""")
+def g4_snapshot_blast_radius(d):
+    snaps, symbols, files, edges = _snapshots(d)
+    mine = d.repo_symbols.where("file_id % 4 < 2")
+    seeds = mine.select("symbol_id").orderBy("symbol_id").limit(5)
+    out = graph.snapshot_blast_radius(snaps, symbols, files, edges, 1, 1, seeds, 3, models=mine.where("kind = 'class'"))
+    return out.select("symbol_id", "depth", "min_depth", F.round("score", 9).alias("score"), "seed", "is_database_model")
+
+
+@query("WITH gone AS (SELECT symbol_id FROM symbols WHERE file_id IN (SELECT file_id FROM files WHERE repository_id = 2)) SELECT 'files' AS part, count(*) AS n, sum(file_id)::BIGINT AS ids FROM files WHERE repository_id <> 2 UNION ALL SELECT 'symbols', count(*), sum(symbol_id)::BIGINT FROM symbols WHERE symbol_id NOT IN (SELECT symbol_id FROM gone) UNION ALL SELECT 'edges', count(*), sum(edge_id % 1000003)::BIGINT FROM edges WHERE src NOT IN (SELECT symbol_id FROM gone) AND dst NOT IN (SELECT symbol_id FROM gone)")
+def k4_delete_repository(d):
+    files, symbols, edges = writes.delete_repository(d.files, d.symbols, d.edges, 2)
+    part = lambda name, df, ids: df.agg(F.count("*").alias("n"), F.sum(ids).alias("ids")).select(F.lit(name).alias("part"), "n", "ids")
+    return part("files", files, F.col("file_id")).union(part("symbols", symbols, F.col("symbol_id"))).union(part("edges", edges, F.col("edge_id") % 1000003))
+
+
+@query(f"WITH {_FOUND}, ev AS (SELECT symbol_id, category, measured FROM found WHERE symbol_id % 3 <> 0) SELECT f.symbol_id, f.category, ev.measured, s.name, s.complexity FROM found f LEFT JOIN ev ON ev.symbol_id = f.symbol_id AND ev.category = f.category LEFT JOIN symbols s ON s.symbol_id = f.symbol_id")
+def j11_findings_in_context(d):
+    found = recommend.detect(d.symbols, d.edges)[0]
+    evidence = found.where("symbol_id % 3 != 0").withColumn("related", F.array().cast("array<long>"))
+    return recommend.in_context(found, evidence, d.symbols).select("symbol_id", "category", "measured", "name", "complexity")
+
+
+@query("""WITH x AS (SELECT *, end_line - start_line + 1 AS lines, CASE symbol_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 0 ELSE 9 END AS measured, symbol_id % 9 AS related FROM symbols),
+y AS (SELECT *, CASE WHEN coalesce(measured, related) < 1 THEN greatest(related, 5) ELSE coalesce(measured, related) END AS m FROM x)
+SELECT symbol_id, round(5::DOUBLE + greatest(0::DOUBLE, least(5::DOUBLE, (m - 5) * 0.5::DOUBLE)), 4) AS impact, round(least(0.95::DOUBLE, 0.7::DOUBLE + least(0.2::DOUBLE, m * 0.02::DOUBLE) + CASE WHEN coalesce(complexity, 0) >= 10 THEN 0.05::DOUBLE ELSE 0::DOUBLE END), 4) AS likelihood FROM y""")
+def c2_fan_in_fallback(d):
+    k = F.col("symbol_id")
+    found = d.symbols.select("symbol_id", F.lit("UNTESTED_HOTSPOT").alias("category"), F.when(k % 3 == 1, 0).when(k % 3 == 2, 9).cast("long").alias("measured"), F.slice(F.sequence(F.lit(1), F.lit(9)), F.lit(1), (k % 9).cast("int")).alias("related"))
+    return recommend.features(found, d.symbols).select("symbol_id", "impact", "likelihood")
+
+
+@query("WITH st AS (SELECT CASE WHEN file_id % 3 = 0 THEN 1 ELSE 2 END AS snapshot_id, * FROM files) SELECT r_regionkey AS id, r_name AS name, 'https://github.com/x/' || lower(r_name) AS url, CASE r_regionkey WHEN 1 THEN 'failed' WHEN 2 THEN 'ready' END AS status, CASE r_regionkey WHEN 1 THEN 12 WHEN 2 THEN 20 END AS snapshot_id, (SELECT count(*) FROM files f WHERE f.repository_id = r_regionkey) AS file_count, (SELECT count(*) FROM symbols s JOIN files f USING (file_id) WHERE f.repository_id = r_regionkey) AS symbol_count FROM region")
+def c19_repository_rows(d):
+    repos = d.table("region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("full_name"), F.concat(F.lit("https://github.com/x/"), F.lower("r_name")).alias("remote_url"))
+    snaps = d.spark.createDataFrame([(10, 1, "ready"), (12, 1, "failed"), (20, 2, "ready")], "id int, repository_id int, status string")
+    return scope.repository_rows(repos, snaps, d.files, d.symbols)
+
+
+@query(f"WITH {_LEX} SELECT chunk_id, round(s, 9) AS score FROM lex")
+def t3_lexical_postings(d):
+    return retrieval.lexical_by_postings(retrieval.postings(retrieval.search_columns(d.chunks)), "the widget", 30)
+
+
+@query("SELECT f.path || '::' || coalesce(a.qualname, a.name) || '::' || a.kind AS source, g.path || '::' || coalesce(b.qualname, b.name) || '::' || b.kind AS target, e.kind, e.confidence FROM edges e JOIN symbols a ON a.symbol_id = e.src JOIN files f ON f.file_id = a.file_id JOIN symbols b ON b.symbol_id = e.dst JOIN files g ON g.file_id = b.file_id")
+def g12_canonical_edges(d):
+    return writes.canonical(d.symbols, d.files, d.edges)[1]

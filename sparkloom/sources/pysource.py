@@ -9,6 +9,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import json
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -116,13 +117,50 @@ def parse_files(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").endswith(".py")).select("path", "content").mapInPandas(run, SYMBOLS)
 
 
+def name_writes(tree: ast.Module) -> Counter:
+    """How often each name is written in the module's own scope: imports, definitions, assignments and deletions, also inside
+    its statements; bodies of functions and classes have scopes of their own. Star imports name nothing."""
+    out: Counter = Counter()
+    todo: list[ast.AST] = list(tree.body)
+    while todo:
+        n = todo.pop()
+        if isinstance(n, ast.Import):
+            out.update(a.asname or a.name.partition(".")[0] for a in n.names)
+        elif isinstance(n, ast.ImportFrom):
+            out.update(a.asname or a.name for a in n.names if a.name != "*")
+        elif isinstance(n, DEFINITIONS):
+            out[n.name] += 1
+        else:
+            if isinstance(n, ast.Name) and not isinstance(n.ctx, ast.Load):
+                out[n.id] += 1
+            todo.extend(ast.iter_child_nodes(n))
+    return out
+
+
+def module_names(files: DataFrame) -> DataFrame:
+    """path, name, writes, error: name_writes() of each file; a file that can't be read is one row with its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, raw in zip(b["path"], b["content"]):
+                try:
+                    rows += [(path, k, n, None) for k, n in sorted(name_writes(read(bytes(raw))).items())]
+                except (SourceError, RecursionError) as e:
+                    rows.append((path, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "name", "writes", "error"]).astype(object)
+
+    return files.where(F.col("path").endswith(".py")).select("path", "content").mapInPandas(run, "path string, name string, writes long, error string")
+
+
 def routes(tree: ast.Module) -> list[dict]:
-    """Endpoints of module-level receivers: method, route, handler. Only literal routes and methods are taken."""
+    """Endpoints of module-level receivers: method, route, handler. Only literal routes and methods are taken, and only receivers that are written once."""
     receivers: dict[str, str] = {}
+    writes = name_writes(tree)
     for n in tree.body:
         if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name):
             made = ast.unparse(n.value.func).rpartition(".")[2]
-            if made in ("FastAPI", "APIRouter", "Flask", "Blueprint"):
+            if made in ("FastAPI", "APIRouter", "Flask", "Blueprint") and writes[n.targets[0].id] == 1:
                 receivers[n.targets[0].id] = made
     out = []
     for n in tree.body:

@@ -66,15 +66,12 @@ def families(classes: DataFrame, bases: DataFrame) -> DataFrame:
 
     classes: class_id, family (null unknown). bases: class_id, base_id.
     """
-    from sparkloom.operators.graph import CUT, _cut
+    from sparkloom.lineage import cut
 
-    spark = classes.sparkSession
-    known = classes.where("family IS NOT NULL").select("class_id", "family").distinct().persist()
-    frontier, n = known, 0
+    known = cut(classes.where("family IS NOT NULL").select("class_id", "family").distinct())
+    frontier, parts = known, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while not frontier.isEmpty():
         more = bases.join(frontier.select(F.col("class_id").alias("base_id"), "family"), "base_id").select("class_id", "family").distinct()
-        frontier = more.join(known, ["class_id", "family"], "left_anti").persist()
-        known, n = known.union(frontier), n + 1
-        if n % CUT == 0:
-            known, frontier = _cut(spark, known), _cut(spark, frontier)
+        frontier = cut(more.join(known, ["class_id", "family"], "left_anti"))
+        known = cut(known.union(frontier).coalesce(parts))
     return known.groupBy("class_id").agg(F.count("*").alias("n"), F.min("family").alias("family")).where("n = 1").select("class_id", "family")

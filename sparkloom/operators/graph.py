@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.lineage import cut
 from sparkloom.operators.scope import BudgetExceeded, repo_symbols, scoped_edges, snapshot_graph, within
 from sparkloom.schema import BLAST_KINDS, WALK_KINDS, WALKABLE_KINDS, positive, valid_confidence
 
@@ -200,34 +201,15 @@ def _within_budgets(best: DataFrame, per_seed: int, total: int) -> DataFrame:
 def closure(dependencies: DataFrame, start: DataFrame) -> DataFrame:
     """path: start and all that depend on it, directly or not. dependencies: path, needs.
 
-    A frontier joined round by round until none is left, however long the chain; every few rounds what was
-    seen is put on one row a path anew, so that plans don't grow with the rounds.
+    A frontier joined round by round until none is left, however long the chain. Each round's rows are put away.
     """
-    spark = dependencies.sparkSession
-    seen = start.select("path").distinct().persist()
-    frontier, held, n = seen, [seen], 0
+    frontier = cut(start.select("path").distinct())
+    seen, parts = frontier, int(dependencies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        nxt = dependencies.join(frontier.withColumnRenamed("path", "needs"), "needs").select("path").distinct().join(seen, "path", "left_anti").persist()
-        held.append(nxt)
-        if nxt.isEmpty():
+        frontier = cut(dependencies.join(frontier.withColumnRenamed("path", "needs"), "needs").select("path").distinct().join(seen, "path", "left_anti"))
+        if frontier.isEmpty():
             return seen
-        n += 1
-        seen, frontier = seen.union(nxt), nxt
-        if n % CUT == 0:
-            seen = _cut(spark, seen)
-            frontier = _cut(spark, nxt)
-            for x in held:
-                x.unpersist()
-            held = []
-
-
-#: Rounds after which a loop's lineage is cut.
-CUT = 8
-
-
-def _cut(spark, rows: DataFrame) -> DataFrame:
-    """The same rows without their plan: a checkpoint where the session has a folder for it, else a cached copy over a new plan."""
-    return rows.checkpoint() if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else spark.createDataFrame(rows.persist().rdd, rows.schema).persist()
+        seen = cut(seen.union(frontier).coalesce(parts))
 
 
 def dirty_paths(old: DataFrame, new: DataFrame) -> DataFrame:

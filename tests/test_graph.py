@@ -7,35 +7,77 @@ import random
 import pytest
 
 from sparkloom.operators import graph
-from sparkloom.operators.scope import neighbours, repo_symbols, scoped_edges, skipped_confidences
+from sparkloom.operators.scope import neighbours, repo_graph, repo_symbols, scoped_edges, skipped_confidences, snapshot_graph
 from sparkloom.schema import ContractError, check_edges
 
-EDGES = [(1, 2, 1, "CALLS", 0.2), (2, 3, 1, "CALLS", 1.0), (3, 2, 3, "CALLS", 1.0), (4, 4, 2, "CALLS", 0.5), (5, 5, 4, "CALLS", 1.0), (6, 6, 5, "CALLS", 1.0), (7, 7, 6, "CALLS", 1.0), (8, 1, 3, "CALLS", 1.0), (9, 3, 1, "INHERITS", 0.5), (10, 99, 1, "CALLS", 1.0), (11, 8, 1, "CALLS", None), (12, 9, 1, "CALLS", 1.5), (13, 10, 1, "CALLS", 0.0), (14, 1, 11, "CALLS", 1.0), (15, 11, 1, "IMPORTS", 1.0)]
+#: Root 7. A cycle (4, 5), a weak short and a strong long way to 5, a chain behind it, a foreign caller, unknown,
+#: impossible and zero confidences, an edge out of the root, an import.
+EDGES = [
+    (1, 4, 7, "CALLS", 0.9), (2, 5, 4, "CALLS", 1.0), (3, 4, 5, "CALLS", 1.0), (4, 5, 7, "CALLS", 0.3), (5, 2, 5, "INHERITS", 0.5), (6, 3, 2, "CALLS", 1.0), (7, 6, 3, "CALLS", 1.0),
+    (8, 50, 7, "CALLS", 1.0), (9, 8, 7, "CALLS", None), (10, 9, 7, "CALLS", 2.0), (11, 1, 7, "CALLS", 0.0), (12, 7, 1, "CALLS", 1.0), (13, 9, 7, "IMPORTS", 1.0),
+]
 
 
 @pytest.fixture(scope="module")
 def world(spark):
     files = spark.createDataFrame([(1, 1, "a.py"), (2, 2, "b.py")], "file_id long, repository_id long, path string")
-    symbols = spark.createDataFrame([(i, 1, f"s{i}", f"m.s{i}", "function") for i in range(1, 13)] + [(99, 2, "x", "m.x", "function")], "symbol_id long, file_id long, name string, qualname string, kind string")
+    symbols = spark.createDataFrame([(i, 1, f"s{i}", f"m.s{i}", "function") for i in range(1, 10)] + [(50, 2, "x", "m.x", "function")], "symbol_id long, file_id long, name string, qualname string, kind string")
     edges = spark.createDataFrame(EDGES, "edge_id long, src long, dst long, kind string, confidence double")
     return files, symbols, edges
 
 
 def test_reverse_reach(world):
+    """By hand: 5 is 0.9 * 0.8 over 4 (0.3 at once); 2 is 0.72 * 0.5 * 0.8, 3 another 0.8; 6 is in reach by the short way only."""
     files, symbols, edges = world
-    got = {r.symbol_id: r for r in graph.reverse_reach(symbols, files, edges, 1, 1).collect()}
-    assert got[2].score == pytest.approx(0.8) and (got[2].depth, got[2].min_depth) == (2, 1)
-    assert got[6].score == pytest.approx(0.0512) and not {1, 7, 8, 9, 11, 99} & set(got) and got[10].score == 0
-    assert [r.symbol_id for r in graph.reverse_reach(symbols, files, edges, 1, 1, kinds=("IMPORTS",)).collect()] == [11]
+    got = {r.symbol_id: (round(r.score, 9), r.depth, r.min_depth) for r in graph.reverse_reach(symbols, files, edges, 1, 7).collect()}
+    assert got == {4: (0.9, 1, 1), 5: (0.72, 2, 1), 2: (0.288, 3, 2), 3: (0.2304, 4, 3), 6: (0.0768, 4, 4), 1: (0.0, 1, 1)}
+    assert [r.symbol_id for r in graph.reverse_reach(symbols, files, edges, 1, 7, kinds=("IMPORTS",)).collect()] == [9]
     own = scoped_edges(edges, repo_symbols(symbols, files, 1), graph.WALK_KINDS)
     assert skipped_confidences(own).first().skipped == 2
     for bad in (0, 5, True, "4"):
         with pytest.raises(ValueError):
-            graph.reverse_reach(symbols, files, edges, 1, 1, depth=bad)
+            graph.reverse_reach(symbols, files, edges, 1, 7, depth=bad)
     with pytest.raises(ValueError):
-        graph.reverse_reach(symbols, files, edges, 1, 1, kinds=("EXPOSES",))
+        graph.reverse_reach(symbols, files, edges, 1, 7, kinds=("EXPOSES",))
     with pytest.raises(graph.BudgetExceeded):
-        graph.reverse_reach(symbols, files, edges, 1, 1, cap=3)
+        graph.reverse_reach(symbols, files, edges, 1, 7, cap=5)
+    assert graph.reverse_reach(symbols, files, edges, 1, 7, cap=6, expansions=graph.MAX_EXPANSIONS).count() == 6
+    with pytest.raises(graph.BudgetExceeded):
+        graph.reverse_reach(symbols, files, edges, 1, 7, expansions=4)
+
+
+def test_graphs_over_a_cap_are_refused(world):
+    files, symbols, edges = world
+    own, links = repo_graph(symbols, files, edges, 1, 9, 12)
+    assert own.count() == 9 and links.count() == 12  # without the foreign caller's edge
+    for nodes, most in ((8, 12), (9, 11)):
+        with pytest.raises(graph.BudgetExceeded):
+            repo_graph(symbols, files, edges, 1, nodes, most)
+
+
+def test_snapshots(spark, world):
+    from pyspark.sql import functions as F
+
+    files, symbols, edges = world
+    snaps = spark.createDataFrame([(3, 1, "ready"), (4, 1, "failed"), (5, 2, "ready")], "id long, repository_id long, status string")
+    files = files.withColumn("snapshot_id", F.lit(3))
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "symbol_id long")
+    own, links = snapshot_graph(snaps, symbols, files, edges, 1, 3, ids(2, 4))
+    assert {r.symbol_id for r in own.collect() if r.is_database_model} == {2, 4} and links.count() == 12
+    assert {r.symbol_id for r in graph.snapshot_blast_radius(snaps, symbols, files, edges, 1, 3, ids(7), 1).collect()} == {7, 4, 5, 1}
+    for snapshot in (4, 5, 6):  # not ready, another repository's, none
+        with pytest.raises(ContractError):
+            snapshot_graph(snaps, symbols, files, edges, 1, snapshot)
+    with pytest.raises(ContractError):
+        snapshot_graph(snaps, symbols, files, edges, 1, 3, ids(50))
+
+
+def test_deletion_takes_touching_edges(world):
+    from sparkloom.operators.writes import delete_repository
+
+    files, symbols, edges = delete_repository(*world, 2)
+    assert {r.file_id for r in files.collect()} == {1} and symbols.where("symbol_id = 50").count() == 0
+    assert {r.edge_id for r in edges.collect()} == {e[0] for e in EDGES} - {8}
 
 
 def brute(edges, seeds, depth, decay=0.8):
@@ -90,8 +132,8 @@ def test_typed_expansion(spark):
 
 def test_neighbours_and_checks(world):
     files, symbols, edges = world
-    both = [(r.direction, r.symbol_id) for r in neighbours(edges, symbols, 3).collect()]
-    assert sorted(both) == [("in", 1), ("in", 2), ("out", 1), ("out", 1)]
+    both = [(r.direction, r.symbol_id) for r in neighbours(edges, symbols, 4).collect()]
+    assert sorted(both) == [("in", 5), ("out", 5), ("out", 7)]
     with pytest.raises(ContractError):
         check_edges(edges)
 
@@ -99,3 +141,30 @@ def test_neighbours_and_checks(world):
 def test_closure_on_a_cycle(spark):
     deps = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("e", "f")], "path string, needs string")
     assert {r.path for r in graph.closure(deps, spark.createDataFrame([("c",)], "path string")).collect()} == {"a", "b", "c", "d"}
+
+
+def test_closure_of_a_long_chain(spark):
+    """120 files, each needing the next: as many rounds, and plans that stay small."""
+    deps = spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(120)], "path string, needs string").coalesce(1).persist()
+    assert graph.closure(deps, spark.createDataFrame([("f120",)], "path string").coalesce(1)).count() == 121
+
+
+def test_families_of_a_long_chain(spark):
+    from sparkloom.operators.changes import families
+
+    classes = spark.createDataFrame([(0, "a"), (1000, "b")] + [(i, None) for i in range(1, 70)], "class_id long, family string").coalesce(1)
+    bases = spark.createDataFrame([(i + 1, i) for i in range(69)] + [(69, 1000)], "class_id long, base_id long").coalesce(1).persist()
+    got = {r.class_id: r.family for r in families(classes, bases).collect()}
+    assert got == {**{i: "a" for i in range(69)}, 1000: "b"}  # the last has two
+
+
+def test_expansion_says_what_it_leaves_out(spark):
+    symbols = spark.createDataFrame([(i, "function") for i in range(60)], "symbol_id long, kind string")
+    edges = spark.createDataFrame([(i, i, 0, "CALLS", 1.0) for i in range(1, 31)] + [(100 + i, 30 + i, 40, "CALLS", 1.0) for i in range(1, 4)], "edge_id long, src long, dst long, kind string, confidence double")
+    seeds = spark.createDataFrame([(0, 1), (40, 2), (59, 3)], "symbol_id long, seed_rank int")
+    out, reasons = graph.typed_expansion(symbols, edges, seeds, "callers", total=21)
+    assert out.count() == 21 and {(r.seed, r.reason) for r in reasons.collect()} == {(0, "SEED_LIMIT"), (40, "TOTAL_LIMIT"), (59, "NO_MATCH")}
+    with pytest.raises(graph.BudgetExceeded):
+        graph.typed_expansion(symbols, edges, seeds, "callers", expansions=32)
+    with pytest.raises(graph.BudgetExceeded):
+        graph.typed_expansion(symbols, edges, spark.createDataFrame([(i, i) for i in range(9)], "symbol_id long, seed_rank int"), "callers")

@@ -229,3 +229,35 @@ def test_windowed_churn(spark, tmp_path):
     q = incremental.windowed_churn(stream, 2).writeStream.format("memory").queryName("churned").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.sql("SELECT max(commit_count) AS n, max(bugfix_commits) AS b FROM churned").first().asDict() == {"n": 2, "b": 1}
+
+
+def test_a_broken_diff_is_a_row(spark):
+    from sparkloom.sources import diff
+
+    diff.register(spark)
+    good = "--- a/m.py\n+++ b/m.py\n@@ -1,1 +1,1 @@\n-x\n+y\n"
+    spark.createDataFrame([(1, good), (2, "--- a/m\n+++ b/m\n@@ -1,9 +1,9 @@\n-x\n"), (3, None)], "i int, t string").createOrReplaceTempView("mixed_patches")
+    rows = spark.sql("SELECT p.i, l.kind, l.error FROM mixed_patches p, LATERAL parse_diff(p.t) l").collect()
+    assert sorted((r.i, r.kind) for r in rows if r.error is None) == [(1, "+"), (1, "-")] and [(r.i, r.error) for r in rows if r.error] == [(2, "a hunk is cut off")]
+
+
+def test_modules_of_one_name_are_rows_with_an_error(spark):
+    from sparkloom.operators.resolve import reference_edges, resolve_references
+
+    files = [(1, "a.py", b"def f(): pass\n"), (1, "src/a.py", b"def f(): pass\n"), (1, "b.py", b"from a import f\nfrom c import g\nf()\n"), (1, "c.py", b"def g(): pass\ng()\n"), (1, "bad.py", b"def (\n")]
+    rows = resolve_references(spark.createDataFrame(files, "repository_id long, path string, content binary")).collect()
+    assert {r.path for r in rows if r.error} == {"a.py", "src/a.py", "bad.py"} and all(r.status is None for r in rows if r.error)
+    by = {(r.path, r.expression): r.status for r in rows if not r.error}
+    assert by["b.py", "a:f"] == "UNRESOLVED" and by["b.py", "c:g"] == "EXACT" and by["c.py", "g"] == "EXACT"
+    assert reference_edges(spark.createDataFrame(rows, resolve_references(spark.createDataFrame(files, "repository_id long, path string, content binary")).schema)).count() >= 2
+
+
+def test_receivers_written_twice_have_no_routes():
+    import ast
+
+    from sparkloom.sources.pysource import name_writes, routes
+
+    once = "from fastapi import FastAPI\napp = FastAPI()\n@app.get('/a')\ndef a(): pass\n"
+    assert [r["route"] for r in routes(ast.parse(once))] == ["/a"] and routes(ast.parse(once + "app = None\n")) == [] and routes(ast.parse(once + "for app in []: pass\n")) == []
+    tree = ast.parse("import a.b, c as d\nfrom e import *\nfrom e import f\nif x:\n    f = g = 1\ntry:\n    del g\nfinally:\n    pass\ndef f(): h = 1\nclass K:\n    m = 1\n[i for i in y]\n")
+    assert name_writes(tree) == {"a": 1, "d": 1, "f": 3, "g": 2, "K": 1, "i": 1}

@@ -75,3 +75,107 @@ def families(classes: DataFrame, bases: DataFrame) -> DataFrame:
         frontier = cut(more.join(known, ["class_id", "family"], "left_anti"))
         known = cut(known.union(frontier).coalesce(parts))
     return known.groupBy("class_id").agg(F.count("*").alias("n"), F.min("family").alias("family")).where("n = 1").select("class_id", "family")
+
+
+SYMBOL_DIFF = "path string, old_path string, kind string, qualname string, change string, code string, side string, line int"
+#: Bytes of a source that is read.
+SOURCE_BYTES = 2_000_000
+
+
+def diff_symbols(text: str, base: dict[str, bytes], head: dict[str, bytes], most: int = SOURCE_BYTES) -> list[dict]:
+    """Changes and gaps of a patch between two versions of its files. A renamed file's symbols are paired over both names;
+    a symbol that moved to another file or name is one removed and one added."""
+    from sparkloom.sources import diff
+
+    try:
+        files = diff.parse(text)
+    except diff.DiffError as e:
+        return [{"code": "SOURCE_PARSE_ERROR", "qualname": str(e)}]
+    out: list[dict] = []
+    for f in files:
+        path = f.new or f.old
+        gap = lambda code, **more: out.append({"path": path, "old_path": f.old, "code": code, **more})  # noqa: B023, E731
+        sides = [(name, p, have.get(p)) for name, p, have in (("base", f.old, base), ("head", f.new, head)) if p is not None]
+        whole = "BINARY_FILE" if f.binary else "NON_SOURCE_ENTRY" if f.symlink or f.submodule else "COPY_UNSUPPORTED" if f.status == "COPIED" else None
+        if whole is None and any(not p.endswith(".py") for _, p, _ in sides):
+            whole = "UNSUPPORTED_FILE_TYPE"
+        if whole:
+            gap(whole)
+            continue
+        wrong = [(name, "MISSING_SOURCE" if raw is None else "SOURCE_BUDGET_EXCEEDED") for name, _, raw in sides if raw is None or len(raw) > most]
+        for name, code in wrong:
+            gap(code, side=name)
+        if wrong:
+            continue
+        known = _inventories(sides, gap)
+        if known is None:
+            continue
+        texts = {name: bytes(raw).decode("utf-8-sig") for name, _, raw in sides}
+        if not diff.applies(f, texts.get("base", ""), texts.get("head", "")):
+            gap("PATCH_SOURCE_MISMATCH")
+            continue
+        touched: set[tuple[str, str]] = set()
+        for name, symbols in known.items():
+            lines = [b if name == "head" else a for kind, a, b, _, _ in f.lines if kind == ("+" if name == "head" else "-")]
+            for line in lines:
+                around = sorted((s["end_line"] - s["start_line"], s["kind"], s["qualname"]) for s in symbols if s["start_line"] <= line <= s["end_line"])
+                if not around:
+                    gap("MODULE_LEVEL_CHANGE", side=name, line=line)
+                elif len(around) > 1 and around[0][0] == around[1][0]:
+                    gap("AMBIGUOUS_LINE_OWNER", side=name, line=line)
+                else:
+                    touched.add(around[0][1:])
+        for kind, qualname in sorted(touched):
+            before, after = ([s for s in known.get(name, []) if (s["kind"], s["qualname"]) == (kind, qualname)] for name in ("base", "head"))
+            if len(before) > 1 or len(after) > 1:
+                gap("AMBIGUOUS_SYMBOL_IDENTITY", kind=kind, qualname=qualname)
+            elif change := _change(before, after):
+                out.append({"path": path, "old_path": f.old, "kind": kind, "qualname": qualname, "change": change})
+    return out
+
+
+def _inventories(sides, gap) -> dict[str, list[dict]] | None:
+    """Symbols of each side; None, with gaps, if a side can't be read."""
+    from sparkloom.sources import pysource
+
+    out = {}
+    for name, _, raw in sides:
+        try:
+            tree = pysource.read(bytes(raw))
+        except (pysource.SourceError, RecursionError):
+            gap("SOURCE_PARSE_ERROR", side=name)
+            continue
+        try:
+            out[name] = pysource.symbols(tree, bytes(raw))
+        except (ValueError, RecursionError):
+            gap("INVALID_SYMBOL_INVENTORY", side=name)
+    return out if len(out) == len(sides) else None
+
+
+def _change(before: list[dict], after: list[dict]) -> str | None:
+    if not before or not after:
+        return "ADDED" if after else "REMOVED"
+    if before[0]["header_digest"] != after[0]["header_digest"]:
+        return "SIGNATURE_CHANGED"
+    return "BODY_CHANGED" if before[0]["content_digest"] != after[0]["content_digest"] else None
+
+
+def symbol_diff(patches: DataFrame, base: DataFrame, head: DataFrame, key: str = "patch") -> DataFrame:
+    """Changes and gaps (diff_symbols) of each patch. patches: key, text. base, head: key, path, content of the files a patch names.
+
+    A patch and its files are one row of work; files that no patch names aren't read.
+    """
+    import pandas as pd
+
+    held = lambda df, name: df.groupBy(F.col(key).alias(name)).agg(F.collect_list(F.struct("path", "content")).alias(f"{name}_files"))
+    rows = patches.select(key, "text").join(held(base, "_b"), F.col(key) == F.col("_b"), "left").join(held(head, "_h"), F.col(key) == F.col("_h"), "left").select(key, "text", "_b_files", "_h_files")
+    names = [c.split(" ")[0] for c in SYMBOL_DIFF.split(", ")]
+    files = lambda x: {} if x is None else {f["path"]: bytes(f["content"]) for f in x}
+
+    def run(batches):
+        for b in batches:
+            out = [{key: k, **r} for k, t, x, y in zip(*(b[c] for c in b.columns)) for r in diff_symbols(t, files(x), files(y))]
+            frame = pd.DataFrame(out, columns=[key, *names]).astype(object)
+            yield frame.where(frame.notna(), None)
+
+    return rows.mapInPandas(run, f"{key} {patches.schema[key].dataType.simpleString()}, {SYMBOL_DIFF}")

@@ -23,6 +23,7 @@ EDGE_OF = {"call": "CALLS", "import": "IMPORTS", "base_class": "INHERITS"}
 DYNAMIC = {"exec", "eval", "globals", "locals", "vars", "setattr", "delattr"}
 PLAIN_DECORATORS = {"staticmethod", "classmethod", "dataclass", "dataclasses.dataclass", "abstractmethod", "abc.abstractmethod"}
 DEPTH = 24
+COMPREHENSIONS = (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)
 
 
 def module_name(path: str, roots: tuple[str, ...] = ("src/",)) -> str:
@@ -36,10 +37,20 @@ def module_name(path: str, roots: tuple[str, ...] = ("src/",)) -> str:
 class Event:
     kind: str  # definition, import, or other (parameters, assignments, loops, ...)
     line: int
-    conditional: bool
+    maybe: bool  # even where its statement runs, it may not be bound (a walrus, a pattern, a handler's name)
     node: object = None
     target: tuple[str, str | None] | None = None  # module, member
     value: ast.expr | None = None
+    path: tuple = ()  # branches it lies in: (statement, label, whether other labels exclude it)
+
+    def established(self, path: tuple) -> bool:
+        """Whether it has run wherever a reference in these branches runs."""
+        return not self.maybe and path[: len(self.path)] == self.path
+
+    def excluded(self, path: tuple) -> bool:
+        """Whether it lies in another branch of an `if` than the reference."""
+        mine = {statement: label for statement, label, only in self.path if only}
+        return any(mine.get(statement, label) != label for statement, label, _ in path)
 
 
 @dataclass
@@ -53,6 +64,13 @@ class Scope:
     uncertain: bool = False
     globals_: set[str] = field(default_factory=set)
 
+    def frame(self) -> Scope:
+        """The scope whose code runs this one's: bodies of classes and comprehensions run with what is around them."""
+        s = self
+        while s.parent is not None and not isinstance(s.node, (*CALLABLES, ast.Lambda)):
+            s = s.parent
+        return s
+
 
 class Module:
     def __init__(self, path: str, raw: bytes):
@@ -61,19 +79,32 @@ class Module:
         self.symbols = symbols(self.tree, raw)
         by_line = {(s["qualname"], s["start_line"]): s for s in self.symbols}
         self.by_key = {s["local_key"]: s for s in self.symbols}
-        self.references: list[tuple[str, Scope, ast.AST, str, int]] = []
+        self.references: list[tuple[str, Scope, ast.AST, str, int, tuple]] = []
+        self.branches: tuple = ()  # branches that the walk is in; none in a function's body, which runs some other time
         self.scope = Scope("module", self.tree, None, None)
         self._find = lambda qual, n: by_line.get((qual, min([n.lineno, *[d.lineno for d in n.decorator_list]])))
-        self._body(self.tree.body, self.scope, "", False)
+        self._body(self.tree.body, self.scope, "")
+
+    def _branch(self, body: list[ast.stmt], s: Scope, prefix: str, label: tuple):
+        self.branches, before = (*self.branches, label), self.branches
+        self._body(body, s, prefix)
+        self.branches = before
+
+    def _later(self, run):
+        """What a function's body does: outside of the branches around its definition."""
+        self.branches, before = (), self.branches
+        run()
+        self.branches = before
 
     def _event(self, s: Scope, name: str, e: Event):
+        e.path = self.branches
         s.names.setdefault(name, []).append(e)
 
-    def _imports(self, n, s: Scope, cond: bool):
+    def _imports(self, n, s: Scope):
         if isinstance(n, ast.Import):
             for a in n.names:
-                self._event(s, a.asname or a.name.split(".")[0], Event("import", n.lineno, cond, n, (a.name if a.asname else a.name.split(".")[0], None)))
-                self.references.append(("import", s, n, a.name, n.lineno))
+                self._event(s, a.asname or a.name.split(".")[0], Event("import", n.lineno, False, n, (a.name if a.asname else a.name.split(".")[0], None)))
+                self.references.append(("import", s, n, a.name, n.lineno, self.branches))
             return
         base = n.module or ""
         if n.level:
@@ -84,21 +115,21 @@ class Module:
             if a.name == "*" or base is None:
                 s.uncertain |= a.name == "*"
                 continue
-            self._event(s, a.asname or a.name, Event("import", n.lineno, cond, n, (base, a.name)))
-            self.references.append(("import", s, n, f"{base}:{a.name}", n.lineno))
+            self._event(s, a.asname or a.name, Event("import", n.lineno, False, n, (base, a.name)))
+            self.references.append(("import", s, n, f"{base}:{a.name}", n.lineno, self.branches))
 
-    def _targets(self, t: ast.expr, s: Scope, line: int, cond: bool, value=None):
+    def _targets(self, t: ast.expr, s: Scope, line: int, value=None, maybe: bool = False):
         if isinstance(t, ast.Name):
             where = s
             if t.id in s.globals_:
                 while where.parent:
                     where = where.parent
-            self._event(where, t.id, Event("other", line, cond, t, None, value))
+            self._event(where, t.id, Event("other", line, maybe, t, None, value))
         elif isinstance(t, (ast.Tuple, ast.List)):
             for e in t.elts:
-                self._targets(e, s, line, cond)
+                self._targets(e, s, line, None, maybe)
         elif isinstance(t, ast.Starred):
-            self._targets(t.value, s, line, cond)
+            self._targets(t.value, s, line, None, maybe)
         else:
             self._expr(t, s)
 
@@ -110,13 +141,13 @@ class Module:
             for a in ast.walk(n.args):
                 if isinstance(a, ast.arg):
                     self._event(own, a.arg, Event("other", n.lineno, False, a))
-            self._expr(n.body, own)
+            self._later(lambda: self._expr(n.body, own))
             return
         if isinstance(n, (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)):
             own = Scope("function", n, s, s.key)
             for i, g in enumerate(n.generators):
                 self._expr(g.iter, own if i else s)
-                self._targets(g.target, own, n.lineno, False)
+                self._targets(g.target, own, n.lineno)
                 for c in g.ifs:
                     self._expr(c, own)
             for f in ("elt", "key", "value"):
@@ -127,85 +158,96 @@ class Module:
             where = s
             while isinstance(where.node, (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp)):
                 where = where.parent
-            self._targets(n.target, where, n.lineno, True, None)
+            self._targets(n.target, where, n.lineno, None, True)
             return
         if isinstance(n, ast.Call):
             if isinstance(n.func, ast.Name) and n.func.id in DYNAMIC:
                 s.uncertain = True
-            self.references.append(("call", s, n.func, ast.unparse(n.func), n.lineno))
+            self.references.append(("call", s, n.func, ast.unparse(n.func), n.lineno, self.branches))
         for c in ast.iter_child_nodes(n):
             self._expr(c, s)
 
-    def _body(self, body: list[ast.stmt], s: Scope, prefix: str, cond: bool):
+    def _body(self, body: list[ast.stmt], s: Scope, prefix: str):
         for n in body:
             if isinstance(n, (ast.Import, ast.ImportFrom)):
-                self._imports(n, s, cond)
+                self._imports(n, s)
             elif isinstance(n, DEFINITIONS):
                 for d in n.decorator_list:
                     self._expr(d, s)
                 qual = f"{prefix}{n.name}"
                 sym = self._find(qual, n)
                 key = sym["local_key"] if sym else None
-                self._event(s, n.name, Event("definition", n.lineno, cond, n))
+                self._event(s, n.name, Event("definition", n.lineno, False, n))
                 own = s.inner[n] = Scope("class" if isinstance(n, ast.ClassDef) else "function", n, s, key)
                 if isinstance(n, ast.ClassDef):
                     for b in n.bases:
-                        self.references.append(("base_class", Scope("ref", n, s, key), b, ast.unparse(b), n.lineno))
+                        self.references.append(("base_class", Scope("ref", n, s, key), b, ast.unparse(b), n.lineno, self.branches))
                         self._expr(b, s)
                 else:
                     a = n.args
                     for d in [*a.defaults, *a.kw_defaults]:
                         self._expr(d, s)
-                    for i, p in enumerate([*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]):
-                        self._event(own, p.arg, Event("other", n.lineno, False, ("parameter", i, p)))
-                self._body(n.body, own, qual + ".", False)
+                    self._later(lambda: self._function(n, own, qual + "."))
+                    continue
+                self._body(n.body, own, qual + ".")
             elif isinstance(n, ast.Assign):
                 self._expr(n.value, s)
                 for t in n.targets:
-                    self._targets(t, s, n.lineno, cond, n.value if len(n.targets) == 1 else None)
+                    self._targets(t, s, n.lineno, n.value if len(n.targets) == 1 else None)
             elif isinstance(n, (ast.AnnAssign, ast.AugAssign)):
                 self._expr(n.value, s)
-                self._targets(n.target, s, n.lineno, cond, n.value if isinstance(n, ast.AnnAssign) else None)
+                self._targets(n.target, s, n.lineno, n.value if isinstance(n, ast.AnnAssign) else None)
             elif isinstance(n, (ast.Global, ast.Nonlocal)):
                 s.globals_ |= set(n.names) if isinstance(n, ast.Global) else set()
                 s.uncertain |= isinstance(n, ast.Nonlocal)
             elif isinstance(n, (ast.For, ast.AsyncFor)):
                 self._expr(n.iter, s)
-                self._targets(n.target, s, n.lineno, cond)
-                self._body([*n.body, *n.orelse], s, prefix, True)
-            elif isinstance(n, (ast.If, ast.While)):
+                self._targets(n.target, s, n.lineno, None, True)
+                self._branch([*n.body, *n.orelse], s, prefix, (id(n), "loop", False))
+            elif isinstance(n, ast.While):
+                self._expr(n.test, s)
+                self._branch([*n.body, *n.orelse], s, prefix, (id(n), "loop", False))
+            elif isinstance(n, ast.If):
                 self._expr(n.test, s)
-                self._body([*n.body, *n.orelse], s, prefix, True)
+                self._branch(n.body, s, prefix, (id(n), "body", True))
+                self._branch(n.orelse, s, prefix, (id(n), "else", True))
             elif isinstance(n, (ast.With, ast.AsyncWith)):
                 for i in n.items:
                     self._expr(i.context_expr, s)
                     if i.optional_vars is not None:
-                        self._targets(i.optional_vars, s, n.lineno, cond)
-                self._body(n.body, s, prefix, cond)
+                        self._targets(i.optional_vars, s, n.lineno)
+                self._body(n.body, s, prefix)
             elif isinstance(n, (ast.Try, ast.TryStar)):
-                self._body(n.body, s, prefix, True)
+                self._branch(n.body, s, prefix, (id(n), "try", False))
                 for h in n.handlers:
                     self._expr(h.type, s)
                     if h.name:
                         self._event(s, h.name, Event("other", h.lineno, True, h))
-                    self._body(h.body, s, prefix, True)
-                self._body([*n.orelse, *n.finalbody], s, prefix, True)
+                    self._branch(h.body, s, prefix, (id(n), h.lineno, False))
+                self._branch([*n.orelse, *n.finalbody], s, prefix, (id(n), "rest", False))
             elif isinstance(n, ast.Match):
                 self._expr(n.subject, s)
-                for c in n.cases:
+                for i, c in enumerate(n.cases):
                     for p in ast.walk(c.pattern):
                         if isinstance(p, (ast.MatchAs, ast.MatchStar)) and p.name:
                             self._event(s, p.name, Event("other", n.lineno, True, p))
                     self._expr(c.guard, s)
-                    self._body(c.body, s, prefix, True)
+                    self._branch(c.body, s, prefix, (id(n), i, False))
             elif isinstance(n, ast.Delete):
                 for t in n.targets:
-                    self._targets(t, s, n.lineno, cond)
+                    self._targets(t, s, n.lineno)
             else:
                 for c in ast.iter_child_nodes(n):
                     self._expr(c, s)
 
 
+    def _function(self, n, own: Scope, prefix: str):
+        a = n.args
+        for i, p in enumerate([*a.posonlyargs, *a.args, *a.kwonlyargs, *filter(None, (a.vararg, a.kwarg))]):
+            self._event(own, p.arg, Event("other", n.lineno, False, ("parameter", i, p)))
+        self._body(n.body, own, prefix)
+
+
 #: What an expression is: ("module", name), ("symbol", module, key), ("instance", module, class key), or None.
 class Repository:
     def __init__(self, sources: dict[str, bytes]):
@@ -235,17 +277,17 @@ class Repository:
             todo += s.inner.values()
         return None
 
-    def _settle(self, m: Module, s: Scope, events: list[Event], depth: int, cert: str):
-        """(targets, certainty) of what a name is bound to."""
-        defs = [e for e in events if e.kind == "definition"]
-        rest = [e for e in events if e.kind != "definition"]
-        if s.uncertain:
-            return [], UNRESOLVED
-        if not rest and len(defs) > 1:
-            return [("symbol", m.name, s.inner[e.node].key) for e in defs], AMBIGUOUS
-        if len(events) != 1 or events[0].conditional:
+    def _settle(self, m: Module, s: Scope, events: list[Event], depth: int, cert: str, path: tuple = ()):
+        """(targets, certainty) of what a name is bound to, of the bindings that are possible for a reference in these branches."""
+        if s.uncertain or not events:
             return [], UNRESOLVED
+        if len(events) > 1:
+            if any(e.kind != "definition" for e in events):
+                return [], UNRESOLVED
+            return [("symbol", m.name, s.inner[e.node].key) for e in events], AMBIGUOUS
         e = events[0]
+        if not e.established(path):
+            return [], UNRESOLVED
         if e.kind == "definition":
             key = s.inner[e.node].key
             return ([("symbol", m.name, key)], cert) if key else ([], UNRESOLVED)
@@ -357,12 +399,16 @@ class Repository:
         made = self._made(m, inner, x.value, depth + 1) if x.value is not None else None
         return ([made], INFERRED) if made else ([], UNRESOLVED)
 
-    def resolve(self, m: Module, s: Scope, n: ast.expr, line: int | None, depth: int = 0):
-        """(targets, status) of a name or attribute read in a scope (at a line of the scope's own frame, or any time)."""
+    def resolve(self, m: Module, s: Scope, n: ast.expr, line: int | None, depth: int = 0, path: tuple = ()):
+        """(targets, status) of a name or attribute read in a scope at a line and in branches of its own frame (or any time).
+
+        Bindings of the same frame count if they come before and lie in no excluded branch, back to the last that is sure
+        to have run; those of a frame around count all, for they may run before or after.
+        """
         if depth > DEPTH:
             return [], UNRESOLVED
         if isinstance(n, ast.Attribute):
-            found, cert = self.resolve(m, s, n.value, line, depth + 1)
+            found, cert = self.resolve(m, s, n.value, line, depth + 1, path)
             return self._member(found[0], n.attr, depth + 1, cert) if cert in CONFIDENCE else ([], UNRESOLVED)
         if isinstance(n, ast.Call):
             made = self._made(m, s, n, depth + 1)
@@ -370,15 +416,16 @@ class Repository:
         if not isinstance(n, ast.Name):
             return [], UNRESOLVED
         where, first = (s.parent if s.kind == "ref" else s), True
+        frame = where.frame()
         while where is not None:
             if where.uncertain:
                 return [], UNRESOLVED
             if (where.kind != "class" or first) and n.id in where.names and n.id not in where.globals_:
                 events = where.names[n.id]
-                if first and line is not None and not (where.kind == "function" and isinstance(events[0].node, tuple)):
-                    events = [e for e in events if e.line <= line] or events[:0]
-                if not events:
-                    return [], UNRESOLVED
+                if line is not None and where.frame() is frame:
+                    events = [e for e in events if not e.excluded(path) and (e.line <= line or isinstance(where.node, COMPREHENSIONS))]
+                    last = max((i for i, e in enumerate(events) if e.established(path)), default=0)
+                    return self._settle(m, where, events[last:], depth, EXACT, path)
                 return self._settle(m, where, events, depth, EXACT)
             first, where = False, where.parent
         return [], UNRESOLVED
@@ -386,12 +433,12 @@ class Repository:
     def results(self) -> list[dict]:
         out = []
         for m in self.modules.values():
-            for i, (kind, s, n, text, line) in enumerate(m.references):
+            for i, (kind, s, n, text, line, path) in enumerate(m.references):
                 if kind == "import":
                     module, _, member = text.partition(":")
                     found, cert = self._member(("module", module), member, 0, EXACT) if member else (([("module", module)], EXACT) if module in self.modules else ([], UNRESOLVED))
                 else:
-                    found, cert = self.resolve(m, s, n, line if s.kind in ("module", "class", "ref") else None)
+                    found, cert = self.resolve(m, s, n, line, 0, path)
                 if cert in CONFIDENCE and found[0][0] == "instance":
                     found, cert = [], UNRESOLVED
                 if kind == "base_class" and cert in CONFIDENCE and (found[0][0] != "symbol" or self._kind(found[0]) != "class"):

@@ -11,6 +11,7 @@ from sparkloom.functions import text as tx
 from sparkloom.functions import vectors
 from sparkloom.operators import changes, churn, evaluate, graph, recommend, retrieval, risk, scope, writes
 from sparkloom.plans.derived import BASE_SQL, Derived
+from sparkloom.plans.shapes import SHAPES
 from sparkloom.schema import valid_confidence
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -866,3 +867,43 @@ def t3_lexical_postings(d):
 @query("SELECT f.path || '::' || coalesce(a.qualname, a.name) || '::' || a.kind AS source, g.path || '::' || coalesce(b.qualname, b.name) || '::' || b.kind AS target, e.kind, e.confidence FROM edges e JOIN symbols a ON a.symbol_id = e.src JOIN files f ON f.file_id = a.file_id JOIN symbols b ON b.symbol_id = e.dst JOIN files g ON g.file_id = b.file_id")
 def g12_canonical_edges(d):
     return writes.canonical(d.symbols, d.files, d.edges)[1]
+
+
+_SHAPE_ROWS = ", ".join(f"({i}, '{kind}', '{text.replace(chr(39), chr(39) * 2)}', {line}, '{status}')" for i, (_, refs) in enumerate(SHAPES) for kind, text, line, status in refs)
+
+
+@query(f"SELECT 'src/p' || s_suppkey || '.py' AS path, kind, expression, line, status FROM supplier JOIN (VALUES {_SHAPE_ROWS}) v(shape, kind, expression, line, status) ON s_suppkey % {len(SHAPES)} = shape", base=False)
+def x9_resolution_shapes(d):
+    from sparkloom.operators.resolve import resolve_references
+
+    source = F.element_at(F.array(*[F.lit(s) for s, _ in SHAPES]), (F.col("s_suppkey") % len(SHAPES) + 1).cast("int"))
+    return resolve_references(_made_files(d, lambda k: source)).select("path", "kind", "expression", "line", "status")
+
+
+#: Patches with the two versions of their file, and what they change, worked out by hand.
+_PATCHES = [
+    ("def f():\n    return 1\n", "def f():\n    return 2\n", "--- a/m.py\n+++ b/m.py\n@@ -1,2 +1,2 @@\n def f():\n-    return 1\n+    return 2\n", [("m.py", "f", "BODY_CHANGED", None)]),
+    ("def f(): pass\n", "def f(a): pass\n", "--- a/m.py\n+++ b/m.py\n@@ -1 +1 @@\n-def f(): pass\n+def f(a): pass\n", [("m.py", "f", "SIGNATURE_CHANGED", None)]),
+    ("def f(): pass\n", "def g(): pass\n", "--- a/m.py\n+++ b/m.py\n@@ -1 +1 @@\n-def f(): pass\n+def g(): pass\n", [("m.py", "f", "REMOVED", None), ("m.py", "g", "ADDED", None)]),
+    ("class A:\n    def m(self):\n        return 1\n", "class A:\n    def m(self):\n        return 2\n", "diff --git a/m.py b/n.py\nrename from m.py\nrename to n.py\n--- a/m.py\n+++ b/n.py\n@@ -3 +3 @@\n-        return 1\n+        return 2\n", [("n.py", "A.m", "BODY_CHANGED", None)]),
+    ("x = 1\n", "x = 2\n", "--- a/m.py\n+++ b/m.py\n@@ -1 +1 @@\n-x = 1\n+x = 2\n", [("m.py", None, None, "MODULE_LEVEL_CHANGE"), ("m.py", None, None, "MODULE_LEVEL_CHANGE")]),
+    ("def f(): pass\n", "def f(): ...\n", "--- a/m.py\n+++ b/m.py\n@@ -1 +1 @@\n-def f(): other\n+def f(): ...\n", [("m.py", None, None, "PATCH_SOURCE_MISMATCH")]),
+    ("def f(:\n", "def f(): ...\n", "--- a/m.py\n+++ b/m.py\n@@ -1 +1 @@\n-def f(:\n+def f(): ...\n", [("m.py", None, None, "SOURCE_PARSE_ERROR")]),
+    ("def f(): pass\ndef f(): pass\n", "def f(): pass\ndef f(): ...\n", "--- a/m.py\n+++ b/m.py\n@@ -2 +2 @@\n-def f(): pass\n+def f(): ...\n", [("m.py", "f", None, "AMBIGUOUS_SYMBOL_IDENTITY")]),
+    ("a", "b", "diff --git a/m.py b/m.py\nBinary files a/m.py and b/m.py differ\n", [("m.py", None, None, "BINARY_FILE")]),
+    ("a", "b", "--- a/m.md\n+++ b/m.md\n@@ -1 +1 @@\n-a\n+b\n", [("m.md", None, None, "UNSUPPORTED_FILE_TYPE")]),
+    ("a", "b", "--- a/other.py\n+++ b/other.py\n@@ -1 +1 @@\n-a\n+b\n", [("other.py", None, None, "MISSING_SOURCE"), ("other.py", None, None, "MISSING_SOURCE")]),
+    ("a", "b", "diff --git a/m.py b/n.py\ncopy from m.py\ncopy to n.py\n", [("n.py", None, None, "COPY_UNSUPPORTED")]),
+]
+_sql = lambda x: "NULL" if x is None else "'" + x + "'"
+_PATCH_ROWS = ", ".join(f"({i}, {', '.join(map(_sql, row))})" for i, (*_, rows) in enumerate(_PATCHES) for row in rows)
+
+
+@query(f"SELECT o_orderkey AS patch, path, qualname, change, code FROM orders JOIN (VALUES {_PATCH_ROWS}) v(shape, path, qualname, change, code) ON o_orderkey % {len(_PATCHES)} = shape", base=False)
+def x18_symbol_diff(d):
+    k = F.col("o_orderkey")
+    pick = lambda i: F.element_at(F.array(*[F.lit(p[i]) for p in _PATCHES]), (k % len(_PATCHES) + 1).cast("int"))
+    own = d.table("orders").select(k.alias("patch"), pick(2).alias("text"), pick(0).cast("binary").alias("base"), pick(1).cast("binary").alias("head"))
+    files = lambda side, *names: own.select("patch", F.explode(F.array(*[F.lit(n) for n in names])).alias("path"), F.col(side).alias("content"))
+    out = changes.symbol_diff(own.select("patch", "text"), files("base", "m.py"), files("head", "m.py", "n.py"))
+    return out.select("patch", "path", "qualname", "change", "code")

@@ -75,6 +75,7 @@ def pack(docs: DataFrame, path: str, window: int = 2048, end_id: int = 1, doc_id
             start, length, row = np.array(start, np.int64), np.array(length, np.int64), np.array(row, np.int64)
             at = ats[row] + start
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(raw, pa.binary()), b.column(3).take(pa.array(row)), pa.array(at // window), pa.array(at % window)], names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        release()
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return placed.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -97,6 +97,7 @@ def _passages(texts: DataFrame, runs: DataFrame) -> DataFrame:
                 for x, y in zip(*merged(np.array(s), np.array(e))):
                     mk.append(key), m.append(d), out.append(b" ".join(words[x:y]))
             yield pa.RecordBatch.from_arrays([pa.array(mk, pa.binary()), pa.array(m, pa.int64()), pa.array(out, pa.binary())], names=["mk", "m", "words"])
+        release()
 
     return texts.join(runs, texts.key == runs.mk).select("mk", "d", "text", "s", "e").mapInArrow(cut, "mk binary, m long, words binary")
 
@@ -199,6 +200,7 @@ def find_repeats(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text
                 d.append(np.full(len(starts), i, np.int64)), pos.append(starts.astype(np.int32)), w1.append(signed(x)), w2.append(signed(y))
             if d:
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.binary()), *(pa.array(np.concatenate(x)) for x in (d, pos, w1, w2))], names=["key", "d", "pos", "w1", "w2"])
+        release()
 
     seen = texts.join(need, "key").select("key", "d", "text", "at").mapInArrow(windows, "key binary, d long, pos int, w1 long, w2 int")
     seen = materialize(spark, seen, "phrases-windows")
@@ -298,6 +300,7 @@ def deduplicate(docs: DataFrame, window: int = 50, doc_id: str = "doc_id", text:
     per = first.join(cuts.select("key", "s", "e"), "key", "left")
 
     def left(texts: pd.Series, s: pd.Series, e: pd.Series) -> pd.Series:
+        release()
         return pd.Series([t if a is None else b" ".join(kept_words(t, a, z)).decode() for t, a, z in zip(texts, s, e)], dtype=object)
 
     rows = carried(docs, key=text_key(text), d=F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), t=F.col(text)).join(per, "key", "left")

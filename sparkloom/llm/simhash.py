@@ -229,13 +229,18 @@ def join_runs(x: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.
     run = np.repeat(np.arange(len(size)), size)
     live = np.flatnonzero((size[run] > 1) & (size[run] <= LONG_RUN))
     us, vs = [live[:0]], [live[:0]]
+    first = np.full(len(run), -1)  # the entry that an entry was joined with: pairs that both have it are left out
     for d in range(1, min(LONG_RUN, len(live))):
         live = live[live + d < len(run)]
         live = live[run[live + d] == run[live]]
         if not len(live):
             break
         near = live[np.bitwise_count(x[live] ^ x[live + d]).sum(axis=1) <= most]
+        root = np.where(first[near] < 0, near, first[near])
+        new = (first[near + d] < 0) | (first[near + d] != root)
+        near, root = near[new], root[new]
         us.append(near), vs.append(near + d)
+        first[near + d] = np.where(first[near + d] < 0, root, np.minimum(first[near + d], root))
     for r in np.flatnonzero(size > LONG_RUN):
         i, j = wide_forest(x[at[r] : at[r + 1]], most)
         us.append(i + at[r]), vs.append(j + at[r])
@@ -264,7 +269,7 @@ def similar_links(sets: DataFrame, words: int, size: int, blocks: int, least: fl
             span = np.floor(np.log(n) / -np.log(least)).astype(np.uint64)
             k = np.stack([mixed(mixed(value + np.arange(1, blocks + 1, dtype=np.uint64) * SALT) + (span + i)[:, None]) for i in (np.uint64(0), np.uint64(1))], 2).ravel()
             own = np.repeat(np.arange(len(fp)), 2 * blocks)
-            order = np.argsort(k, kind="stable")
+            order = np.lexsort((cid[own], k))
             lead = np.ones(len(k), bool)
             x = own[order]
             u, v = join_runs(fp[x, :2], packed.cuts(k[order]), early)  # what a batch holds of a value is joined at once, and its first go on
@@ -289,7 +294,7 @@ def similar_links(sets: DataFrame, words: int, size: int, blocks: int, least: fl
             if not local.all():
                 _, own, ks, _, k, c = packed.unpack(t.take(pa.array(np.flatnonzero(~local))), "<u8", "<u8")
                 cid, c = ks[own, 0].view(np.int64), c.reshape(-1, 2)
-                order = np.argsort(k, kind="stable")
+                order = np.lexsort((cid, k))  # of a value the least number first: most link with it, and links of many values are the same
                 i, j = join_runs(c[order], packed.cuts(k[order]), early)
                 us.append(cid[order[i]]), vs.append(cid[order[j]])
             pair = np.unique(np.column_stack([np.concatenate(us), np.concatenate(vs)]), axis=0) if us else np.zeros((0, 2), np.int64)

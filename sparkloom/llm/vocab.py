@@ -13,11 +13,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sparkloom.llm.common import release
+
 #: Two adjoining white spaces of any kind (a superset of what the pre-tokenizer calls white space).
 ADJOINING = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]{2}"
 #: White space as the pre-tokenizer has it; characters about which libraries differ.
@@ -27,7 +30,7 @@ DOUBTFUL = re.compile("[\\x1c-\\x1f\u180e]")
 #: The pre-tokenizer's pattern for byte-level vocabularies of this family.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encodings of chunks a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 #: Marks that are a pre-token of their own behind a word (an apostrophe isn't).
@@ -57,9 +60,8 @@ class ByteVocabulary:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", ())]
@@ -80,6 +82,13 @@ class ByteVocabulary:
         self.whole = bool(loose)  # special strings that take their surroundings along: texts go to the library
         self.bad = "|".join([ADJOINING, *(f"\\Q{s}\\E" for s in self.special)])
 
+    @cached_property
+    def library(self):
+        """The file's own library, opened for the first text that only it knows: workers that need it not are smaller by its tables."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def ids_of_chunk(self, chunk: str) -> list[int] | tuple[int, ...]:
         """Ids of a chunk: at most one space, and that leading. Whole-token shortcut first, merges for the rest."""
         word = chunk[1:] if chunk[:1] == " " else chunk
@@ -221,4 +230,5 @@ def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file: opened once."""
     if path not in _open:
         _open[path] = Encoder(path)
+        release()  # what reading the file took
     return _open[path]

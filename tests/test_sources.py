@@ -261,3 +261,39 @@ def test_receivers_written_twice_have_no_routes():
     assert [r["route"] for r in routes(ast.parse(once))] == ["/a"] and routes(ast.parse(once + "app = None\n")) == [] and routes(ast.parse(once + "for app in []: pass\n")) == []
     tree = ast.parse("import a.b, c as d\nfrom e import *\nfrom e import f\nif x:\n    f = g = 1\ntry:\n    del g\nfinally:\n    pass\ndef f(): h = 1\nclass K:\n    m = 1\n[i for i in y]\n")
     assert name_writes(tree) == {"a": 1, "d": 1, "f": 3, "g": 2, "K": 1, "i": 1}
+
+
+def test_shapes_of_sources():
+    """References of 36 small sources, by hand: frames, branches, members, types."""
+    from sparkloom.operators.resolve import Repository
+    from sparkloom.plans.shapes import SHAPES
+
+    for source, wanted in SHAPES:
+        got = [(r["kind"], r["expression"], r["line"], r["status"]) for r in Repository({"src/p.py": source.encode()}).results()]
+        assert sorted(got) == sorted(wanted), source
+
+
+def test_model_uses_and_dependents(spark):
+    from sparkloom.operators.resolve import dependents, model_uses, resolve_references
+
+    files = [(1, "m.py", b"class Item: pass\nclass Plain: pass\n"), (1, "u.py", b"from m import Item, Plain\ndef f():\n    Item()\n    Plain()\nItem()\nItem()\n")]
+    results = resolve_references(spark.createDataFrame(files, "repository_id long, path string, content binary"))
+    models = spark.createDataFrame([("m.py", '["class", "Item", 1]')], "path string, key string")
+    got = {(r.src_path, r.src_key, r.dst_path): (r.kind, r.confidence, len(r.references)) for r in model_uses(results, models).collect()}
+    assert got == {("u.py", '["function", "f", 2]', "m.py"): ("USES", 1.0, 1), ("u.py", None, "m.py"): ("USES", 1.0, 2)}
+    assert [(r.path, r.needs) for r in dependents(results).collect()] == [("u.py", "m.py")]
+
+
+def test_symbol_diff_gaps():
+    from sparkloom.operators.changes import diff_symbols
+
+    base = {"m.py": b"class A:\n    def m(self): pass; x = 1\n", "l.py": b"x"}
+    patch = "--- a/m.py\n+++ b/m.py\n@@ -2 +2 @@\n-    def m(self): pass; x = 1\n+    def m(self, y): pass\n"
+    head = {"m.py": b"class A:\n    def m(self, y): pass\n"}
+    assert [(r["qualname"], r["change"]) for r in diff_symbols(patch, base, head)] == [("A.m", "SIGNATURE_CHANGED")]
+    assert [r["code"] for r in diff_symbols(patch, base, head, most=10)] == ["SOURCE_BUDGET_EXCEEDED"] * 2
+    assert [r["code"] for r in diff_symbols("@@@ x", {}, {})] == ["SOURCE_PARSE_ERROR"]
+    link = "diff --git a/l.py b/l.py\nold mode 120000\nnew mode 120000\n--- a/l.py\n+++ b/l.py\n@@ -1 +1 @@\n-x\n+y\n"
+    assert [r["code"] for r in diff_symbols(link, base, {"l.py": b"y"})] == ["NON_SOURCE_ENTRY"]
+    two = "--- a/t.py\n+++ b/t.py\n@@ -1 +1 @@\n-def f(): pass; g = lambda: 1\n+def f(): ...\n"
+    assert [r.get("change") for r in diff_symbols(two, {"t.py": b"def f(): pass; g = lambda: 1\n"}, {"t.py": b"def f(): ...\n"})] == ["BODY_CHANGED"]

@@ -1,6 +1,7 @@
 """A corpus from raw documents: language, near copies, repeated passages, mixture, sequences.
 
-Each stage works on all that the one before it kept, written as Parquet to the shared folder.
+Each stage works on all that the one before it kept, written as Parquet to the shared folder. Columns beside the
+text and the id pass through the first four stages whatever their names, and an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -20,29 +21,41 @@ LEAST_LANGUAGE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those that are like no learned language."""
+    """Rejects documents without a letter (null and empty texts among them) and those that are like no learned language.
+
+    Profiles are learned from rows with a language and an id that isn't held out; without any, all go. Repeated rows agree.
+    """
     found = langid.identify(docs, langid.learn(docs))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
     return kept.select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of their five-word shingles) stays: the smallest id."""
+    """One document of each group of near copies (0.8 of their five-word shingles) stays: the smallest id.
+
+    Null ids are larger than any; of repeated rows one stays. Texts without words are copies of one another.
+    """
     return simhash.keep_one_similar(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that a smaller document holds; documents that were nothing else go."""
+    """Cuts passages (50 words or more) that a smaller document holds; documents that were nothing else go.
+
+    Null ids are larger than any; rows of one id don't cut one another. Rows without words stay as they are.
+    """
     return phrases.deduplicate(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
+    """Each document as often as the mixture takes it.
+
+    A null source is a source; rows without words take no words and go as often as their source's whole copies.
+    """
     return mixing.mixed_rows(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 ids."""
+    """Pieces of documents in sequences of 2048 ids: of a null or empty text the end id alone; a repeated row is packed again."""
     return packing.pack(docs, vocabulary())
 
 

@@ -907,3 +907,20 @@ def x18_symbol_diff(d):
     files = lambda side, *names: own.select("patch", F.explode(F.array(*[F.lit(n) for n in names])).alias("path"), F.col(side).alias("content"))
     out = changes.symbol_diff(own.select("patch", "text"), files("base", "m.py"), files("head", "m.py", "n.py"))
     return out.select("patch", "path", "qualname", "change", "code")
+
+
+@query("SELECT 'src/p' || s_suppkey || '.py' AS path, name, framework, part FROM supplier, (VALUES (0, 'GET /a', 'FastAPI', 'endpoint'), (1, 'PUT /b', 'Flask', 'endpoint'), (1, 'POST /b', 'Flask', 'endpoint'), (3, 'item', 'SQLModel', 'model'), (4, 'rows', 'SQLAlchemy', 'model')) v(shape, name, framework, part) WHERE s_suppkey % 6 = shape", base=False)
+def x14_x15_frameworks(d):
+    """Routes, a receiver that is written twice (2), tables of both families, and a base that nothing brings in (5)."""
+    from sparkloom.sources.pysource import detect_frameworks
+
+    shapes = (
+        "from fastapi import FastAPI\napp = FastAPI()\n@app.get('/a')\ndef a(): pass\n@app.get(path)\ndef b(): pass\n",
+        "import flask\nbp = flask.Blueprint('x')\n@bp.route('/b', methods=['put', 'POST'])\ndef b(): pass\n",
+        "from fastapi import FastAPI\napp = FastAPI()\n@app.get('/a')\ndef a(): pass\napp = None\n",
+        "from sqlmodel import SQLModel\nclass Item(SQLModel, table=True): pass\nclass Draft(SQLModel): pass\n",
+        "from sqlalchemy.orm import declarative_base\nB = declarative_base()\nclass M(B): pass\nclass Row(M):\n    __tablename__ = 'rows'\n",
+        "class Item(SQLModel, table=True): pass\nclass Row(Base):\n    __tablename__ = 'rows'\n",
+    )
+    source = F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.col("s_suppkey") % len(shapes) + 1).cast("int"))
+    return detect_frameworks(_made_files(d, lambda k: source)).select("path", "name", "framework", "part")

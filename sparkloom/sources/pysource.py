@@ -153,14 +153,42 @@ def module_names(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").endswith(".py")).select("path", "content").mapInPandas(run, "path string, name string, writes long, error string")
 
 
+def imported(tree: ast.Module) -> dict[str, str]:
+    """What a module's names stand for, of those that absolute imports bind and nothing else writes."""
+    writes, out = name_writes(tree), {}
+    todo: list[ast.AST] = list(tree.body)
+    while todo:
+        n = todo.pop()
+        if isinstance(n, ast.Import):
+            out |= {a.asname or a.name.partition(".")[0]: a.name if a.asname else a.name.partition(".")[0] for a in n.names}
+        elif isinstance(n, ast.ImportFrom):
+            out |= {a.asname or a.name: f"{n.module}.{a.name}" for a in n.names if n.level == 0 and n.module}
+        elif not isinstance(n, DEFINITIONS):
+            todo.extend(ast.iter_child_nodes(n))
+    return {k: v for k, v in out.items() if writes[k] == 1}
+
+
+def _stands_for(node: ast.expr, known: dict[str, str]) -> str | None:
+    """The dotted name that an expression of names stands for, by the module's imports."""
+    head, _, rest = ast.unparse(node).partition(".") if isinstance(node, (ast.Name, ast.Attribute)) else ("", "", "")
+    return None if head not in known else f"{known[head]}.{rest}" if rest else known[head]
+
+
+# What makes a receiver of routes, a table's base, a base's maker; routes of all methods.
+RECEIVERS = {"fastapi.FastAPI": "FastAPI", "fastapi.APIRouter": "FastAPI", "flask.Flask": "Flask", "flask.Blueprint": "Flask"}
+BASES = {"sqlmodel.SQLModel": "SQLModel", "sqlalchemy.orm.DeclarativeBase": "SQLAlchemy"}
+BASE_MAKERS = ("sqlalchemy.orm.declarative_base", "sqlalchemy.ext.declarative.declarative_base")
+
+
 def routes(tree: ast.Module) -> list[dict]:
-    """Endpoints of module-level receivers: method, route, handler. Only literal routes and methods are taken, and only receivers that are written once."""
+    """Endpoints of module-level receivers: method, route, handler. Only literal routes and methods are taken, and only receivers
+    that a verified import makes and nothing else writes."""
+    known, writes = imported(tree), name_writes(tree)
     receivers: dict[str, str] = {}
-    writes = name_writes(tree)
     for n in tree.body:
         if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name):
-            made = ast.unparse(n.value.func).rpartition(".")[2]
-            if made in ("FastAPI", "APIRouter", "Flask", "Blueprint") and writes[n.targets[0].id] == 1:
+            made = RECEIVERS.get(_stands_for(n.value.func, known) or "")
+            if made and writes[n.targets[0].id] == 1:
                 receivers[n.targets[0].id] = made
     out = []
     for n in tree.body:
@@ -169,27 +197,78 @@ def routes(tree: ast.Module) -> list[dict]:
         for d in n.decorator_list:
             if not (isinstance(d, ast.Call) and isinstance(d.func, ast.Attribute) and isinstance(d.func.value, ast.Name) and d.func.value.id in receivers and d.args and isinstance(d.args[0], ast.Constant) and isinstance(d.args[0].value, str)):
                 continue
-            flask = receivers[d.func.value.id] in ("Flask", "Blueprint")
-            methods = []
+            framework, methods = receivers[d.func.value.id], []
             if d.func.attr in ROUTE_METHODS:
                 methods = [d.func.attr]
             elif d.func.attr in ("route", "api_route"):
                 given = next((k.value for k in d.keywords if k.arg == "methods"), None)
                 if given is None:
-                    methods = ["get"] if flask else []
+                    methods = ["get"] if framework == "Flask" else []
                 elif isinstance(given, (ast.List, ast.Tuple)) and all(isinstance(e, ast.Constant) and isinstance(e.value, str) for e in given.elts):
                     methods = [e.value for e in given.elts]
-            out += [{"method": m.upper(), "route": d.args[0].value, "handler": n.name, "line": n.lineno} for m in methods]
+            out += [{"method": m.upper(), "route": d.args[0].value, "handler": n.name, "line": min([n.lineno, *[x.lineno for x in n.decorator_list]]), "framework": framework} for m in methods]
     return out
 
 
 def models(tree: ast.Module) -> list[dict]:
-    """Classes that are tables: SQLModel with table=True, or a literal __tablename__ beside a base."""
+    """Module-level classes that are tables: of SQLModel's family with table=True, or of SQLAlchemy's with a literal __tablename__.
+
+    A family is that of a verified import, of a base that an imported maker makes, or of a class of the module before it.
+    """
+    known, writes = imported(tree), name_writes(tree)
+    family: dict[str, str] = {}
     out = []
-    for n in ast.walk(tree):
-        if isinstance(n, ast.ClassDef):
-            table = any(k.arg == "table" and isinstance(k.value, ast.Constant) and k.value.value is True for k in n.keywords)
-            named = next((s.value.value for s in n.body if isinstance(s, ast.Assign) and [ast.unparse(t) for t in s.targets] == ["__tablename__"] and isinstance(s.value, ast.Constant) and isinstance(s.value.value, str)), None)
-            if n.bases and (table or named):
-                out.append({"name": n.name, "table": named or n.name.lower(), "framework": "SQLModel" if table else "SQLAlchemy", "bases": [ast.unparse(b) for b in n.bases]})
+    for n in tree.body:
+        if isinstance(n, ast.Assign) and isinstance(n.value, ast.Call) and len(n.targets) == 1 and isinstance(n.targets[0], ast.Name):
+            if _stands_for(n.value.func, known) in BASE_MAKERS and writes[n.targets[0].id] == 1:
+                family[n.targets[0].id] = "SQLAlchemy"
+        if not isinstance(n, ast.ClassDef):
+            continue
+        found = {f for b in n.bases if (f := BASES.get(_stands_for(b, known) or "") or (family.get(b.id) if isinstance(b, ast.Name) else None))}
+        if len(found) != 1:  # none, or two that don't go together
+            continue
+        own = found.pop()
+        if writes[n.name] == 1:
+            family[n.name] = own
+        table = any(k.arg == "table" and isinstance(k.value, ast.Constant) and k.value.value is True for k in n.keywords)
+        named = None
+        for s in n.body:
+            target = s.targets[0] if isinstance(s, ast.Assign) and len(s.targets) == 1 else s.target if isinstance(s, ast.AnnAssign) else None
+            if isinstance(target, ast.Name) and target.id == "__tablename__":
+                named = s.value.value if isinstance(s.value, ast.Constant) and isinstance(s.value.value, str) else None
+        if table if own == "SQLModel" else named:
+            first = min([n.lineno, *[d.lineno for d in n.decorator_list]])
+            out.append({"name": n.name, "table": named or n.name.lower(), "framework": own, "bases": [ast.unparse(b) for b in n.bases], "key": json.dumps(["class", n.name, first])})
     return out
+
+
+FRAMEWORKS = "path string, part string, key string, name string, framework string, handler_key string, line int, error string"
+
+
+def detect_frameworks(files: DataFrame) -> DataFrame:
+    """Endpoints (part `endpoint`: name is method and route, handler_key its function) and tables (part `model`: key is the class) of files;
+    a file that can't be read is one row with its error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, raw in zip(b["path"], b["content"]):
+                try:
+                    tree = read(bytes(raw))
+                    for r in routes(tree):
+                        rows.append((path, "endpoint", json.dumps(["endpoint", r["method"], r["route"], r["line"]]), f"{r['method']} {r['route']}", r["framework"], json.dumps(["function", r["handler"], r["line"]]), r["line"], None))
+                    rows += [(path, "model", m["key"], m["table"], m["framework"], None, None, None) for m in models(tree)]
+                except (SourceError, RecursionError) as e:
+                    rows.append((path, None, None, None, None, None, None, str(e)))
+            frame = pd.DataFrame(rows, columns=[c.split(" ")[0] for c in FRAMEWORKS.split(", ")]).astype(object)
+            yield frame.where(frame.notna(), None)
+
+    return files.where(F.col("path").endswith(".py")).select("path", "content").mapInPandas(run, FRAMEWORKS)
+
+
+def endpoint_graph(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, drafts) of detected endpoints, as graph_plan() takes them: the module exposes an endpoint, which calls its handler."""
+    ends = found.where("part = 'endpoint'")
+    nodes = ends.select("path", "key", "name", F.lit(None).cast("string").alias("qualname"), F.lit("endpoint").alias("kind"), F.col("line").alias("start_line"), F.col("line").alias("end_line"))
+    draft = lambda src, dst, kind: ends.select(F.col("path").alias("src_path"), src.alias("src_key"), F.col("path").alias("dst_path"), dst.alias("dst_key"), F.lit(kind).alias("kind"), F.lit(1.0).alias("confidence"), F.array("key").alias("references"))
+    return nodes, draft(F.lit(None).cast("string"), F.col("key"), "EXPOSES").union(draft(F.col("key"), F.col("handler_key"), "CALLS"))

@@ -134,7 +134,10 @@ def test_python_symbols(spark):
 
 
 def test_routes_and_models():
-    tree = ast.parse("app = FastAPI()\n@app.get('/u')\ndef a(): pass\n@app.post(x)\ndef b(): pass\nbp = Blueprint('x')\n@bp.route('/v', methods=['PUT', 'GET'])\ndef c(): pass\nclass M(SQLModel, table=True): pass\nclass N(Base):\n    __tablename__ = 'n'\n")
+    imports = "from fastapi import FastAPI\nfrom flask import Blueprint\nfrom sqlmodel import SQLModel\nimport sqlalchemy.orm as so\nBase = so.declarative_base()\n"
+    body = ("app = FastAPI()\n@app.get('/u')\ndef a(): pass\n@app.post(x)\ndef b(): pass\nbp = Blueprint('x')\n@bp.route('/v', methods=['PUT', 'GET'])\ndef c(): pass\nclass M(SQLModel, table=True): pass\nclass N(Base):\n    __tablename__ = 'n'\n")
+    assert pysource.routes(ast.parse(body)) == [] and pysource.models(ast.parse(body)) == []  # names that nothing verified brings in
+    tree = ast.parse(imports + body)
     assert [(r["method"], r["route"], r["handler"]) for r in pysource.routes(tree)] == [("GET", "/u", "a"), ("PUT", "/v", "c"), ("GET", "/v", "c")]
     assert [(m["name"], m["framework"]) for m in pysource.models(tree)] == [("M", "SQLModel"), ("N", "SQLAlchemy")]
 
@@ -297,3 +300,16 @@ def test_symbol_diff_gaps():
     assert [r["code"] for r in diff_symbols(link, base, {"l.py": b"y"})] == ["NON_SOURCE_ENTRY"]
     two = "--- a/t.py\n+++ b/t.py\n@@ -1 +1 @@\n-def f(): pass; g = lambda: 1\n+def f(): ...\n"
     assert [r.get("change") for r in diff_symbols(two, {"t.py": b"def f(): pass; g = lambda: 1\n"}, {"t.py": b"def f(): ...\n"})] == ["BODY_CHANGED"]
+
+
+def test_endpoints_are_parts_of_the_graph(spark):
+    from sparkloom.operators.changes import graph_plan
+
+    code = b"from fastapi import APIRouter as R\nfrom sqlalchemy.orm import DeclarativeBase\nr = R()\n@r.get('/x')\ndef x(): pass\nclass Base(DeclarativeBase): pass\nclass T(Base):\n    __tablename__ = 't'\nclass U(Base): pass\nclass V(Base):\n    __tablename__ = name()\n"
+    files = spark.createDataFrame([("a.py", code), ("bad.py", b"def")], "path string, content binary")
+    found = pysource.detect_frameworks(files)
+    assert {(r.path, r.part, r.name) for r in found.collect()} == {("a.py", "endpoint", "GET /x"), ("a.py", "model", "t"), ("bad.py", None, None)}
+    nodes, drafts = pysource.endpoint_graph(found)
+    all_nodes, edges = graph_plan(pysource.parse_files(files), files.select("path"), drafts, nodes)
+    name = {r.symbol_id: (r.kind, r.name) for r in all_nodes.collect()}
+    assert {(name[e.src], e.kind, name[e.dst]) for e in edges.collect()} == {(("module", "a.py"), "EXPOSES", ("endpoint", "GET /x")), (("endpoint", "GET /x"), "CALLS", ("function", "x"))}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,6 @@ def split_chunk(chunks: DataFrame) -> DataFrame:
 
 def embed(chunks: DataFrame, embedder, batch: int = 32) -> DataFrame:
     """Add embedding (array of float) by embedder(list of texts) -> list of vectors, called with whole batches."""
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:

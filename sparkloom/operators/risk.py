@@ -71,6 +71,34 @@ def report(scored: DataFrame) -> DataFrame:
     return scored.withColumn("summary", text).withColumn("report", F.to_json(F.struct("status", "score", "risk_level", "lower_bound", "upper_bound", parts.alias("contributions"), "summary")))
 
 
+# The sentences of a summary, with the figures they cite.
+SENTENCES = {
+    "risk": ("Pull request analysis concluded with %s risk (score: %s, status: %s).", ("level_text", "score_text", "risk_status")),
+    "diff": ("Diff modifies %d lines across %d files (%d symbols modified).", ("changed_lines_count", "files_changed_count", "modified_symbols_count")),
+    "reach": ("Downstream ripple traversal identified %d impacted symbols and %d affected API endpoints.", ("impacted_symbols_count", "affected_endpoints_count")),
+    "untested": ("%d modified production callables lack direct static test coverage.", ("untested_modified_symbols_count",)),
+    "tested": ("All modified production callables have linked static test associations.", ()),
+    "complexity": ("Maximum detected callable cyclomatic complexity increase is +%d.", ("maximum_complexity_increase",)),
+    "gaps": ("Assessment contains %d unmeasured boundary gap(s).", ("gaps_count",)),
+}
+
+
+def executive_summary(facts: DataFrame) -> DataFrame:
+    """Add `summary` and `cited` (the figures that the sentences rest on). facts: risk_level, risk_score, risk_status, lower_bound,
+    upper_bound, the counts that the sentences name, maximum_complexity_increase, gaps_count.
+
+    A score that isn't known shows its bounds, two digits each; sentences without an occasion are left out.
+    """
+    bounds = F.format_string("[%.2f-%.2f] (incomplete)", "lower_bound", "upper_bound")
+    shown = F.when(F.col("risk_score").isNotNull(), F.format_string("%.2f", "risk_score")).when(F.col("lower_bound").isNotNull() & F.col("upper_bound").isNotNull(), bounds).otherwise("incomplete")
+    rows = facts.withColumn("score_text", shown).withColumn("level_text", F.coalesce("risk_level", F.lit("None")))
+    said = {k: F.format_string(text, *cols) if cols else F.lit(text) for k, (text, cols) in SENTENCES.items()}
+    lines = [said["risk"], said["diff"], said["reach"], F.when(F.col("untested_modified_symbols_count") > 0, said["untested"]).otherwise(said["tested"]), F.when(F.col("maximum_complexity_increase") > 0, said["complexity"]), F.when(F.col("gaps_count") > 0, said["gaps"])]
+    cited = ("risk_level", "risk_score", "files_changed_count", "changed_lines_count", "impacted_symbols_count", "affected_endpoints_count", "untested_modified_symbols_count")
+    out = rows.withColumn("summary", F.concat_ws(" ", *lines))
+    return out.select(*facts.columns, "summary", F.struct(*cited).alias("cited"))
+
+
 def ungrounded(reports: DataFrame, text: str, facts: str, least: int = 10) -> DataFrame:
     """Rows whose text has a whole number above `least` that isn't among its facts (array of long)."""
     said = F.transform(F.regexp_extract_all(F.col(text), F.lit(r"(?<![\d.])(\d+)(?![\d.])")), lambda x: x.cast("long"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.schema import check_edges, require_none
+from sparkloom.schema import SYMBOL_KINDS, check_edges, require_none
 
 
 def with_ids(rows: DataFrame, id_col: str, *key: str) -> DataFrame:
@@ -14,6 +14,52 @@ def with_ids(rows: DataFrame, id_col: str, *key: str) -> DataFrame:
     return rows.withColumn(id_col, F.xxhash64(*key).bitwiseAND(F.lit((1 << 62) - 1)))
 
 
+def insert_symbols(batch: DataFrame, ordinal: str, after: int = 0) -> DataFrame:
+    """The batch with symbol_id: `after` and then 1, 2, ... in the order of its input (ordinal). Unknown kinds, missing names and a repeated ordinal are rejected."""
+    require_none(batch.where(~F.col("kind").isin(*SYMBOL_KINDS) | F.col("kind").isNull() | F.col("name").isNull()), "a symbol without a name or of an unknown kind")
+    require_none(batch.groupBy(ordinal).count().where("count > 1"), "two rows of one place")
+    return ranked(batch, F.col(ordinal).asc(), name="symbol_id", kind="long").withColumn("symbol_id", F.col("symbol_id") + F.lit(after))
+
+
+def insert_chunks(drafts: DataFrame, symbols: DataFrame, embedder=None) -> DataFrame:
+    """Chunks of drafts (path, local_key, text) whose symbol is known (path, local_key, symbol_id), with an id of their own; others are skipped.
+
+    With an embedder each chunk gets its vector.
+    """
+    from sparkloom.operators.evidence import embed
+
+    known = symbols.select("path", "local_key", "symbol_id")
+    out = drafts.join(known, ["path", "local_key"]).withColumn("chunk_id", F.xxhash64("symbol_id", "text").bitwiseAND(F.lit((1 << 62) - 1)))
+    return out if embedder is None else embed(out, embedder)
+
+
+def replace_git_stats(stats: DataFrame, path: str) -> None:
+    """The statistics of the repositories that `stats` has, in place of those stored; counts that don't go together are rejected."""
+    from sparkloom.operators.churn import broken_stats
+
+    require_none(stats.where(F.col("repository_id").isNull() | F.col("path").isNull()), "statistics without a repository or a path")
+    require_none(broken_stats(stats), "statistics that don't go together")
+    require_none(stats.groupBy("repository_id", "path").count().where("count > 1"), "a path occurs twice")
+    replace_partition(stats, path, "repository_id")
+
+
+def append_feedback(rows: DataFrame, repositories: DataFrame, path: str) -> None:
+    """Feedback on known repositories: repository_id, analysis_key, action, created_at."""
+    require_none(rows.where(~F.col("action").isin(*FEEDBACK) | F.col("action").isNull() | F.col("analysis_key").isNull()), "feedback without a key or of an unknown kind")
+    require_none(rows.join(repositories.select(F.col("id").alias("repository_id")), "repository_id", "left_anti"), "feedback on an unknown repository")
+    append(rows.select("repository_id", "analysis_key", "action", "created_at"), path)
+
+
+def append_analyses(rows: DataFrame, path: str) -> None:
+    """Analyses with their report: a level and a score together or neither, a score in [0, 1]."""
+    require_none(rows.where(F.col("report").isNull() | (F.col("risk_level").isNull() != F.col("risk_score").isNull()) | ~F.coalesce(F.col("risk_score").between(0.0, 1.0), F.lit(True))), "an analysis whose parts don't go together")
+    append(rows.select("id", "repository_id", "pr_url", "risk_level", "risk_score", "report", "created_at"), path)
+
+
+# What feedback says.
+FEEDBACK = ("accepted", "dismissed", "not_useful")
+
+
 def first_wins(batch: DataFrame, ordinal: str, *key: str) -> DataFrame:
     """The row of the least ordinal of each key, merged map-side."""
     rest = [c for c in batch.columns if c not in key]
@@ -83,13 +129,13 @@ def write_evaluation(report: DataFrame, rows: DataFrame, path: str) -> None:
 EVALUATED = ("case_id", "category", "prediction_status", "label_status", "tp", "fp", "fn", "precision", "recall", "f1")
 
 
-def ranked(rows: DataFrame, *order, name: str = "rank") -> DataFrame:
+def ranked(rows: DataFrame, *order, name: str = "rank", kind: str = "int") -> DataFrame:
     """Rows numbered from 1 in a total order, without a task that holds all: ranges of the order are numbered each, behind the count of those before."""
     parts = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).persist()
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_n", nth).join(F.broadcast(bases), "_part").withColumn(name, (F.col("_base") + F.col("_n")).cast("int")).drop("_part", "_n", "_base")
+    return parts.withColumn("_n", nth).join(F.broadcast(bases), "_part").withColumn(name, (F.col("_base") + F.col("_n")).cast(kind)).drop("_part", "_n", "_base")
 
 
 def publish(items: DataFrame, runs: DataFrame, repository_id: int, snapshot_id: int) -> tuple[DataFrame, DataFrame]:

@@ -924,3 +924,55 @@ def x14_x15_frameworks(d):
     )
     source = F.element_at(F.array(*[F.lit(s) for s in shapes]), (F.col("s_suppkey") % len(shapes) + 1).cast("int"))
     return detect_frameworks(_made_files(d, lambda k: source)).select("path", "name", "framework", "part")
+
+
+@query("SELECT symbol_id AS old_id, 100 + row_number() OVER (ORDER BY name, symbol_id) AS symbol_id FROM symbols")
+def k1_insert_symbols(d):
+    order = F.struct("name", "symbol_id")
+    rows = d.symbols.select(F.col("symbol_id").alias("old_id"), order.alias("place"), "name", "kind")
+    return writes.insert_symbols(rows, "place", 100).select("old_id", "symbol_id")
+
+
+@query("""WITH f AS (SELECT p_partkey AS id, p_partkey % 4 AS k, p_size AS n, (p_partkey % 97) / 100.0::DOUBLE AS s FROM part)
+SELECT id, concat_ws(' ', 'Pull request analysis concluded with ' || CASE WHEN k = 0 THEN 'None' ELSE 'HIGH' END || ' risk (score: ' || CASE WHEN k = 0 THEN printf('[%.2f-%.2f] (incomplete)', s, s + 0.5::DOUBLE) ELSE printf('%.2f', s) END || ', status: ' || CASE WHEN k = 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END || ').',
+  'Diff modifies ' || n || ' lines across ' || (n % 7 + 1) || ' files (' || (n % 5) || ' symbols modified).', 'Downstream ripple traversal identified ' || (n * 2) || ' impacted symbols and ' || (n % 3) || ' affected API endpoints.',
+  CASE WHEN n % 4 > 0 THEN (n % 4) || ' modified production callables lack direct static test coverage.' ELSE 'All modified production callables have linked static test associations.' END,
+  CASE WHEN k > 1 AND n % 6 > 0 THEN 'Maximum detected callable cyclomatic complexity increase is +' || (n % 6) || '.' END, CASE WHEN n % 2 > 0 THEN 'Assessment contains ' || (n % 2) || ' unmeasured boundary gap(s).' END) AS summary FROM f""", base=False)
+def c8_executive_summary(d):
+    k, n, s = F.col("p_partkey") % 4, F.col("p_size"), (F.col("p_partkey") % 97) / 100.0
+    facts = d.table("part").select(
+        F.col("p_partkey").alias("id"), F.when(k > 0, "HIGH").alias("risk_level"), F.when(k > 0, s).alias("risk_score"), F.when(k > 0, "COMPLETE").otherwise("INCOMPLETE").alias("risk_status"), s.alias("lower_bound"), (s + 0.5).alias("upper_bound"),
+        n.alias("changed_lines_count"), (n % 7 + 1).alias("files_changed_count"), (n % 5).alias("modified_symbols_count"), (n * 2).alias("impacted_symbols_count"), (n % 3).alias("affected_endpoints_count"), (n % 4).alias("untested_modified_symbols_count"),
+        F.when(k > 1, n % 6).alias("maximum_complexity_increase"), (n % 2).alias("gaps_count"),
+    )
+    return risk.executive_summary(facts).select("id", "summary")
+
+
+@query("SELECT doc_id, i AS chunk_no, length(chunk)::DOUBLE AS x, (length(chunk) - length(replace(chunk, 'e', '')))::DOUBLE AS y FROM (SELECT doc_id, i, substr(text, i * 512 + 1, 512) AS chunk FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 512.0) AS BIGINT)))::INTEGER AS i FROM documents WHERE length(text) > 0))", base=False)
+def r12_baseline_index(d):
+    """With a stand-in for the model: a chunk's length and its letters e."""
+    from sparkloom.operators.evidence import baseline_index
+
+    out = baseline_index(d.table("documents"), lambda texts: [[len(t), t.count("e")] for t in texts])
+    return out.select("doc_id", F.col("chunk_id.chunk_no").alias("chunk_no"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+
+
+_CHUNK = """'{"path":"src/p' || s_suppkey || '.py","qualname":"f","kind":"function","start_line":2,"end_line":3,"signature":"def f(a)"}' || chr(10) || '---' || chr(10)"""
+
+
+@query(f"SELECT 'src/p' || s_suppkey || '.py' AS path, 'f' AS name, {_CHUNK} || b AS text, sha256(b) AS digest, 2 AS first_line, true AS intact FROM (SELECT s_suppkey, 'def f(a):' || chr(10) || '    return ' || s_suppkey || chr(10) AS b FROM supplier)", base=False)
+def r10_r13_symbol_chunks(d):
+    from sparkloom.operators.evidence import split_chunk, symbol_chunks
+    from sparkloom.sources.pysource import parse_files
+
+    files = _made_files(d, lambda k: F.concat(F.lit("# first\ndef f(a):\n    return "), k.cast("string"), F.lit("\nx = 1\n")))
+    return split_chunk(symbol_chunks(parse_files(files))).select("path", "name", "text", "digest", "first_line", "intact")
+
+
+@query("SELECT 'src/p' || s_suppkey || '.py' AS path, pos, name, kind, annotation, dflt FROM supplier, (VALUES (0, 'a', 'POSITIONAL_ONLY', NULL, NULL), (1, 'b', 'POSITIONAL_OR_KEYWORD', 'int', NULL), (2, 'c', 'POSITIONAL_OR_KEYWORD', NULL, 'k'), (3, 'args', 'VAR_POSITIONAL', NULL, NULL), (4, 'd', 'KEYWORD_ONLY', 'str', '''x'''), (5, 'kw', 'VAR_KEYWORD', NULL, NULL)) v(pos, name, kind, annotation, d), LATERAL (SELECT CASE WHEN d = 'k' THEN s_suppkey::VARCHAR ELSE d END AS dflt)", base=False)
+def x2_parameters(d):
+    from sparkloom.sources.pysource import parse_files
+
+    files = _made_files(d, lambda k: F.concat(F.lit("def f(a, /, b: int, c="), k.cast("string"), F.lit(", *args, d: str = 'x', **kw): pass\n")))
+    each = parse_files(files).select("path", F.posexplode("parameters").alias("pos", "p"))
+    return each.select("path", "pos", "p.name", "p.kind", "p.annotation", F.col("p.default").alias("dflt"))

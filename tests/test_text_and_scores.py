@@ -221,3 +221,34 @@ def test_evaluations_go_to_a_fresh_folder(spark, tmp_path):
     assert back.columns == list(writes.EVALUATED) and spark.read.json(f"{tmp_path}/impact-results.json").first().cases == 2
     with pytest.raises(Exception, match="(?i)exist"):
         writes.write_evaluation(report, rows, str(tmp_path))
+
+
+def test_inserts_and_appends(spark, tmp_path):
+    from sparkloom.schema import ContractError
+
+    batch = spark.createDataFrame([(2, "b", "class"), (0, "z", "function"), (1, "m", "method")], "n int, name string, kind string")
+    assert [(r.symbol_id, r.name) for r in writes.insert_symbols(batch, "n", 40).orderBy("symbol_id").collect()] == [(41, "z"), (42, "m"), (43, "b")]
+    for bad in (batch.withColumn("kind", F.lit("thing")), batch.withColumn("n", F.lit(1)), batch.withColumn("name", F.lit(None).cast("string"))):
+        with pytest.raises(ContractError):
+            writes.insert_symbols(bad, "n")
+    drafts = spark.createDataFrame([("a.py", "k1", "text"), ("a.py", "k9", "other")], "path string, local_key string, text string")
+    got = writes.insert_chunks(drafts, spark.createDataFrame([("a.py", "k1", 7)], "path string, local_key string, symbol_id long"), lambda texts: [[float(len(t))] for t in texts]).collect()
+    assert [(r.symbol_id, r.embedding) for r in got] == [(7, [4.0])] and got[0].chunk_id >= 0
+    repos = spark.createDataFrame([(1,)], "id long")
+    told = lambda repo, action: spark.createDataFrame([(repo, "k", action, None)], "repository_id long, analysis_key string, action string, created_at timestamp")
+    writes.append_feedback(told(1, "dismissed"), repos, str(tmp_path / "f"))
+    writes.append_feedback(told(1, "accepted"), repos, str(tmp_path / "f"))
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 2
+    for repo, action in ((2, "accepted"), (1, "liked"), (1, None)):
+        with pytest.raises(ContractError):
+            writes.append_feedback(told(repo, action), repos, str(tmp_path / "f"))
+    made = lambda level, score: spark.createDataFrame([(1, 1, "u", level, score, "{}", None)], "id long, repository_id long, pr_url string, risk_level string, risk_score double, report string, created_at timestamp")
+    writes.append_analyses(made(None, None).union(made("LOW", 0.2)), str(tmp_path / "p"))
+    for level, score in (("LOW", None), (None, 0.1), ("LOW", 1.2)):
+        with pytest.raises(ContractError):
+            writes.append_analyses(made(level, score), str(tmp_path / "p"))
+    stats = spark.createDataFrame([(1, "a", 3, 1, 1)], "repository_id long, path string, commit_count long, distinct_authors long, bugfix_commits long").withColumns({"last_modified_at": F.to_timestamp(F.lit("2026-01-01")), "bugfix_frequency": F.round(F.lit(1) / 3.0, 9)})
+    writes.replace_git_stats(stats, str(tmp_path / "g"))
+    with pytest.raises(ContractError):
+        writes.replace_git_stats(stats.union(stats), str(tmp_path / "g"))
+    assert spark.read.parquet(str(tmp_path / "g")).count() == 1

@@ -120,6 +120,21 @@ def golden(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFr
     return tuple(doc.select(F.explode(c).alias("x")).select("x.*") for c in ("files", "symbols", "edges"))
 
 
+def import_golden(spark: SparkSession, path: str, into: str) -> None:
+    """A graph document into tables (files, symbols, edges) partitioned by repository: what its repositories had before is replaced, so importing twice changes nothing.
+
+    Symbols and edges are those of the repository of their file, and of their source symbol.
+    """
+    from sparkloom.operators.writes import replace_partition
+
+    files, symbols, edges = golden(spark, path)
+    owner = files.select(F.col("id").alias("file_id"), "repository_id")
+    symbols = symbols.join(owner, "file_id")
+    edges = edges.join(symbols.select(F.col("id").alias("source_symbol_id"), "repository_id"), "source_symbol_id")
+    for name, rows in (("files", files), ("symbols", symbols), ("edges", edges)):
+        replace_partition(rows, f"{into}/{name}", "repository_id")
+
+
 def export_golden(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """One row, json: the graph document in order of ids."""
     parts = [df.agg(F.array_sort(F.collect_list(F.struct(*sorted(df.columns, key=lambda c: (c != "id", c))))).alias(n)) for n, df in (("files", files), ("symbols", symbols), ("edges", edges))]

@@ -29,30 +29,62 @@ def windowed_churn(events: DataFrame, days: int = 90, slide: str = "1 day", late
     return ts.withWatermark("ts", late).groupBy(F.window("ts", f"{days} days", slide), "path").agg(F.count("*").alias("commit_count"), F.approx_count_distinct("author").alias("authors"), F.count_if("bugfix").alias("bugfix_commits"))
 
 
-def inventory_stream(spark: SparkSession, folder: str, state: str, checkpoint: str) -> StreamingQuery:
+#: Deltas after which they and the base are put together.
+COMPACT = 20
+
+
+def inventory_stream(spark: SparkSession, folder: str, state: str, checkpoint: str, compact: int = COMPACT) -> StreamingQuery:
     """Follow Parquet inventories (path, hash, seen long) that land in a folder; `state` holds the latest hash of each path.
 
-    Each micro-batch merges its rows into the next state folder; a batch that is run again writes
-    the same folder, and readers take the last one that is complete.
+    A micro-batch writes its own paths only, as a delta; readers merge the deltas behind the last base. Every `compact`
+    deltas a new base is written and what it replaces is removed, but for the base before. A batch that is run
+    again writes the same delta.
     """
-    rows = spark.readStream.schema("path string, hash string, seen long").parquet(folder)
+    rows = spark.readStream.schema(INVENTORY).parquet(folder)
 
     def merge(batch: DataFrame, n: int) -> None:
         own = batch.sparkSession
-        before = latest_state(own, state, n)
-        every = batch if before is None else batch.unionByName(before)
-        every.groupBy("path").agg(F.max_by("hash", "seen").alias("hash"), F.max("seen").alias("seen")).write.mode("overwrite").parquet(f"{state}/batch={n}")
+        _newest(batch).write.mode("overwrite").parquet(f"{state}/delta={n}")
+        base, deltas = _parts(own, state)
+        if len(deltas) >= compact:
+            latest_state(own, state).write.mode("overwrite").parquet(f"{state}/base={n}")
+            _drop(own, state, [f"delta={d}" for d in deltas if d <= n] + [f"base={b}" for b in _complete(own, state, "base") if base is not None and b < base])
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_state(spark: SparkSession, state: str, below: int = 1 << 60) -> DataFrame | None:
-    """The state after the last complete batch before `below`, listed through Hadoop's file system so that any store works."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(state)
+INVENTORY = "path string, hash string, seen long"
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("path").agg(F.max_by("hash", "seen").alias("hash"), F.max("seen").alias("seen"))
+
+
+def latest_state(spark: SparkSession, state: str) -> DataFrame | None:
+    """The latest hash of each path: the last complete base and the complete deltas behind it."""
+    base, deltas = _parts(spark, state)
+    folders = [f"{state}/delta={d}" for d in deltas] + ([f"{state}/base={base}"] if base is not None else [])
+    return _newest(spark.read.schema(INVENTORY).parquet(*folders)) if folders else None
+
+
+def _parts(spark: SparkSession, state: str) -> tuple[int | None, list[int]]:
+    base = max(_complete(spark, state, "base"), default=None)
+    return base, [d for d in _complete(spark, state, "delta") if base is None or d > base]
+
+
+def _complete(spark: SparkSession, state: str, kind: str) -> list[int]:
+    """Numbers of complete folders of a kind, listed through Hadoop's file system so that any store works."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = path(state)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return None
-    done = [int(s.getPath().getName().removeprefix("batch=")) for s in fs.listStatus(root) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    done = [d for d in done if d < below]
-    return spark.read.schema("path string, hash string, seen long").parquet(f"{state}/batch={max(done)}") if done else None
+        return []
+    names = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith(f"{kind}=")]
+    return sorted(int(n.getName().partition("=")[2]) for n in names if fs.exists(path(n, "_SUCCESS")))
+
+
+def _drop(spark: SparkSession, state: str, names: list[str]) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for n in names:
+        p = path(f"{state}/{n}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -313,3 +313,32 @@ def test_endpoints_are_parts_of_the_graph(spark):
     all_nodes, edges = graph_plan(pysource.parse_files(files), files.select("path"), drafts, nodes)
     name = {r.symbol_id: (r.kind, r.name) for r in all_nodes.collect()}
     assert {(name[e.src], e.kind, name[e.dst]) for e in edges.collect()} == {(("module", "a.py"), "EXPOSES", ("endpoint", "GET /x")), (("endpoint", "GET /x"), "CALLS", ("function", "x"))}
+
+
+def test_inventories_are_put_together(spark, tmp_path):
+    import os
+
+    folder, state, mark = (str(tmp_path / x) for x in ("in", "state", "mark"))
+    for n in range(5):
+        spark.createDataFrame([("a", str(n), n), (f"p{n}", "x", n)], "path string, hash string, seen long").coalesce(1).write.mode("append").parquet(folder)
+        incremental.inventory_stream(spark, folder, state, mark, compact=2).awaitTermination()
+        got = {r.path: r.hash for r in incremental.latest_state(spark, state).collect()}
+        assert got == {"a": str(n), **{f"p{i}": "x" for i in range(n + 1)}}
+    assert sum(x.startswith("delta=") for x in os.listdir(state)) <= 2 and sum(x.startswith("base=") for x in os.listdir(state)) <= 2
+
+
+def test_golden_import_twice(spark, tmp_path):
+    import json
+
+    from sparkloom.sources.scan import import_golden
+
+    doc = {"files": [{"id": 1, "repository_id": 4, "path": "a.py"}], "symbols": [{"id": 10, "file_id": 1, "name": "f"}, {"id": 11, "file_id": 1, "name": "g"}], "edges": [{"id": 5, "source_symbol_id": 10, "target_symbol_id": 11, "kind": "CALLS"}]}
+    (tmp_path / "g.json").write_text(json.dumps(doc))
+    out = str(tmp_path / "out")
+    for _ in range(2):
+        import_golden(spark, str(tmp_path / "g.json"), out)
+    assert [spark.read.parquet(f"{out}/{t}").count() for t in ("files", "symbols", "edges")] == [1, 2, 1]
+    doc["symbols"].pop(), doc["edges"].clear()
+    (tmp_path / "g.json").write_text(json.dumps(doc | {"edges": [{"id": 6, "source_symbol_id": 10, "target_symbol_id": 10, "kind": "USES"}]}))
+    import_golden(spark, str(tmp_path / "g.json"), out)
+    assert [r.kind for r in spark.read.parquet(f"{out}/edges").collect()] == ["USES"] and spark.read.parquet(f"{out}/symbols").count() == 1

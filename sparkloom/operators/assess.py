@@ -68,3 +68,51 @@ def evaluation_report(cases: DataFrame, predictions: DataFrame) -> DataFrame:
     failed = F.col("status") != "ok"
     m = m.withColumn("precision", F.when(partial | failed, None).otherwise(F.col("precision"))).withColumn("recall", F.when(failed, 0.0).otherwise(F.col("recall")))
     return m.withColumn("f1", F.when(partial, None).when(failed, 0.0).otherwise(F.col("f1"))).withColumn("fp", F.when(partial, None).otherwise(F.col("fp")))
+
+
+def check_predictions(predictions: DataFrame, cases: DataFrame) -> None:
+    """Predictions of known cases, one each, on the cases' revisions; a failed one has an error and claims nothing, another has none."""
+    require_none(predictions.groupBy("case_id").count().where("count > 1"), "a case is predicted twice")
+    require_none(predictions.join(cases, "case_id", "left_anti"), "a prediction of an unknown case")
+    sha = cases.select("case_id", F.col("base_sha").alias("_b"), F.col("head_sha").alias("_h"))
+    require_none(predictions.join(sha, "case_id").where("NOT (base_sha <=> _b AND head_sha <=> _h)").select("case_id"), "a prediction of other revisions")
+    require_none(predictions.where(~F.coalesce(F.col("status").isin("ok", "failed"), F.lit(False))), "an unknown prediction status")
+    claims = (F.size("files") > 0) | (F.size("tests") > 0)
+    require_none(predictions.where((F.col("status") == "failed") & (claims | (F.trim(F.coalesce("error", F.lit(""))) == ""))), "a failed prediction that claims paths or has no error")
+    require_none(predictions.where((F.col("status") == "ok") & F.col("error").isNotNull()), "a prediction with an error that isn't failed")
+
+
+#: What is predicted of a change.
+CATEGORIES = ("files", "tests")
+
+
+def impact_rows(cases: DataFrame, predictions: DataFrame) -> DataFrame:
+    """A row a case and category: counts, metrics and the known paths that were missed; all unknown where the label is.
+
+    cases: case_id, and files and tests (struct of status, paths). predictions: case_id, status, files, tests.
+    """
+    parts = None
+    for category in CATEGORIES:
+        rows = evaluation_report(cases.select("case_id", F.col(category).alias("files")), predictions.select("case_id", F.col(category).alias("files"), "status"))
+        said = predictions.where("status = 'ok'").select("case_id", F.col(category).alias("_p"))
+        known = cases.select("case_id", F.col(f"{category}.paths").alias("_t")).join(said, "case_id", "left")
+        missed = known.select("case_id", F.array_sort(F.array_except("_t", F.coalesce("_p", F.array().cast("array<string>")))).alias("missing_known"))
+        unknown = F.col("labels") == "unknown"
+        own = rows.join(missed, "case_id").select("case_id", F.lit(category).alias("category"), F.col("status").alias("prediction_status"), F.col("labels").alias("label_status"), *[F.when(~unknown, F.col(c)).alias(c) for c in ("tp", "fp", "fn", "precision", "recall", "f1", "missing_known")])
+        parts = own if parts is None else parts.union(own)
+    return parts
+
+
+def impact_aggregates(rows: DataFrame) -> DataFrame:
+    """category, complete_label_cases, successful_cases, macro_f1, micro_f1, micro_precision, micro_recall, tp, fp, fn over cases with complete labels.
+
+    Missing and failed predictions score no macro F1; micro F1 without any count is 1 if all complete cases were predicted, else unknown.
+    """
+    every = F.broadcast(rows.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string"))
+    sums = {k: F.coalesce(F.sum(k), F.lit(0)) for k in ("tp", "fp", "fn")}
+    n, good = F.count("case_id"), F.count_if(F.col("prediction_status") == "ok")
+    per = every.join(rows.where("label_status = 'complete'"), "category", "left").groupBy("category").agg(n.alias("complete_label_cases"), good.alias("successful_cases"), F.round(F.avg("f1"), 9).alias("macro_f1"), *[v.alias(k) for k, v in sums.items()])
+    tp, fp, fn = (F.col(c).cast("double") for c in ("tp", "fp", "fn"))
+    whole = F.when((F.col("complete_label_cases") > 0) & (F.col("complete_label_cases") == F.col("successful_cases")), 1.0)
+    micro = {"micro_f1": F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), whole), "micro_precision": F.try_divide(tp, tp + fp), "micro_recall": F.try_divide(tp, tp + fn)}
+    return per.select("category", "complete_label_cases", "successful_cases", "macro_f1", *[F.round(v, 9).alias(k) for k, v in micro.items()], "tp", "fp", "fn")

@@ -976,3 +976,33 @@ def x2_parameters(d):
     files = _made_files(d, lambda k: F.concat(F.lit("def f(a, /, b: int, c="), k.cast("string"), F.lit(", *args, d: str = 'x', **kw): pass\n")))
     each = parse_files(files).select("path", F.posexplode("parameters").alias("pos", "p"))
     return each.select("path", "pos", "p.name", "p.kind", "p.annotation", F.col("p.default").alias("dflt"))
+
+
+def _impact(d):
+    from sparkloom.operators import assess
+
+    k = F.col("doc_id")
+    status = F.when(k % 4 == 0, "partial").when(k % 4 == 1, "unknown").otherwise("complete")
+    paths = lambda n: F.transform(F.sequence(F.lit(0), (k % n).cast("int")), lambda i: F.concat(F.lit("p"), i.cast("string")))
+    cases = d.table("documents").select(k.alias("case_id"), F.struct(status.alias("status"), paths(3).alias("paths")).alias("files"), F.struct(F.lit("complete").alias("status"), F.slice(paths(5), F.lit(2), F.lit(9)).alias("paths")).alias("tests"))
+    said = d.table("documents").where("doc_id % 7 != 3").select(k.alias("case_id"), F.when(k % 6 == 0, "failed").otherwise("ok").alias("status"), paths(4).alias("files"), F.slice(paths(2), F.lit(2), F.lit(9)).alias("tests"))
+    return assess.impact_rows(cases, said)
+
+
+_IMPACT = """d AS (SELECT doc_id AS id, doc_id % 7 = 3 AS missing, doc_id % 6 = 0 AS failed FROM documents),
+cat AS (SELECT id, 'files' AS category, CASE id % 4 WHEN 0 THEN 'partial' WHEN 1 THEN 'unknown' ELSE 'complete' END AS label, id % 3 + 1 AS truth, id % 4 + 1 AS guess, missing, failed FROM d UNION ALL SELECT id, 'tests', 'complete', id % 5, id % 2, missing, failed FROM d),
+cnt AS (SELECT *, CASE WHEN missing THEN 'missing' WHEN failed THEN 'failed' ELSE 'ok' END AS status, NOT (missing OR failed) AS ok FROM cat),
+r AS (SELECT *, CASE WHEN ok THEN least(truth, guess) ELSE 0 END AS tp, CASE WHEN ok THEN greatest(0, guess - truth) ELSE 0 END AS fp, CASE WHEN ok THEN greatest(0, truth - guess) ELSE truth END AS fn FROM cnt),
+m AS (SELECT *, CASE WHEN NOT ok THEN 0::DOUBLE WHEN tp + fp + fn = 0 THEN 1::DOUBLE ELSE 2::DOUBLE * tp / (2 * tp + fp + fn) END AS f FROM r)"""
+
+
+@query(f"WITH {_IMPACT} SELECT id AS case_id, category, status AS prediction_status, label AS label_status, CASE WHEN label <> 'unknown' THEN tp END AS tp, CASE WHEN label = 'complete' THEN fp END AS fp, CASE WHEN label <> 'unknown' THEN fn END AS fn, round(CASE WHEN label = 'unknown' THEN NULL WHEN NOT ok THEN 0::DOUBLE WHEN truth = 0 THEN 1::DOUBLE ELSE tp::DOUBLE / truth END, 9) AS recall, round(CASE WHEN label = 'complete' THEN f END, 9) AS f1, CASE WHEN label <> 'unknown' THEN fn END AS missed FROM m", base=False)
+def c14_impact_rows(d):
+    return _impact(d).select("case_id", "category", "prediction_status", "label_status", F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"), F.col("fn").cast("long").alias("fn"), "recall", "f1", F.when(F.col("missing_known").isNotNull(), F.size("missing_known")).cast("long").alias("missed"))
+
+
+@query(f"WITH {_IMPACT} SELECT category, count(*) AS complete_label_cases, count(*) FILTER (ok) AS successful_cases, round(avg(f), 9) AS macro_f1, round(2::DOUBLE * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 9) AS micro_f1, round(sum(tp)::DOUBLE / (sum(tp) + sum(fp)), 9) AS micro_precision, round(sum(tp)::DOUBLE / (sum(tp) + sum(fn)), 9) AS micro_recall, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM m WHERE label = 'complete' GROUP BY category", base=False)
+def c14_impact_aggregates(d):
+    from sparkloom.operators import assess
+
+    return assess.impact_aggregates(_impact(d))

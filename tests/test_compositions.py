@@ -60,3 +60,22 @@ def test_families_spread_until_stable(spark):
     classes = spark.createDataFrame([(1, "X"), (2, None), (3, None), (4, "Y"), (5, None)], "class_id long, family string")
     bases = spark.createDataFrame([(2, 1), (3, 2), (5, 3), (5, 4)], "class_id long, base_id long")
     assert {r.class_id: r.family for r in changes.families(classes, bases).collect()} == {1: "X", 2: "X", 3: "X", 4: "Y"}
+
+
+def test_predictions_are_checked(spark):
+    cols = "case_id string, base_sha string, head_sha string, status string, files array<string>, tests array<string>, error string"
+    cases = spark.createDataFrame([("a", "1" * 40, "2" * 40)], "case_id string, base_sha string, head_sha string")
+    good = ("a", "1" * 40, "2" * 40, "ok", ["x"], [], None)
+    assess.check_predictions(spark.createDataFrame([good], cols), cases)
+    assess.check_predictions(spark.createDataFrame([(*good[:3], "failed", [], [], "why")], cols), cases)
+    for bad in ([good, good], [("b", *good[1:])], [("a", "3" * 40, *good[2:])], [(*good[:3], "late", *good[4:])], [(*good[:3], "failed", ["x"], [], "why")], [(*good[:3], "failed", [], [], " ")], [(*good[:6], "why")]):
+        with pytest.raises(ContractError):
+            assess.check_predictions(spark.createDataFrame(bad, cols), cases)
+
+
+def test_aggregates_of_nothing(spark):
+    rows = spark.createDataFrame([("a", "files", "missing", "complete", 0, 0, 0, None, 0.0, 0.0)], "case_id string, category string, prediction_status string, label_status string, tp int, fp int, fn int, precision double, recall double, f1 double")
+    got = {r.category: (r.complete_label_cases, r.macro_f1, r.micro_f1, r.micro_precision) for r in assess.impact_aggregates(rows).collect()}
+    assert got == {"files": (1, 0.0, None, None), "tests": (0, None, None, None)}
+    done = rows.replace("missing", "ok").na.fill(1.0, ["f1"])
+    assert {r.category: r.micro_f1 for r in assess.impact_aggregates(done).collect()}["files"] == 1.0

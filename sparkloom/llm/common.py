@@ -128,7 +128,7 @@ def _quoted(name: str) -> str:
 class BucketedTexts:
     """Distinct texts (key, d, text), bucketed by key in the shared folder: joins with narrow rows by key move those rows only."""
 
-    def __init__(self, docs: DataFrame, firsts: DataFrame, doc_id: str, text: str):
+    def __init__(self, docs: DataFrame, firsts: DataFrame, doc_id: str, text: str, buckets: int):
         """firsts: key, d of each text that takes part, with the smallest document that holds it."""
         self.spark, name = docs.sparkSession, f"texts_{uuid.uuid4().hex}"
         path = f"{shared_dir(self.spark)}/{name}"
@@ -136,7 +136,7 @@ class BucketedTexts:
         # The least d is the one row's; by this condition rows are dealt by key alone, as the buckets are.
         rows = rows.join(firsts.select("key", F.col("d").alias("least")).hint("shuffle_hash"), "key").where("d <= least").select("key", "d", "text")
         with _cleanup(self.spark):
-            rows.write.option("path", path).option("compression", "zstd").bucketBy(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "key").saveAsTable(name)
+            rows.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "key").saveAsTable(name)
         self.name = name
         _at_end(lambda: (self.spark.sql(f"DROP TABLE {name}"), _remove(self.spark, path)))
 

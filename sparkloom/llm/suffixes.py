@@ -43,6 +43,8 @@ GRAM, AT_ONCE, SHALLOW = 24, 2_000_000, 4
 BUCKET, LOCAL = 2000, 64
 #: Anchors that a sketch's bucket takes, about (a text has one in 13 bytes); buckets of segments to one of the sketch.
 ANCHORS, FINER = 1_500_000, 4
+#: Bytes of the texts of a group; groups, and tasks of a shuffle, at most (a task takes several buckets one after the other).
+LANE, MOST = 128 << 20, 50_000
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 #: Multipliers of eight-byte characters.
 ODD = np.random.default_rng(50).integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
@@ -303,7 +305,7 @@ def find_repeats(docs: DataFrame, window: int, doc_id: str, text: str) -> tuple[
     """(marks, firsts, texts, found): a narrow row a document; key, d of each distinct text that has a window, with its smallest
     document; those texts; and key, s, e (blobs of ranges to remove)."""
     spark = docs.sparkSession
-    k, lanes, crowd = min(GRAM, window), int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKET
+    k, crowd, named = min(GRAM, window), BUCKET, int(spark.conf.get("spark.sql.shuffle.partitions"))
     most, many_texts = AT_ONCE, LOCAL
     width = -(-(2 * window - k) // 8) * 8
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -312,8 +314,11 @@ def find_repeats(docs: DataFrame, window: int, doc_id: str, text: str) -> tuple[
     firsts = marks.where(F.col("n_bytes") >= window).groupBy("key").agg(F.min("d").alias("d"), F.min("n_bytes").alias("n_bytes"))
     firsts = materialize(spark, firsts, "suffixes-firsts")
     total = firsts.agg(F.sum("n_bytes")).first()[0] or 0
-    texts = BucketedTexts(docs, firsts, doc_id, text)
-    buckets = max(lanes, 2 * total // (27 * ANCHORS) + 1)
+    # Groups of texts and buckets grow with the bytes, whatever number of partitions the session names.
+    lanes = max(named, min(total // LANE, MOST))
+    texts = BucketedTexts(docs, firsts, doc_id, text, lanes)
+    buckets = max(named, 2 * total // (27 * ANCHORS) + 1)
+    tasks = max(lanes, min(buckets, MOST))
     finer = FINER * buckets
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +437,7 @@ def find_repeats(docs: DataFrame, window: int, doc_id: str, text: str) -> tuple[
             yield out.batch()
 
     def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition("g").sortWithinPartitions("g")
+        return (df.repartition(tasks, "g") if tasks > named else df.repartition("g")).sortWithinPartitions("g")
 
     shared = dealt(texts.table().select("key", "text").mapInArrow(sketch, packed.rows_schema("v", "n"))).mapInArrow(confirm, packed.rows_schema("v"))
     answers = materialize(spark, dealt(shared).mapInArrow(packed.gather_values, "key binary, v binary"), "suffixes-answers")

@@ -30,7 +30,7 @@ DOUBTFUL = re.compile("[\\x1c-\\x1f\u180e]")
 #: The pre-tokenizer's pattern for byte-level vocabularies of this family.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Encodings of chunks a worker remembers before it starts anew.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 
 
 #: Marks that are a pre-token of their own behind a word (an apostrophe isn't).

@@ -30,6 +30,10 @@ from sparkloom.llm.runs import whole_runs
 
 #: Fingerprints that may share a block value by chance, and the run length up to which pairs are compared at once.
 CROWD, SHORT_RUN = 8, 16
+#: Block values that a bucket takes, about; tasks of a shuffle at most (a task takes several buckets one after the other).
+ENTRIES, MOST = 1_000_000, 50_000
+#: Blocks that join what is very similar before the others.
+FIRST = 8
 #: Fingerprints of one value that a task compares; run length up to which long fingerprints are compared at once; a multiplier for blocks' numbers.
 SHARE, LONG_RUN, SALT = 8192, 64, np.uint64(0x9E3779B97F4A7C15)
 
@@ -185,10 +189,10 @@ def only(docs: DataFrame, kept: DataFrame, doc_id: str, text: str) -> DataFrame:
     return uncarried(once.select("row").union(first.select("row")), docs)
 
 
-def _law(bits: int, least: float) -> int:
-    """Bits in which fingerprints of sets of that similarity differ at most: the mean by the angle between them, and six standard errors."""
+def _law(bits: int, least: float, errors: float) -> int:
+    """Bits in which fingerprints of sets of that similarity differ at most: the mean by the angle between them, and so many standard errors."""
     p = np.arccos(2 * least / (1 + least)) / np.pi
-    return int(bits * p + 6 * np.sqrt(bits * p * (1 - p)))
+    return int(bits * p + errors * np.sqrt(bits * p * (1 - p)))
 
 
 def wide_plan(n: int, least: float) -> tuple[int, int]:
@@ -244,18 +248,51 @@ def join_runs(x: np.ndarray, at: np.ndarray, most: int) -> tuple[np.ndarray, np.
     for r in np.flatnonzero(size > LONG_RUN):
         i, j = wide_forest(x[at[r] : at[r + 1]], most)
         us.append(i + at[r]), vs.append(j + at[r])
-    return np.concatenate(us), np.concatenate(vs)
+    return starred(x, np.concatenate(us), np.concatenate(vs), most)
+
+
+def starred(x: np.ndarray, u: np.ndarray, v: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links with the same components: to the first row of each component where that is near enough itself, else as they were.
+
+    Ranges that hold the same rows then give the same links, and few of those.
+    """
+    root = np.arange(len(x))
+    while True:  # each root takes the least root it is linked with
+        s, t = root[u], root[v]
+        if (s == t).all():
+            break
+        np.minimum.at(root, s, t), np.minimum.at(root, t, s)
+        while (root[root] != root).any():
+            root = root[root]
+    near = np.ones(len(x), bool)
+    moved = np.flatnonzero(root != np.arange(len(x)))
+    near[moved] = np.bitwise_count(x[moved] ^ x[root[moved]]).sum(axis=1) <= most
+    star, other = moved[near[moved]], ~(near[u] & near[v])
+    return np.concatenate([root[star], u[other]]), np.concatenate([star, v[other]])
 
 
-def similar_links(sets: DataFrame, words: int, size: int, blocks: int, least: float) -> DataFrame:
+def similar_links(sets: DataFrame, n: int, words: int, size: int, blocks: int, least: float) -> DataFrame:
     """u, v: links that join the texts whose sets of shingles may be as similar as `least`. sets: cid, n (members), fp (blob of 64 * words bits).
 
     Fingerprints are cut into blocks; pairs meet where they share a block's value and may be similar by their
-    sizes, and are verified by the Hamming distance, first of 128 bits, then of all.
+    sizes, and are verified by the Hamming distance, first of 128 bits, then of all. The first few blocks join what is
+    very similar; of the other blocks' links those within a component of theirs are left out.
     """
     spark = sets.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    early, late = _law(128, least), _law(64 * words, least)
+    first = _block_links(sets.withColumn("root", F.col("cid")), n, words, size, 0, min(FIRST, blocks), least)
+    first = materialize(spark, first, "simhash-first")
+    roots = components(first)
+    rooted = sets.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "n", "fp", F.coalesce("root", "cid").alias("root"))
+    return first.union(_block_links(rooted, n, words, size, min(FIRST, blocks), blocks, least))
+
+
+def _block_links(sets: DataFrame, n: int, words: int, size: int, low: int, high: int, least: float) -> DataFrame:
+    """Links of similar_links() by blocks low to high, without those of equal root. sets: cid, n, fp, root."""
+    spark, blocks = sets.sparkSession, high - low
+    # Buckets of values grow with the n texts, whatever number of partitions the session names.
+    named = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(named, 2 * blocks * n // ENTRIES)
+    early, late = _law(128, least, 4.5), _law(64 * words, least, 6.0)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,24 +300,29 @@ def similar_links(sets: DataFrame, words: int, size: int, blocks: int, least: fl
                 continue
             cid, n = b.column(0).to_numpy(), b.column(1).to_numpy()
             fp = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(-1, words)
-            bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, : size * blocks].reshape(len(fp), blocks, size)
+            bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, size * low : size * high].reshape(len(fp), blocks, size)
             value = (bits.astype(np.uint64) << np.arange(size, dtype=np.uint64)).sum(axis=2)
             # Sizes of similar sets lie in one range or in two that adjoin.
             span = np.floor(np.log(n) / -np.log(least)).astype(np.uint64)
-            k = np.stack([mixed(mixed(value + np.arange(1, blocks + 1, dtype=np.uint64) * SALT) + (span + i)[:, None]) for i in (np.uint64(0), np.uint64(1))], 2).ravel()
+            k = np.stack([mixed(mixed(value + np.arange(low + 1, high + 1, dtype=np.uint64) * SALT) + (span + i)[:, None]) for i in (np.uint64(0), np.uint64(1))], 2).ravel()
+            k = k & ~np.uint64(1) | np.tile(np.arange(2, dtype=np.uint64), len(k) // 2)  # the last bit: not its own range but the next
             own = np.repeat(np.arange(len(fp)), 2 * blocks)
             order = np.lexsort((cid[own], k))
-            lead = np.ones(len(k), bool)
-            x = own[order]
-            u, v = join_runs(fp[x, :2], packed.cuts(k[order]), early)  # what a batch holds of a value is joined at once, and its first go on
-            lead[order[v]] = False
-            u, v = x[u], x[v]
-            keys = np.column_stack([cid.view(np.uint64), np.zeros(len(cid), np.uint64)])
+            # What a batch holds of a value and is very close to its first is joined at once, and goes no further under this value:
+            # what is similar to it is within the distance of the first as well.
+            lead, x = np.ones(len(k), bool), own[order]
+            u, v = join_runs(fp[x], packed.cuts(k[order] >> np.uint64(1)), late // 3)
+            led = np.zeros(len(k), bool)
+            led[v] = True
+            lead[order[v[~led[u]]]] = False
+            pair = np.unique(np.column_stack([x[u], x[v]]), axis=0)
+            u, v = starred(fp, pair[:, 0], pair[:, 1], late // 3)
+            root = b.column(3).to_numpy()
+            u, v = u[root[u] != root[v]], v[root[u] != root[v]]
+            keys = np.column_stack([cid.view(np.uint64), root.view(np.uint64)])
             out = packed.Rows("k", "c")
             out.add((k[lead] >> np.uint64(32)) % np.uint64(buckets), own[lead], keys, cid, k[lead], fp[own[lead], :2])
-            if len(u):
-                pair = np.unique(np.column_stack([u, v]), axis=0)
-                out.add(np.full(len(pair), -1), pair[:, 0], keys, cid, cid[pair[:, 1]].astype(np.uint64), np.zeros((len(pair), 0), np.uint64))
+            out.add(-1 - cid[u] % named, u, keys, cid, cid[v].astype(np.uint64), np.zeros((len(u), 0), np.uint64))
             yield out.batch()
             release()
 
@@ -293,10 +335,13 @@ def similar_links(sets: DataFrame, words: int, size: int, blocks: int, least: fl
                 us.append(ks[own, 0].view(np.int64)), vs.append(v)
             if not local.all():
                 _, own, ks, _, k, c = packed.unpack(t.take(pa.array(np.flatnonzero(~local))), "<u8", "<u8")
-                cid, c = ks[own, 0].view(np.int64), c.reshape(-1, 2)
+                cid, root, c = ks[own, 0].view(np.int64), ks[own, 1], c.reshape(-1, 2)
                 order = np.lexsort((cid, k))  # of a value the least number first: most link with it, and links of many values are the same
-                i, j = join_runs(c[order], packed.cuts(k[order]), early)
-                us.append(cid[order[i]]), vs.append(cid[order[j]])
+                at = packed.cuts(k[order] >> np.uint64(1))
+                order = order[np.repeat(k[order[at[:-1]]] & np.uint64(1) == 0, np.diff(at))]  # those who are all of the range before meet there
+                i, j = join_runs(c[order], packed.cuts(k[order] >> np.uint64(1)), early)
+                apart = root[order[i]] != root[order[j]]
+                us.append(cid[order[i[apart]]]), vs.append(cid[order[j[apart]]])
             pair = np.unique(np.column_stack([np.concatenate(us), np.concatenate(vs)]), axis=0) if us else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["u", "v"])
             release()
@@ -307,7 +352,9 @@ def similar_links(sets: DataFrame, words: int, size: int, blocks: int, least: fl
             near = pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= late)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(near), b.column(1).filter(near)], names=["u", "v"])
 
-    met = sets.select("cid", "n", "fp").mapInArrow(deal, packed.rows_schema("k", "c")).repartition("g").sortWithinPartitions("g").mapInArrow(meet, "u long, v long")
+    dealt = sets.select("cid", "n", "fp", "root").mapInArrow(deal, packed.rows_schema("k", "c"))
+    dealt = dealt.repartition(min(buckets, MOST), "g") if buckets > named else dealt.repartition("g")
+    met = dealt.sortWithinPartitions("g").mapInArrow(meet, "u long, v long")
     met = materialize(spark, met.distinct(), "simhash-met")
     both = met.join(sets.select(F.col("cid").alias("u"), F.col("fp").alias("fu")), "u").join(sets.select(F.col("cid").alias("v"), F.col("fp").alias("fv")), "v")
     return both.select("u", "v", "fu", "fv").mapInArrow(verify, "u long, v long")
@@ -328,7 +375,8 @@ def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     with scope(spark, BATCH_ROWS):
         rows = docs.select(text_key(text).alias("key"), F.col(doc_id).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).alias("size"))
         firsts = materialize(spark, rows.groupBy("key").agg(F.min("doc_id").alias("least")).withColumn("cid", F.monotonically_increasing_id()), "simhash-firsts")
-        size, blocks = wide_plan(firsts.count(), least)
+        n = firsts.count()
+        size, blocks = wide_plan(n, least)
         words = -(-size * blocks // 64)
 
         @F.pandas_udf("n int, fp binary")
@@ -339,7 +387,7 @@ def keep_one_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
         sets = docs.select(text_key(text).alias("key"), prints(F.col(text)).alias("p")).groupBy("key").agg(F.first("p").alias("p"))
         sets = materialize(spark, sets.join(firsts, "key").select("cid", "key", "least", "p.n", "p.fp"), "simhash-sets")
-        met = components(similar_links(sets, words, size, blocks, least))
+        met = components(similar_links(sets, n, words, size, blocks, least))
         members = materialize(spark, met.join(sets, F.col("node") == F.col("cid")).select("key", "cid", "n", F.col("root").alias("met"), "least"), "simhash-members")
         found = components(shingles.similar_links(docs, members, doc_id, text, least, width))
         rooted = firsts.join(found, F.col("cid") == F.col("node"), "left").select("key", "least", F.coalesce("root", "cid").alias("root"))

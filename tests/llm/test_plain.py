@@ -240,6 +240,19 @@ def test_sequences_stage(spark, docs):
         assert [x for _, part in sorted(ids[r.doc_id]) for x in part] == tok.encode(r.text or "", add_special_tokens=False).ids + [1]
 
 
+def test_stages_pass_columns_of_any_name_and_empty_tables(spark, docs):
+    from pyspark.sql import functions as F
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    names = ("score", "lang_pred", "found", "row", "key", "size", "copies", "target", "rank", "p", "k", "text_", "root")
+    wide = docs.limit(30).withColumns({n: F.lit(f"own {n}") for n in names}).cache()
+    for _, f in pipeline.STAGES[:-1]:
+        out = f(spark, wide, "")
+        assert out.columns == wide.columns and all(r[n] == f"own {n}" for r in out.collect() for n in names)
+        assert f(spark, wide.limit(0), "").count() == 0
+    assert pipeline.STAGES[-1][1](spark, wide.limit(0), "").count() == 0
+
+
 def test_run_is_its_stages(spark, docs, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import langid, mixing, packing, phrases, simhash
-from sparkloom.llm.common import materialize, scope
+from sparkloom.llm.common import carried, materialize, scope, uncarried
 from sparkloom.llm.queries import vocabulary
 
 #: Documents whose best profile is farther than this (of 0 to 1, higher is nearer) are no language that was learned: gibberish scores
@@ -25,9 +25,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Profiles are learned from rows with a language and an id that isn't held out; without any, all go. Repeated rows agree.
     """
-    found = langid.identify(docs, langid.learn(docs))
+    found = langid.identify(carried(docs, text=F.col("text")), langid.learn(docs))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE))
-    return kept.select(*docs.columns)
+    return uncarried(kept, docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

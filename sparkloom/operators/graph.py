@@ -80,21 +80,26 @@ def blast_radius(symbols: DataFrame, files: DataFrame, edges: DataFrame, reposit
     """Best path of each symbol from any seed (seeds themselves at weight 1, depth 0), with its seed and flags."""
     positive(depth, "depth", 8)
     scoped = repo_symbols(symbols, files, repository_id)
-    own = scoped_edges(edges, scoped, BLAST_KINDS).persist()
+    return _blast(scoped, scoped_edges(edges, scoped, BLAST_KINDS), seeds, depth, decay)
+
+
+def _blast(scoped: DataFrame, own: DataFrame, seeds: DataFrame, depth: int, decay: float, *more: str) -> DataFrame:
+    """blast_radius() over scoped symbols and edges. more: columns of the symbols that the result carries."""
+    own = own.persist()
     start = scoped.select("symbol_id").join(seeds.select("symbol_id").distinct(), "symbol_id", "left_semi")
     levels = walks(own, start, depth, decay)
     paths = levels[0]
     for h in levels[1:]:
         paths = paths.union(h)
     best = best_paths(paths).withColumn("seed", F.element_at("symbol_path", 1))
-    return best.join(scoped.select("symbol_id", "file_id", "name", "kind", "path"), "symbol_id").withColumn("is_endpoint", F.col("kind") == "endpoint")
+    return best.join(scoped.select("symbol_id", "file_id", "name", "kind", "path", (F.col("kind") == "endpoint").alias("is_endpoint"), *more), "symbol_id")
 
 
 def snapshot_blast_radius(snapshots: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame, repository_id: int, snapshot_id: int, seeds: DataFrame, depth: int = 4, models: DataFrame | None = None, **caps) -> DataFrame:
     """The blast radius inside one ready snapshot, with is_database_model. caps: see snapshot_graph()."""
+    positive(depth, "depth", 8)
     own, links = snapshot_graph(snapshots, symbols, files, edges, repository_id, snapshot_id, models, **caps)
-    mine = files.where(F.col("snapshot_id") == snapshot_id)
-    return blast_radius(symbols, mine, links, repository_id, seeds, depth).join(own.select("symbol_id", "is_database_model"), "symbol_id")
+    return _blast(own, links.where(F.col("kind").isin(*BLAST_KINDS)), seeds, depth, 0.8, "is_database_model")
 
 
 def blast_examined(edges: DataFrame, levels: list[DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -17,9 +17,9 @@ class BudgetExceeded(RuntimeError):
     """More than a cap allows: it fails rather than return a part."""
 
 
-def within(rows: DataFrame, cap: int, what: str) -> DataFrame:
-    """The rows, or an error if there are more than the cap; one more than the cap is read at most."""
-    if rows.limit(cap + 1).count() > cap:
+def within(rows: DataFrame, cap: int | None, what: str) -> DataFrame:
+    """The rows, or an error if there are more than the cap; one more than the cap is read at most, without a cap none."""
+    if cap is not None and rows.limit(cap + 1).count() > cap:
         raise BudgetExceeded(f"over {cap} {what}")
     return rows
 
@@ -38,18 +38,20 @@ def scoped_edges(edges: DataFrame, scoped: DataFrame, kinds=None) -> DataFrame:
     return own.join(ids.withColumnRenamed("symbol_id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def repo_graph(symbols: DataFrame, files: DataFrame, edges: DataFrame, repository_id: int, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
-    """(symbols, edges) of a repository; a graph over either cap is refused, not cut."""
-    positive(max_nodes, "max_nodes", 1_000_000), positive(max_edges, "max_edges", 2_000_000)
+def repo_graph(symbols: DataFrame, files: DataFrame, edges: DataFrame, repository_id: int, max_nodes: int | None = MAX_NODES, max_edges: int | None = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
+    """(symbols, edges) of a repository; a graph over either cap is refused, not cut. A cap of None: a graph of any size."""
+    for cap, name, most in ((max_nodes, "max_nodes", 1_000_000), (max_edges, "max_edges", 2_000_000)):
+        if cap is not None:
+            positive(cap, name, most)
     own = within(repo_symbols(symbols, files, repository_id), max_nodes, "symbols")
     return own, within(scoped_edges(edges, own), max_edges, "edges")
 
 
-def snapshot_graph(snapshots: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame, repository_id: int, snapshot_id: int, models: DataFrame | None = None, max_nodes: int = MAX_NODES, max_edges: int = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
+def snapshot_graph(snapshots: DataFrame, symbols: DataFrame, files: DataFrame, edges: DataFrame, repository_id: int, snapshot_id: int, models: DataFrame | None = None, max_nodes: int | None = MAX_NODES, max_edges: int | None = MAX_EDGES) -> tuple[DataFrame, DataFrame]:
     """(symbols, edges) of one ready snapshot of a repository: both ends of an edge lie in that snapshot.
 
     snapshots: id, repository_id, status. models: symbol_id of verified models; symbols get is_database_model, and a
-    model that isn't in the snapshot is an error, as is a snapshot that doesn't exist or isn't ready.
+    model that isn't in the snapshot is an error, as is a snapshot that doesn't exist or isn't ready. Caps: see repo_graph().
     """
     positive(repository_id, "repository_id"), positive(snapshot_id, "snapshot_id")
     mine = snapshots.where((F.col("id") == snapshot_id) & (F.col("repository_id") == repository_id) & (F.col("status") == "ready"))

@@ -825,7 +825,7 @@ def g4_snapshot_blast_radius(d):
     snaps, symbols, files, edges = _snapshots(d)
     mine = d.repo_symbols.where("file_id % 4 < 2")
     seeds = mine.select("symbol_id").orderBy("symbol_id").limit(5)
-    out = graph.snapshot_blast_radius(snaps, symbols, files, edges, 1, 1, seeds, 3, models=mine.where("kind = 'class'"))
+    out = graph.snapshot_blast_radius(snaps, symbols, files, edges, 1, 1, seeds, 3, models=mine.where("kind = 'class'"), max_nodes=None, max_edges=None)
     return out.select("symbol_id", "depth", "min_depth", F.round("score", 9).alias("score"), "seed", "is_database_model")
 
 

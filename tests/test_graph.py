@@ -168,3 +168,35 @@ def test_expansion_says_what_it_leaves_out(spark):
         graph.typed_expansion(symbols, edges, seeds, "callers", expansions=32)
     with pytest.raises(graph.BudgetExceeded):
         graph.typed_expansion(symbols, edges, spark.createDataFrame([(i, i) for i in range(9)], "symbol_id long, seed_rank int"), "callers")
+
+
+@pytest.fixture(scope="module")
+def over_the_caps(spark, tmp_path_factory):
+    """Tables whose snapshot 1 has 110,000 symbols and 600,000 edges: more than the default caps allow."""
+    at, n = tmp_path_factory.mktemp("over"), 220_000
+    mine = lambda x: f"({x}) % 110000 div 2 * 4 + ({x}) % 2"  # noqa: E731  symbols of the snapshot's files, 0 and 1 of four
+    orders = spark.range(600_000).selectExpr(f"{mine('id * 7919 + id div 110000 * 32')} AS o_custkey", f"id * {n} + {mine('id')} AS o_orderkey", "element_at(array('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT', '5-LOW'), int(id % 5 + 1)) AS o_orderpriority", "element_at(array('F', 'O', 'P'), int(id % 3 + 1)) AS o_orderstatus")
+    tables = {
+        "supplier": spark.range(4).selectExpr("id AS s_suppkey", "'S#' || id AS s_name"),
+        "part": spark.range(n).selectExpr("id AS p_partkey", "'red bolt' AS p_name", "'STEEL' AS p_type", "int(id % 50 + 1) AS p_size"),
+        "customer": spark.range(n).selectExpr("id AS c_custkey"),
+        "orders": orders,
+    }
+    for name, rows in tables.items():
+        rows.coalesce(2).write.parquet(f"{at}/{name}.parquet")
+    return str(at)
+
+
+@pytest.mark.parametrize("name", ["g4_snapshot_blast_radius"])
+def test_snapshots_of_any_size(spark, over_the_caps, name):
+    import __spark_entry__ as entry
+
+    con = pytest.importorskip("duckdb").connect()
+    for t in ("supplier", "part", "customer", "orders", "documents", "embeddings", "events"):
+        at = over_the_caps if t in ("supplier", "part", "customer", "orders") else "/root/testdata/sf0.001"
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet{'/*.parquet' if at == over_the_caps else ''}'")
+    got = entry.queries()[name](spark, over_the_caps)
+    want = con.sql(entry.oracle_sql()[name])
+    rows = sorted(map(tuple, got.select(*want.columns).collect()))
+    assert rows == sorted(want.fetchall()) and rows
+    spark.catalog.clearCache()

@@ -815,7 +815,7 @@ def _snapshots(d):
 
 @query(f"WITH {_SNAP} SELECT e.edge_id, a.kind = 'class' AS from_model FROM e1 e JOIN s1 a ON a.symbol_id = e.src")
 def s11_snapshot_graph(d):
-    own, links = scope.snapshot_graph(*_snapshots(d), 1, 1, models=d.repo_symbols.where("file_id % 4 < 2 AND kind = 'class'"))
+    own, links = scope.snapshot_graph(*_snapshots(d), 1, 1, models=d.repo_symbols.where("file_id % 4 < 2 AND kind = 'class'"), max_nodes=None, max_edges=None)
     return links.join(own.select(F.col("symbol_id").alias("src"), F.col("is_database_model").alias("from_model")), "src").select("edge_id", "from_model")
 
 
